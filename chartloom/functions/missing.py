@@ -30,7 +30,8 @@ def value_state(text: Column, kind: Column) -> Column:
     """null / sentinel / valid."""
     plain = F.lower(stripped(text))
     return (
-        F.when(text.isNull() | (kind == "null"), "null")
+        F.when(kind == "number", "valid")
+        .when(text.isNull() | (kind == "null"), "null")
         .when((kind == "string") & (plain == ""), "null")
         .when((kind == "string") & plain.isin(*SENTINELS), "sentinel")
         .when((kind == "array") & (text == "[]"), "null")

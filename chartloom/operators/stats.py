@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.missing import stripped, value_state
-from ..functions.numbers import double_text, to_number
+from ..functions.numbers import double_text, number_label, to_number
 from ..functions.text import stage_token
+from ..scale import checkpointed
 
 FIELD = ["dataset", "field_path"]
 
@@ -17,34 +18,47 @@ def with_state(values: DataFrame) -> DataFrame:
     return values.withColumn("state", value_state(F.col("value"), F.col("kind")))
 
 
+def value_text(value: Column, number: Column) -> Column:
+    """Text of a raw value; numbers are formatted only where a text is needed."""
+    return F.coalesce(value, number_label(number))
+
+
+_FIXED = 10_000
+
+
 def patient_values(values: DataFrame) -> DataFrame:
     """One row per (dataset, field, patient): counts of raw states and the collapsed value.
 
-    A first grouping by distinct text keeps repeated values from ever being
-    collected; only distinct texts of one patient's field meet in a list.
+    A first grouping by distinct value keeps repeats from ever being collected;
+    only distinct texts of one patient's field meet in a list.  Means are taken
+    over fixed-point sums where the values allow it, so they do not depend on
+    the order rows arrive in.
     """
-    states = with_state(values).withColumn("_t", F.when(F.col("state") == "valid", stripped(F.col("value"))))
-    by_text = states.groupBy(*FIELD, "patient_id", "_t").agg(
-        F.count(F.lit(1)).alias("_n"), F.count_if(F.col("state") == "sentinel").alias("_s")
+    states = with_state(values)
+    valid = F.col("state") == "valid"
+    distinct = (
+        states.withColumn("_t", F.when(valid & F.col("number").isNull(), stripped(F.col("value"))))
+        .withColumn("_x", F.when(valid, F.coalesce("number", to_number(F.col("_t")))))
+        .groupBy(*FIELD, "patient_id", "_t", "_x")
+        .agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.col("state") == "sentinel").alias("_s"))
     )
-    num = to_number(F.col("_t"))
-    valid = F.col("_t").isNotNull()
-    # exact decimal sums give the same mean whatever order the rows arrive in
-    exact = F.col("_t").try_cast("decimal(22,8)")
-    inexact = valid & ~F.coalesce(exact.cast("double") == num, F.lit(False))
-    per = by_text.groupBy(*FIELD, "patient_id").agg(
-        F.sum("_n").alias("n_raw"),
-        F.sum(F.when(valid, F.col("_n")).otherwise(0)).alias("n_valid"),
+    x, n = F.col("_x"), F.col("_n")
+    seen = x.isNotNull() | F.col("_t").isNotNull()
+    scaled = F.round(x * _FIXED)
+    fits = (F.abs(x) < 1e9) & (F.abs(x * _FIXED - scaled) < 1e-4)
+    per = distinct.groupBy(*FIELD, "patient_id").agg(
+        F.sum(n).alias("n_raw"),
+        F.sum(F.when(seen, n).otherwise(0)).alias("n_valid"),
         F.sum("_s").alias("n_sentinel"),
-        F.count_if(valid & num.isNull()).alias("_text"),
-        F.count_if(inexact).alias("_inexact"),
-        F.sum(F.when(valid, num * F.col("_n"))).alias("_sum"),
-        F.sum(F.when(valid, exact * F.col("_n").cast("decimal(12,0)"))).alias("_exact"),
-        F.collect_list("_t").alias("_texts"),
+        F.count_if(seen & x.isNull()).alias("_words"),
+        F.count_if(x.isNotNull() & ~fits).alias("_loose"),
+        F.sum(x * n).alias("_sum"),
+        F.sum(F.when(fits, scaled.cast("long") * n)).alias("_fixed"),
+        F.collect_list(F.when(seen, F.coalesce("_t", number_label(x)))).alias("_texts"),
     )
-    total = F.when(F.col("_inexact") == 0, F.col("_exact").cast("double")).otherwise(F.col("_sum"))
-    mean = F.when((F.col("n_valid") > 0) & (F.col("_text") == 0), total / F.col("n_valid"))
-    joined = F.array_join(F.array_sort("_texts"), " | ")
+    total = F.when(F.col("_loose") == 0, F.col("_fixed") / F.lit(float(_FIXED))).otherwise(F.col("_sum"))
+    mean = F.when((F.col("n_valid") > 0) & (F.col("_words") == 0), total / F.col("n_valid"))
+    joined = F.array_join(F.array_sort(F.array_distinct("_texts")), " | ")
     return per.select(
         *FIELD, "patient_id", "n_raw", "n_valid", "n_sentinel",
         mean.alias("number"),
@@ -53,48 +67,71 @@ def patient_values(values: DataFrame) -> DataFrame:
 
 
 def category_counts(per_patient: DataFrame, order: str = "patient_id") -> DataFrame:
-    """Patients per (dataset, field, collapsed value); ``first_at`` breaks mode ties by case order."""
-    return (
-        per_patient.where(F.col("n_valid") > 0)
-        .groupBy(*FIELD, "collapsed")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.min(order).alias("first_at"),
-            F.count("number").alias("n_mean"),
-        )
+    """Patients per (dataset, field, collapsed value), all a field statistic needs.
+
+    Patients without a valid value sit in the row whose ``collapsed`` is null.
+    ``first_at`` breaks mode ties by case order.
+    """
+    return per_patient.groupBy(*FIELD, "collapsed").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min(order).alias("first_at"),
+        F.max("number").alias("number"),
+        F.count_if(F.col("n_raw") > 1).alias("n_many_raw"),
+        F.count_if(F.col("n_valid") > 1).alias("n_many_valid"),
+        F.count_if((F.col("n_valid") == 0) & (F.col("n_sentinel") > 0)).alias("n_sentinel"),
+    )
+
+
+def completeness(counts: DataFrame, landmark: bool = False) -> DataFrame:
+    """Patient counts per (dataset, field); ``landmark`` counts repeated valid values instead of raw ones."""
+    return counts.groupBy(*FIELD).agg(
+        F.sum(F.when(F.col("collapsed").isNotNull(), F.col("n")).otherwise(0)).alias("valid"),
+        F.sum("n_sentinel").alias("sentinel_count"),
+        F.sum("n_many_valid" if landmark else "n_many_raw").alias("_multi"),
     )
 
 
 def information(counts: DataFrame) -> DataFrame:
     """Entropy (base 2), normalised entropy, distinct count, mode and mode share."""
     n = F.col("n").cast("double")
-    agg = counts.groupBy(*FIELD).agg(
-        F.sum("n").alias("n_values"),
-        F.count(F.lit(1)).alias("unique_count"),
-        F.sum(n * F.log2(n)).alias("_nlogn"),
-        F.max_by("collapsed", F.struct(F.col("n"), (-F.col("first_at")).alias("f"))).alias("mode_value"),
-        F.max("n").alias("_top"),
-        F.count_if(to_number(F.col("collapsed")).isNull()).alias("n_text"),
-        F.sum(F.when(to_number(F.col("collapsed")).isNotNull(), F.col("n")).otherwise(0)).alias("_numeric"),
+    number = F.coalesce("number", to_number(F.col("collapsed")))
+    agg = (
+        counts.where(F.col("collapsed").isNotNull())
+        .groupBy(*FIELD)
+        .agg(
+            F.sum("n").alias("n_values"),
+            F.count(F.lit(1)).alias("unique_count"),
+            F.sum(n * F.log2(n)).alias("_nlogn"),
+            F.max_by("collapsed", F.struct(F.col("n"), (-F.col("first_at")).alias("f"))).alias("mode_value"),
+            F.max("n").alias("_top"),
+            F.count_if(number.isNull()).alias("n_text"),
+            F.sum(F.when(number.isNotNull(), F.col("n")).otherwise(0)).alias("_numeric"),
+            F.sum(number * n).alias("_total"),
+        )
     )
     total = F.col("n_values").cast("double")
-    entropy = F.log2(total) - F.col("_nlogn") / total
+    entropy = F.greatest(F.log2(total) - F.col("_nlogn") / total, F.lit(0.0))
     return agg.select(
         *FIELD, "n_values", "unique_count", "mode_value", "n_text",
         entropy.alias("entropy"),
         F.when(F.col("unique_count") > 1, entropy / F.log2(F.col("unique_count").cast("double"))).otherwise(0.0).alias("entropy_norm"),
         (F.col("_top") / total).alias("mode_share"),
         (F.col("_numeric") / total).alias("numeric_share"),
+        (F.col("_total") / F.col("_numeric")).alias("mean"),
     )
 
 
-def variance(per_patient: DataFrame) -> DataFrame:
-    """Population mean, variance and deviation of numeric collapsed values."""
-    x = to_number(F.col("collapsed"))
+def variance(counts: DataFrame, info: DataFrame) -> DataFrame:
+    """Population mean, variance and deviation of numeric collapsed values, around the known mean."""
+    number = F.coalesce("number", to_number(F.col("collapsed")))
+    centred = F.col("n") * F.pow(number - F.col("mean"), 2)
     return (
-        per_patient.where(F.col("n_valid") > 0)
+        # one row per (dataset, field): the size of the field registry
+        counts.where(number.isNotNull())
+        .join(F.broadcast(info.select(*FIELD, "mean")), FIELD)
         .groupBy(*FIELD)
-        .agg(F.avg(x).alias("mean"), F.var_pop(x).alias("variance"), F.stddev_pop(x).alias("deviation"))
+        .agg(F.first("mean").alias("mean"), (F.sum(centred) / F.sum("n")).alias("variance"))
+        .withColumn("deviation", F.sqrt("variance"))
     )
 
 
@@ -104,7 +141,7 @@ def stage_vocabulary(counts: DataFrame) -> DataFrame:
         F.col("collapsed").contains(" | "), F.split(F.col("collapsed"), r" \| ")
     ).otherwise(F.array("collapsed"))
     tokens = (
-        counts.select(*FIELD, F.explode(pieces).alias("token"))
+        counts.where(F.col("collapsed").isNotNull()).select(*FIELD, F.explode(pieces).alias("token"))
         .select(*FIELD, stripped(F.col("token")).alias("token"))
         .where(F.col("token") != "")
         .distinct()
@@ -145,17 +182,6 @@ def first_examples(per_patient: DataFrame, order: str = "patient_id", k: int = 5
     return top.groupBy(*FIELD).agg(F.array_join(F.transform(rows, lambda r: r["v"]), " | ").alias("example_values"))
 
 
-def completeness(per_patient: DataFrame, landmark: bool = False) -> DataFrame:
-    """Patient counts per (dataset, field); ``landmark`` counts repeated valid values instead of raw ones."""
-    many = F.col("n_valid") > 1 if landmark else F.col("n_raw") > 1
-    empty = F.col("n_valid") == 0
-    return per_patient.groupBy(*FIELD).agg(
-        F.count_if(~empty).alias("valid"),
-        F.count_if(empty & (F.col("n_sentinel") > 0)).alias("sentinel_count"),
-        F.count_if(many).alias("_multi"),
-    )
-
-
 def field_stats(
     values: DataFrame,
     dictionary: DataFrame,
@@ -163,6 +189,7 @@ def field_stats(
     *,
     raw: DataFrame | None = None,
     order: str = "patient_id",
+    examples: bool = False,
 ) -> DataFrame:
     """Full statistics table; every dictionary field appears, also with no value at all.
 
@@ -172,11 +199,15 @@ def field_stats(
     """
     landmark = raw is not None
     per = patient_values(values)
-    counts = category_counts(per, order)
+    # one pass over the values; everything below reads this much smaller table
+    counts = checkpointed(category_counts(per, order))
+    info = information(counts)
     parts = [
-        completeness(per, landmark), information(counts), variance(per).select(*FIELD, "variance"),
-        stage_vocabulary(counts), first_examples(per, order),
+        completeness(counts, landmark), info.drop("mean"), variance(counts, info).select(*FIELD, "variance"),
+        stage_vocabulary(counts),
     ]
+    if examples:
+        parts.append(first_examples(per, order))
     out = dictionary.join(sizes, "dataset")
     for part in parts:
         out = out.join(part, FIELD, "left")
@@ -204,11 +235,12 @@ def field_stats(
         F.round(null / total, 6).alias("null_rate"), F.round(sentinel / total, 6).alias("sentinel_rate"),
         F.coalesce(F.substring("mode_value", 1, 80), F.lit("")).alias("mode_value"),
         F.round(F.coalesce("mode_share", F.lit(0.0)), 6).alias("mode_share"),
-        F.coalesce("example_values", F.lit("")).alias("example_values"),
         inferred_type(F.col("numeric_share"), F.col("ordinal_stage"), F.col("unique_count")).alias("inferred_type"),
         F.col("field_path").contains("[]").alias("multi_record"),
         F.round(F.coalesce("_multi", F.lit(0)) / total, 6).alias("multi_record_rate"),
     ]
+    if examples:
+        columns.append(F.coalesce("example_values", F.lit("")).alias("example_values"))
     if landmark:
         columns.append(F.coalesce("masked_count", F.lit(0)).alias("masked_count"))
     return out.select(*columns)

@@ -14,6 +14,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+# a handful of files can hold less splits than the cluster has cores
+SPREAD_KEYS = {"lineitem": "l_orderkey", "orders": "o_orderkey", "events": "event_id"}
+SPREAD_ROWS = 50_000
+
+
 class Tables:
     """Lazy readers over one folder of parquet tables, with row counts from file footers."""
 
@@ -23,13 +28,19 @@ class Tables:
         self._rows: dict[str, int] = {}
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        """A table; one with fewer splits than cores is spread over them by its join key."""
+        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        key = SPREAD_KEYS.get(name)
+        cores = self.spark.sparkContext.defaultParallelism
+        if key and self.rows(name) >= SPREAD_ROWS and df.rdd.getNumPartitions() < cores:
+            df = df.repartition(cores, key)
+        return df
 
     def rows(self, *names: str) -> int:
         """Rows of the tables together: an upper bound for anything that only filters or groups them."""
         for name in names:
             if name not in self._rows:
-                self._rows[name] = self.read(name).count()
+                self._rows[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet").count()
         return sum(self._rows[name] for name in names)
 
 
@@ -205,34 +216,36 @@ class Clinic:
     # ---- long values --------------------------------------------------------
     @cached_property
     def values(self) -> DataFrame:
-        """(dataset, patient_id, field_path, pos, value, kind): one row per raw value."""
+        """(dataset, patient_id, field_path, pos, value, number, kind): one row per raw value.
+
+        Numbers travel as doubles, all other kinds as text.
+        """
 
         def cells(df: DataFrame, prefix: str, pos: Column, fields: dict[str, str]) -> DataFrame:
-            structs = [
-                F.struct(
-                    F.lit(prefix + name).alias("field_path"),
-                    _text(F.col(name)).alias("value"),
-                    F.when(F.col(name).isNull(), "null").otherwise(kind).alias("kind"),
+            structs = []
+            for name, kind in fields.items():
+                numeric = kind == "number"
+                structs.append(
+                    F.struct(
+                        F.lit(prefix + name).alias("field_path"),
+                        (F.lit(None) if numeric else F.col(name)).cast("string").alias("value"),
+                        (F.col(name) if numeric else F.lit(None)).cast("double").alias("number"),
+                        F.when(F.col(name).isNull(), "null").otherwise(kind).alias("kind"),
+                    )
                 )
-                for name, kind in fields.items()
-            ]
             return df.select("dataset", "patient_id", pos.alias("pos"), F.explode(F.array(*structs)).alias("c")).select(
-                "dataset", "patient_id", "c.field_path", "pos", "c.value", "c.kind"
+                "dataset", "patient_id", "c.field_path", "pos", "c.value", "c.number", "c.kind"
             )
 
-        def whole(df: DataFrame, *names: str) -> DataFrame:
-            # day counts are whole numbers in the documents
-            return df.withColumns({n: F.col(n).cast("long") for n in names})
-
         first = F.array(F.lit(0).cast("long"))
         parts = [
-            cells(whole(self.patients, "days_to_death"), "demographic.", first,
+            cells(self.patients, "demographic.", first,
                   {"vital_status": "string", "days_to_death": "number", "age_at_index": "number", "race": "string"}),
-            cells(whole(self.diagnoses, "days_to_diagnosis"), "diagnoses[].", F.array("dx_pos"),
+            cells(self.diagnoses, "diagnoses[].", F.array("dx_pos"),
                   {"days_to_diagnosis": "number", "tumor_grade": "string", "ajcc_pathologic_stage": "string",
                    "method_of_diagnosis": "string", "site_of_resection_or_biopsy": "string",
                    "prior_malignancy": "string", "year_of_diagnosis": "number"}),
-            cells(whole(self.treatments, "days_to_treatment_start"), "diagnoses[].treatments[].",
+            cells(self.treatments, "diagnoses[].treatments[].",
                   F.array("dx_pos", F.col("tx_pos.l_linenumber").cast("long"), "tx_pos.l_partkey", "tx_pos.l_suppkey"),
                   {"treatment_type": "string", "treatment_or_therapy": "string", "days_to_treatment_start": "number"}),
             cells(self.pathology_details, "diagnoses[].pathology_details[].", F.array("dx_pos"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import numbers, text
 from ..functions.missing import cleaned, is_missing_token, text_state
 from ..operators import rules, stats
+from ..scale import checkpointed
 from .clinical import Clinic
 from .registry import query
 
@@ -28,7 +29,7 @@ def whole_stats(c: Clinic):
 
 @query("a3_field_stats", STATS_SQL)
 def a3_field_stats(c: Clinic):
-    return whole_stats(c).drop("example_values")
+    return whole_stats(c)
 
 
 @query("p3_value_states", "SELECT dataset, field_path, state, count(*) AS n FROM x_state GROUP BY ALL")
@@ -55,7 +56,10 @@ SELECT dataset, field_path, round(avg(number), 6) AS mean, round(var_pop(number)
 FROM x_collapsed WHERE n_valid > 0 GROUP BY ALL
 """)
 def a6_population_variance(c: Clinic):
-    v = stats.variance(stats.patient_values(c.values))
+    counts = checkpointed(stats.category_counts(stats.patient_values(c.values)))
+    v = stats.variance(counts, stats.information(counts)).join(
+        stats.completeness(counts).select(*stats.FIELD, "valid"), stats.FIELD, "right"
+    ).where("valid > 0")
     return v.select(
         "dataset", "field_path", F.round("mean", 6).alias("mean"), F.round("variance", 4).alias("variance"),
         F.round("deviation", 6).alias("deviation"),
@@ -64,7 +68,7 @@ def a6_population_variance(c: Clinic):
 
 @query("a7_type_inference", "SELECT dataset, field_path, unique_count, inferred_type FROM x_stats")
 def a7_type_inference(c: Clinic):
-    counts = stats.category_counts(stats.patient_values(c.values))
+    counts = checkpointed(stats.category_counts(stats.patient_values(c.values)))
     info, stage = stats.information(counts), stats.stage_vocabulary(counts)
     joined = c.dictionary.join(info, stats.FIELD, "left").join(stage, stats.FIELD, "left")
     kind = stats.inferred_type(F.col("numeric_share"), F.col("ordinal_stage"), F.col("unique_count"))
@@ -87,7 +91,7 @@ def t2_stats_order(c: Clinic):
     """Order of the shared table; one row per (dataset, field), so the closing rank sees a registry-sized table."""
     from pyspark.sql import Window
 
-    s = stats.completeness(stats.patient_values(c.values))
+    s = stats.completeness(stats.category_counts(stats.patient_values(c.values)))
     table = c.dictionary.join(c.sizes, "dataset").join(s, stats.FIELD, "left").withColumn(
         "missing", F.col("n_patients") - F.coalesce("valid", F.lit(0))
     )
@@ -101,7 +105,7 @@ FROM x_values WHERE field_path NOT LIKE '%days_to%' AND field_path NOT LIKE '%bm
 """)
 def p4_clean_values(c: Clinic):
     v = c.values.where(~F.col("field_path").contains("days_to") & ~F.col("field_path").endswith("bmi"))
-    return v.groupBy("dataset", "field_path", cleaned(F.col("value")).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    return v.groupBy("dataset", "field_path", cleaned(stats.value_text(F.col("value"), F.col("number"))).alias("value")).agg(F.count(F.lit(1)).alias("n"))
 
 
 _PART_TEXT = """SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN ' ' || p_size || ' ' WHEN 1 THEN p_size || 'd' WHEN 2 THEN '1_' || (100 + p_size) WHEN 3 THEN p_type || ' ' || (-p_size) || '.5 cm'
@@ -158,7 +162,8 @@ SELECT dataset, field_path, collapsed, n FROM x_counts WHERE field_path NOT LIKE
 """)
 def p10_collapsed_values(c: Clinic):
     v = c.values.where(~F.col("field_path").contains("days_to") & ~F.col("field_path").endswith("bmi"))
-    return stats.category_counts(stats.patient_values(v)).select("dataset", "field_path", "collapsed", "n")
+    counts = stats.category_counts(stats.patient_values(v))
+    return counts.where(F.col("collapsed").isNotNull()).select("dataset", "field_path", "collapsed", "n")
 
 
 @query("p5_missing_tokens", """
