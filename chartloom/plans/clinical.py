@@ -13,6 +13,25 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.families import Families, long_values
+from ..operators.timing import timed
+
+# which columns of each family become field values, and their JSON kind
+VALUE_FIELDS = {
+    "patients": {"vital_status": "string", "days_to_death": "number", "age_at_index": "number", "race": "string"},
+    "diagnoses": {
+        "days_to_diagnosis": "number", "tumor_grade": "string", "ajcc_pathologic_stage": "string",
+        "method_of_diagnosis": "string", "site_of_resection_or_biopsy": "string", "prior_malignancy": "string",
+        "year_of_diagnosis": "number",
+    },
+    "diagnoses_treatments": {
+        "treatment_type": "string", "treatment_or_therapy": "string", "days_to_treatment_start": "number",
+    },
+    "diagnoses_pathology_details": {"lymph_nodes_tested": "number", "lymph_nodes_positive": "number"},
+    "follow_ups": {"ecog_performance_status": "number"},
+    "follow_ups_other_clinical_attributes": {"bmi": "number"},
+}
+
 
 # a handful of files can hold less splits than the cluster has cores
 SPREAD_KEYS = {"lineitem": "l_orderkey", "orders": "o_orderkey", "events": "event_id"}
@@ -99,7 +118,7 @@ class Clinic:
             .join(self._homes, "patient_id")
         )
         return joined.select(
-            "patient_id", "dataset", key.alias("dx_pos"),
+            "patient_id", "dataset", key.alias("dx_pos"), F.array(key).alias("pos"),
             F.when(key % 11 == 0, None).otherwise(F.datediff("o_orderdate", "index_ts")).cast("double").alias("days_to_diagnosis"),
             F.when(F.col("o_orderpriority").startswith("1"), "true").otherwise("false").alias("diagnosis_is_primary_disease"),
             F.when(F.col("o_orderstatus") == "P", "Unknown").otherwise(F.concat(F.lit("G"), _text(1 + key % 4))).alias("tumor_grade"),
@@ -140,7 +159,7 @@ class Clinic:
         start = F.datediff("l_shipdate", "index_ts").cast("double")
         return joined.select(
             "patient_id", "dataset", F.col("l_orderkey").alias("dx_pos"),
-            F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("tx_pos"),
+            F.array("l_orderkey", F.col("l_linenumber").cast("long"), "l_partkey", "l_suppkey").alias("pos"),
             F.when(F.col("l_returnflag") == "R", "Radiation Therapy, NOS")
             .when(F.col("l_returnflag") == "A", "Pharmaceutical Therapy, NOS")
             .otherwise("Surgery, NOS").alias("treatment_type"),
@@ -156,7 +175,7 @@ class Clinic:
     def pathology_details(self) -> DataFrame:
         d = self.diagnoses.where(F.col("dx_pos") % 2 == 0)
         return d.select(
-            "patient_id", "dataset", "dx_pos",
+            "patient_id", "dataset", "dx_pos", "pos",
             (F.col("dx_pos") % 30).alias("lymph_nodes_tested"),
             (F.col("dx_pos") % 7).alias("lymph_nodes_positive"),
             "updated_at",
@@ -168,20 +187,23 @@ class Clinic:
         k = F.get_json_object("props", "$.k").cast("int")
         day = F.when(F.col("event_type") == "error", None).otherwise(30 * F.dayofmonth("ts")).cast("double")
         return e.join(self._homes, e.user_id == F.col("patient_id")).select(
-            "patient_id", "dataset", F.col("event_id").alias("fu_pos"),
+            "patient_id", "dataset", F.col("event_id").alias("fu_pos"), F.array("event_id").alias("pos"),
             day.alias("days_to_follow_up"),
             F.when(F.col("event_id") % 8 == 0, None).otherwise(k % 5).alias("ecog_performance_status"),
             F.when(F.col("event_id") % 10 == 0, None).otherwise(F.col("value")).alias("bmi"),
             "event_type",
             F.col("ts").alias("updated_at"),
-        )
+        ).withColumns({
+            "has_content": F.col("ecog_performance_status").isNotNull(),
+            "is_shell": F.col("days_to_follow_up").isNull() & F.col("ecog_performance_status").isNull(),
+        })
 
     @cached_property
     def molecular_tests(self) -> DataFrame:
         f = self.follow_ups
         words = ["Initial Diagnosis", "Sample Procurement", "Preoperative", "Prior to Treatment", "Postoperative"]
         return f.select(
-            "patient_id", "dataset", "fu_pos",
+            "patient_id", "dataset", "fu_pos", "pos",
             F.when(F.col("event_type") == "click", F.col("days_to_follow_up") - 5).alias("days_to_test"),
             F.when(
                 F.col("event_type") != "click",
@@ -194,7 +216,7 @@ class Clinic:
     def other_attributes(self) -> DataFrame:
         f, key = self.follow_ups, F.col("fu_pos")
         return f.select(
-            "patient_id", "dataset", "fu_pos", "bmi",
+            "patient_id", "dataset", "fu_pos", "pos", "bmi",
             F.when(key % 6 == 0, F.col("days_to_follow_up") - 200).alias("days_to_comorbidity"),
             F.lit(None).cast("double").alias("days_to_risk_factor"),
             F.when(key % 4 == 0, "Initial Diagnosis").when(key % 4 == 1, "Not Reported").alias("timepoint_category"),
@@ -205,7 +227,7 @@ class Clinic:
     def exposures(self) -> DataFrame:
         p, key = self.patients, F.col("patient_id")
         return p.where(key % 3 != 0).select(
-            "patient_id", "dataset", F.lit(0).cast("long").alias("ex_pos"),
+            "patient_id", "dataset", F.array(F.lit(0).cast("long")).alias("pos"),
             F.when(key % 5 == 0, _text(key % 40)).alias("exposure_duration_years"),
             F.when(key % 5 == 1, _text(1970 + key % 20)).alias("tobacco_smoking_onset_year"),
             F.when(key % 10 == 1, _text(1995 + key % 5)).alias("tobacco_smoking_quit_year"),
@@ -213,50 +235,24 @@ class Clinic:
             F.when(key % 4 == 0, "unknown").otherwise(_text(key % 60)).alias("pack_years_smoked"),
         )
 
-    # ---- long values --------------------------------------------------------
+    @cached_property
+    def families(self) -> Families:
+        return Families(
+            self.patients, self.diagnoses, self.treatments, self.pathology_details,
+            self.follow_ups, self.molecular_tests, self.other_attributes, self.exposures,
+        )
+
+    @cached_property
+    def timed(self) -> Families:
+        return timed(self.families)
+
     @cached_property
     def values(self) -> DataFrame:
-        """(dataset, patient_id, field_path, pos, value, number, kind): one row per raw value.
-
-        Numbers travel as doubles, all other kinds as text.
-        """
-
-        def cells(df: DataFrame, prefix: str, pos: Column, fields: dict[str, str]) -> DataFrame:
-            structs = []
-            for name, kind in fields.items():
-                numeric = kind == "number"
-                structs.append(
-                    F.struct(
-                        F.lit(prefix + name).alias("field_path"),
-                        (F.lit(None) if numeric else F.col(name)).cast("string").alias("value"),
-                        (F.col(name) if numeric else F.lit(None)).cast("double").alias("number"),
-                        F.when(F.col(name).isNull(), "null").otherwise(kind).alias("kind"),
-                    )
-                )
-            return df.select("dataset", "patient_id", pos.alias("pos"), F.explode(F.array(*structs)).alias("c")).select(
-                "dataset", "patient_id", "c.field_path", "pos", "c.value", "c.number", "c.kind"
-            )
-
-        first = F.array(F.lit(0).cast("long"))
-        parts = [
-            cells(self.patients, "demographic.", first,
-                  {"vital_status": "string", "days_to_death": "number", "age_at_index": "number", "race": "string"}),
-            cells(self.diagnoses, "diagnoses[].", F.array("dx_pos"),
-                  {"days_to_diagnosis": "number", "tumor_grade": "string", "ajcc_pathologic_stage": "string",
-                   "method_of_diagnosis": "string", "site_of_resection_or_biopsy": "string",
-                   "prior_malignancy": "string", "year_of_diagnosis": "number"}),
-            cells(self.treatments, "diagnoses[].treatments[].",
-                  F.array("dx_pos", F.col("tx_pos.l_linenumber").cast("long"), "tx_pos.l_partkey", "tx_pos.l_suppkey"),
-                  {"treatment_type": "string", "treatment_or_therapy": "string", "days_to_treatment_start": "number"}),
-            cells(self.pathology_details, "diagnoses[].pathology_details[].", F.array("dx_pos"),
-                  {"lymph_nodes_tested": "number", "lymph_nodes_positive": "number"}),
-            cells(self.follow_ups, "follow_ups[].", F.array("fu_pos"), {"ecog_performance_status": "number"}),
-            cells(self.other_attributes, "follow_ups[].other_clinical_attributes[].", F.array("fu_pos"), {"bmi": "number"}),
-        ]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
+        return long_values(self.families, VALUE_FIELDS)
+
+    @property
+    def bound(self) -> int:
+        return self.object_rows
 
     @cached_property
     def dictionary(self) -> DataFrame:

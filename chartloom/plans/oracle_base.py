@@ -203,3 +203,109 @@ LEFT JOIN (SELECT dataset, field_path, count_if(n_valid > 0) AS valid, count_if(
    var_pop(number) AS variance FROM x_collapsed GROUP BY ALL) c USING (dataset, field_path)
 LEFT JOIN x_info i USING (dataset, field_path) LEFT JOIN x_stage s USING (dataset, field_path)
 """)
+
+# ---- time location ---------------------------------------------------------
+cte("x_txf", """
+SELECT patient_id, dx_pos, bool_or(treatment_type LIKE 'Surgery%' AND treatment_or_therapy <> 'no') AS resected,
+ max(greatest(days_to_treatment_start, days_to_treatment_end)) AS tx_last, min(days_to_treatment_start) AS tx_first,
+ min(CASE WHEN timepoint_category = 'Postoperative' THEN days_to_treatment_start END) AS adj,
+ bool_or(coalesce(timepoint_category = 'Postoperative', false)) AS adj_seen,
+ min(CASE WHEN treatment_type LIKE 'Surgery%' AND treatment_or_therapy <> 'no' THEN days_to_treatment_start END) AS surg
+FROM x_tx GROUP BY ALL
+""")
+cte("x_dxf", """
+SELECT x_dx.*, resected, tx_last, tx_first, adj, adj_seen, surg,
+ (diagnosis_is_primary_disease = 'false' OR classification_of_tumor = 'Prior primary') AS is_prior,
+ (ajcc_pathologic_stage IS NOT NULL OR coalesce(resected, false)) AS evidence,
+ CASE WHEN coalesce(method_of_diagnosis = 'Biopsy', false) AND (ajcc_pathologic_stage IS NOT NULL OR coalesce(resected, false)) THEN 'P2'
+  WHEN NOT coalesce(method_of_diagnosis = 'Biopsy', false) AND ajcc_pathologic_stage IS NOT NULL AND site_of_resection_or_biopsy <> '' THEN 'P1' ELSE 'P3' END AS path_class
+FROM x_dx LEFT JOIN x_txf USING (patient_id, dx_pos)
+""")
+cte("x_ctx", """
+SELECT coalesce(d.dataset, f.dataset) AS dataset, coalesce(d.patient_id, f.patient_id) AS patient_id,
+ coalesce(dx_last, f.fu_last) AS last_fu, CASE WHEN dx_last IS NOT NULL THEN 'diagnoses.days_to_last_follow_up' WHEN f.fu_last IS NOT NULL THEN 'follow_ups.days_to_follow_up' ELSE '' END AS last_src,
+ greatest(coalesce(dx_last, f.fu_last), rec, tx_last, f.fu_last) AS th2,
+ coalesce(adj, CASE WHEN adj_seen THEN tx_first END) AS adj_start, tx_first, surg, coalesce(evidence, false) AS res_ev,
+ CASE WHEN own THEN own_yes ELSE coalesce(any_yes, false) END AS prior_case,
+ CASE WHEN own THEN CASE WHEN own1 THEN 'P1' WHEN own2 THEN 'P2' ELSE 'P3' END ELSE CASE WHEN all1 THEN 'P1' WHEN all2 THEN 'P2' WHEN d.dataset IS NOT NULL THEN 'P3' END END AS main_class,
+ coalesce(days, []) AS follow_days
+FROM (SELECT dataset, patient_id, max(days_to_last_follow_up) AS dx_last, max(days_to_recurrence) AS rec, max(tx_last) AS tx_last, min(tx_first) AS tx_first,
+  min(adj) AS adj, bool_or(adj_seen) AS adj_seen, min(surg) AS surg, bool_or(evidence) AS evidence, bool_or(NOT is_prior) AS own,
+  bool_or(NOT is_prior AND prior_malignancy = 'yes') AS own_yes, bool_or(prior_malignancy = 'yes') AS any_yes,
+  bool_or(NOT is_prior AND path_class = 'P1') AS own1, bool_or(NOT is_prior AND path_class = 'P2') AS own2,
+  bool_or(path_class = 'P1') AS all1, bool_or(path_class = 'P2') AS all2 FROM x_dxf GROUP BY ALL) d
+FULL JOIN (SELECT dataset, patient_id, max(days_to_follow_up) AS fu_last, list(DISTINCT days_to_follow_up) FILTER (days_to_follow_up IS NOT NULL) AS days FROM x_fu GROUP BY ALL) f
+ ON d.patient_id = f.patient_id
+""")
+
+
+def _chain(lo: str, th1: str | None = None) -> str:
+    own = f"{th1}, " if th1 else ""
+    return (f"coalesce({own}CASE WHEN {lo} <> '-Infinity'::DOUBLE THEN list_min(list_filter(follow_days, lambda d: d >= {lo})) END, th2)")
+
+
+_STATUS = ("CASE WHEN st IS NOT NULL THEN st WHEN lo IS NULL AND hi IS NULL THEN 'unlocated' WHEN lo IS NULL OR hi IS NULL THEN 'lo_only' "
+           "WHEN lo = hi THEN 'point' ELSE 'bounded' END")
+_LO = "CASE WHEN st IS NULL THEN lo END AS t_lo, CASE WHEN st IS NULL THEN hi END AS t_hi"
+
+cte("x_tdx", f"""
+SELECT *, {_LO}, {_STATUS} AS status FROM (SELECT f.*, CASE WHEN is_prior AND prior_case THEN 0 ELSE days_to_diagnosis END AS lo,
+ CASE WHEN is_prior AND prior_case THEN 0 WHEN days_to_diagnosis = 0 THEN 0 WHEN days_to_diagnosis IS NULL THEN NULL ELSE {_chain('days_to_diagnosis')} END AS hi,
+ CASE WHEN NOT (is_prior AND prior_case) AND days_to_diagnosis IS NULL THEN 'unlocated' END AS st,
+ prior_case, res_ev, adj_start, th2, follow_days FROM x_dxf f JOIN x_ctx c ON f.patient_id = c.patient_id)
+""")
+cte("x_ttx", f"""
+SELECT *, {_LO}, {_STATUS} AS status FROM (SELECT *, CASE WHEN zero THEN 0 ELSE e END AS lo, CASE WHEN zero THEN 0 ELSE {_chain('e')} END AS hi,
+ CASE WHEN NOT zero AND (coalesce(timepoint_category = 'Prior to Diagnosis', false) OR e IS NULL) THEN 'unlocated' END AS st
+ FROM (SELECT t.*, ((d.is_prior AND d.prior_case) OR (coalesce(t.timepoint_category = 'Prior to Diagnosis', false) AND d.prior_treatment = 'yes')) AS zero,
+  coalesce(days_to_treatment_end, days_to_treatment_start) AS e, d.follow_days, d.th2
+  FROM x_tx t JOIN x_tdx d ON t.patient_id = d.patient_id AND t.dx_pos = d.dx_pos))
+""")
+cte("x_tpth", f"""
+SELECT *, {_LO}, {_STATUS} AS status FROM (SELECT p.*, CASE WHEN d.is_prior AND d.prior_case THEN 0 ELSE days_to_diagnosis END AS lo,
+ CASE WHEN d.is_prior AND d.prior_case THEN 0 WHEN path_class = 'P1' THEN least(days_to_diagnosis, CASE WHEN res_ev THEN adj_start END)
+  ELSE {_chain('days_to_diagnosis', 'CASE WHEN res_ev THEN adj_start END')} END AS hi,
+ CASE WHEN NOT (d.is_prior AND d.prior_case) AND (path_class = 'P3' OR days_to_diagnosis IS NULL) THEN 'unlocated' END AS st
+ FROM x_pth p JOIN x_tdx d ON p.patient_id = d.patient_id AND p.dx_pos = d.dx_pos)
+""")
+cte("x_tfu", """
+SELECT *, days_to_follow_up AS t_lo, days_to_follow_up AS t_hi, CASE WHEN days_to_follow_up IS NOT NULL THEN 'point' ELSE 'unlocated' END AS status,
+ NOT (days_to_follow_up IS NULL AND ecog_performance_status IS NULL) AS slotted FROM x_fu
+""")
+cte("x_tmol", f"""
+SELECT *, {_LO}, {_STATUS} AS status FROM (SELECT *,
+ CASE WHEN days_to_test IS NOT NULL THEN days_to_test WHEN timepoint_category = 'Postoperative' THEN post ELSE '-Infinity'::DOUBLE END AS lo,
+ CASE WHEN days_to_test IS NOT NULL THEN {_chain('days_to_test')} WHEN timepoint_category = 'Initial Diagnosis' THEN 0
+  WHEN timepoint_category IN ('Sample Procurement','Preoperative') AND main_class = 'P1' THEN 0 WHEN timepoint_category = 'Preoperative' THEN surg
+  WHEN timepoint_category = 'Prior to Treatment' THEN tx_first WHEN timepoint_category = 'Postoperative' THEN {_chain('post')} END AS hi,
+ CASE WHEN days_to_test IS NOT NULL OR timepoint_category = 'Initial Diagnosis' THEN NULL
+  WHEN timepoint_category = 'Sample Procurement' AND coalesce(main_class <> 'P1', true) THEN 'unlocated'
+  WHEN timepoint_category = 'Preoperative' AND coalesce(main_class <> 'P1', true) AND surg IS NULL THEN 'unlocated'
+  WHEN timepoint_category = 'Prior to Treatment' AND tx_first IS NULL THEN 'unlocated' WHEN timepoint_category = 'Postoperative' AND post IS NULL THEN 'unlocated'
+  WHEN timepoint_category IS NULL THEN 'unlocated' END AS st
+ FROM (SELECT m.*, main_class, surg, tx_first, th2, follow_days, CASE WHEN main_class = 'P2' THEN surg ELSE 0 END AS post FROM x_mol m JOIN x_ctx c ON m.patient_id = c.patient_id))
+""")
+cte("x_toca", f"""
+SELECT *, {_LO}, {_STATUS} AS status FROM (SELECT o.*, CASE WHEN days_to_comorbidity < 0 THEN 0 WHEN days_to_comorbidity IS NOT NULL THEN days_to_comorbidity ELSE 0 END AS lo,
+ CASE WHEN days_to_comorbidity < 0 THEN 0 WHEN days_to_comorbidity IS NOT NULL THEN {_chain('days_to_comorbidity')} ELSE 0 END AS hi,
+ CASE WHEN days_to_comorbidity IS NULL AND coalesce(timepoint_category <> 'Initial Diagnosis', true) THEN 'unlocated' END AS st
+ FROM x_oca o JOIN x_ctx c ON o.patient_id = c.patient_id)
+""")
+cte("x_slots", """
+SELECT *, row_number() OVER (PARTITION BY patient_id, family ORDER BY k0, k1, k2, k3) AS slot, CASE WHEN status NOT IN ('unlocated', 'non_informative') THEN t_hi END AS record_days FROM (
+ SELECT dataset, patient_id, 'diagnoses' AS family, dx_pos AS k0, 0 AS k1, 0 AS k2, 0 AS k3, t_lo, t_hi, status, updated_at FROM x_tdx
+ UNION ALL SELECT dataset, patient_id, 'diagnoses_treatments', dx_pos, n1, n2, n3, t_lo, t_hi, status, updated_at FROM x_ttx WHERE treatment_or_therapy <> 'no'
+ UNION ALL SELECT dataset, patient_id, 'diagnoses_pathology_details', dx_pos, 0, 0, 0, t_lo, t_hi, status, updated_at FROM x_tpth
+ UNION ALL SELECT dataset, patient_id, 'follow_ups', fu_pos, 0, 0, 0, t_lo, t_hi, status, updated_at FROM x_tfu WHERE slotted
+ UNION ALL SELECT dataset, patient_id, 'follow_ups_molecular_tests', fu_pos, 0, 0, 0, t_lo, t_hi, status, updated_at FROM x_tmol
+ UNION ALL SELECT dataset, patient_id, 'follow_ups_other_clinical_attributes', fu_pos, 0, 0, 0, t_lo, t_hi, status, updated_at FROM x_toca)
+""")
+cte("x_ends", """
+SELECT p.dataset, p.patient_id, vital_status, CASE vital_status WHEN 'Dead' THEN 1 WHEN 'Alive' THEN 0 END AS event,
+ CASE WHEN vital_status = 'Dead' THEN days_to_death ELSE last_fu END AS gt, last_fu, days_to_death,
+ CASE WHEN vital_status = 'Dead' THEN 'demographic.days_to_death' WHEN coalesce(last_src, '') = '' THEN 'diagnoses.days_to_last_follow_up' ELSE last_src END AS src
+FROM x_pat p LEFT JOIN x_ctx c ON p.patient_id = c.patient_id
+""")
+cte("x_labels", """
+SELECT dataset, 'C' || patient_id AS case_id, patient_id, gt / (365.25::DOUBLE / 12.0::DOUBLE) AS survival_months, 1 - event AS censorship FROM x_ends WHERE gt IS NOT NULL AND event IS NOT NULL
+""")
