@@ -9,6 +9,6 @@ def load_queries():
     for module in iter_modules(__path__):
         if module.name.startswith("q_"):
             import_module(f"{__name__}.{module.name}")
-    from .registry import ORACLES, QUERIES
+    from .registry import QUERIES, oracle_texts
 
-    return dict(QUERIES), dict(ORACLES)
+    return dict(QUERIES), oracle_texts()

@@ -12,22 +12,23 @@ def cte(name: str, body: str) -> None:
 
 
 def with_ctes(body: str) -> str:
-    """Prefix a query with exactly the CTEs it uses, in definition order."""
-    needed: set[str] = set()
-    todo = [body]
-    while todo:
-        text = todo.pop()
-        for name, sql in _CTES.items():
-            if name not in needed and re.search(rf"\b{name}\b", text):
-                needed.add(name)
-                todo.append(sql)
-    if not needed:
-        return body.strip()
-    parts = [f"{n} AS ({_CTES[n]})" for n in _CTES if n in needed]
+    """Prefix a query with exactly the CTEs it uses, each after the ones it needs."""
+    order: list[str] = []
+
+    def visit(text: str) -> None:
+        for name in sorted(set(re.findall(r"\bx_\w+\b", text))):
+            if name in _CTES and name not in order:
+                visit(_CTES[name])
+                order.append(name)
+
+    visit(body)
     body = body.strip()
+    if not order:
+        return body
+    ctes = ",\n".join(f"{n} AS ({_CTES[n]})" for n in order)
     if body.upper().startswith("WITH "):
-        return "WITH " + ",\n".join(parts) + ",\n" + body[5:]
-    return "WITH " + ",\n".join(parts) + "\n" + body
+        return f"WITH {ctes},\n{body[5:]}"
+    return f"WITH {ctes}\n{body}"
 
 
 cte("x_index", """

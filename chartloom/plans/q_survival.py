@@ -235,12 +235,12 @@ def m10_signed_rank_exact(c: Clinic):
 
 
 @query("m11_paired_interval", """
-SELECT dataset, field, n, round(m, 6) AS delta, round(m - q * s / sqrt(n), 6) AS ci_lo, round(m + q * s / sqrt(n), 6) AS ci_hi FROM (
+SELECT dataset, field, n, round(m, 9) AS delta, round(m - q * s / sqrt(n), 9) AS ci_lo, round(m + q * s / sqrt(n), 9) AS ci_hi FROM (
  SELECT dataset, field, count(*) AS n, avg(delta) AS m, stddev_samp(delta) AS s, ([12.706204736, 4.302652730, 3.182446305, 2.776445105]::DOUBLE[])[count(*) - 1] AS q FROM x_folds GROUP BY ALL)
 """)
 def m11_paired_interval(c: Clinic):
     t = inference.paired_interval(folds(c), ["dataset", "field"], "delta")
-    return t.select("dataset", "field", "n", *[F.round(x, 6).alias(x) for x in ("delta", "ci_lo", "ci_hi")])
+    return t.select("dataset", "field", "n", *[F.round(x, 9).alias(x) for x in ("delta", "ci_lo", "ci_hi")])
 
 
 @query("m12_bootstrap_interval")

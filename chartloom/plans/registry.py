@@ -22,7 +22,12 @@ def query(name: str, sql: str | None = None):
         QUERIES[name] = lambda spark, folder: fn(Clinic(spark, folder))
         QUERIES[name].__doc__ = fn.__doc__
         if sql is not None:
-            ORACLES[name] = with_ctes(sql)
+            ORACLES[name] = sql
         return fn
 
     return add
+
+
+def oracle_texts() -> dict[str, str]:
+    """Self-contained SQL of every query that has a twin."""
+    return {name: with_ctes(sql) for name, sql in ORACLES.items()}
