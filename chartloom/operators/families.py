@@ -7,7 +7,7 @@ in the case document; children also carry their parent's ``dx_pos`` or
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,22 +18,34 @@ TIMED = tuple(FAMILY_PATHS)
 PREFIXES = {"patients": "demographic.", "exposures": "exposures[].", **{f: p + "." for f, p in FAMILY_PATHS.items()}}
 
 
-@dataclass(frozen=True)
 class Families:
-    patients: DataFrame
-    diagnoses: DataFrame
-    treatments: DataFrame
-    pathology_details: DataFrame
-    follow_ups: DataFrame
-    molecular_tests: DataFrame
-    other_attributes: DataFrame
-    exposures: DataFrame | None = None
+    """Named family tables; a table may be given as a function and is then built on first use."""
+
+    NAMES = (
+        "patients", "diagnoses", "treatments", "pathology_details", "follow_ups", "molecular_tests",
+        "other_attributes", "exposures",
+    )
+
+    def __init__(self, **tables: DataFrame | Callable[[], DataFrame]):
+        self._tables = {"exposures": None, **tables}
+
+    def __getattr__(self, name: str):
+        tables = self.__dict__.get("_tables", {})
+        if name not in tables:
+            raise AttributeError(name)
+        if callable(tables[name]):
+            tables[name] = tables[name]()
+        return tables[name]
 
     def table(self, family: str) -> DataFrame:
         return getattr(self, _ATTRIBUTE.get(family, family))
 
-    def with_tables(self, tables: dict[str, DataFrame]) -> Families:
-        return replace(self, **{_ATTRIBUTE.get(k, k): v for k, v in tables.items()})
+    def with_tables(self, tables: dict[str, DataFrame | Callable[[], DataFrame]]) -> Families:
+        return Families(**{**self._tables, **{_ATTRIBUTE.get(k, k): v for k, v in tables.items()}})
+
+    def mapped(self, names, change: Callable[[str, DataFrame], DataFrame]) -> Families:
+        """The same families with ``change(family, table)`` applied lazily to the named ones."""
+        return self.with_tables({n: (lambda n=n: change(n, self.table(n))) for n in names})
 
 
 _ATTRIBUTE = {

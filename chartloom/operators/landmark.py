@@ -27,17 +27,15 @@ def keeps(landmark: float) -> Column:
 
 def masked(t: Families, landmark: float) -> Families:
     """Families with every failing object dropped; a dropped parent takes its children along."""
-    out = {}
-    dx = t.diagnoses.where(keeps(landmark))
-    fu = t.follow_ups.where(keeps(landmark))
-    out["diagnoses"], out["follow_ups"] = dx, fu
-    for family in TIMED:
+
+    def keep(family: str, table: DataFrame) -> DataFrame:
+        kept = table.where(keeps(landmark))
         if family in ("diagnoses", "follow_ups"):
-            continue
-        parent, key = (dx, "dx_pos") if family.startswith("diagnoses") else (fu, "fu_pos")
-        alive = parent.select("patient_id", key)
-        out[family] = t.table(family).where(keeps(landmark)).join(alive, ["patient_id", key], "left_semi")
-    return t.with_tables(out)
+            return kept
+        parent, key = (t.diagnoses, "dx_pos") if family.startswith("diagnoses") else (t.follow_ups, "fu_pos")
+        return kept.join(parent.where(keeps(landmark)).select("patient_id", key), ["patient_id", key], "left_semi")
+
+    return t.mapped(TIMED, keep)
 
 
 # ---- values read field by field -------------------------------------------
@@ -54,7 +52,7 @@ def readable(t: Families, landmark: float | None) -> Families:
     """
     seen = t
     if landmark is not None:
-        seen = t.with_tables({f: t.table(f).where(F.col("slotted") & passes(landmark)) for f in TIMED})
+        seen = t.mapped(TIMED, lambda _, table: table.where(F.col("slotted") & passes(landmark)))
     dx = seen.diagnoses
     present = F.col("present") if "present" in dx.columns else F.lit(None).cast("array<string>")
     main = dx.groupBy("patient_id").agg(

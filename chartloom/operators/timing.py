@@ -7,6 +7,8 @@ projections of it and need no lookup by object identity.
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -236,21 +238,33 @@ def other_interval() -> Column:
     )
 
 
-def timed(f: Families) -> Families:
+def timed(f: Families, facts: DataFrame | None = None, context: DataFrame | None = None) -> Families:
     """The families with ``t_lo``, ``t_hi``, ``status`` and ``slotted`` on every timed object.
 
     Six families read the same context, so it is written once: one row per
-    diagnosis and one per patient.
+    diagnosis and one per patient.  Tables are placed when first used.
     """
-    facts = checkpointed(diagnosis_facts(f))
-    context = checkpointed(case_context(facts, f.follow_ups))
     who = ["dataset", "patient_id"]
-    placed = facts.join(context.drop("tx_first", "surgery_first"), who)
-    parent = placed.select(
-        "patient_id", "dx_pos", "is_prior", "path_class", "days_to_diagnosis", "prior_treatment",
-        "prior_malignancy_case", "resection_evidence", "adjuvant_start", "th2", "follow_days",
-    )
-    own_context = context.select(*who, "th2", "follow_days", "main_class", "tx_first", "surgery_first")
+
+    @cache
+    def context_table() -> DataFrame:
+        return context if context is not None else checkpointed(case_context(facts_table(), f.follow_ups))
+
+    @cache
+    def facts_table() -> DataFrame:
+        return facts if facts is not None else checkpointed(diagnosis_facts(f))
+
+    def placed() -> DataFrame:
+        return facts_table().join(context_table().drop("tx_first", "surgery_first"), who)
+
+    def parent() -> DataFrame:
+        return placed().select(
+            "patient_id", "dx_pos", "is_prior", "path_class", "days_to_diagnosis", "prior_treatment",
+            "prior_malignancy_case", "resection_evidence", "adjuvant_start", "th2", "follow_days",
+        )
+
+    def own_context() -> DataFrame:
+        return context_table().select(*who, "th2", "follow_days", "main_class", "tx_first", "surgery_first")
 
     def place(df: DataFrame, original: DataFrame, interval: Column, slotted: Column) -> DataFrame:
         return (
@@ -259,22 +273,22 @@ def timed(f: Families) -> Families:
             .select(*original.columns, "_i.t_lo", "_i.t_hi", "_i.status", "slotted")
         )
 
-    yes = F.lit(True)
+    yes, child = F.lit(True), ["patient_id", "dx_pos"]
     return f.with_tables({
-        "diagnoses": place(placed, f.diagnoses, diagnosis_interval(), yes),
-        "diagnoses_treatments": place(
-            f.treatments.join(parent, ["patient_id", "dx_pos"]), f.treatments, treatment_interval(),
+        "diagnoses": lambda: place(placed(), f.diagnoses, diagnosis_interval(), yes),
+        "diagnoses_treatments": lambda: place(
+            f.treatments.join(parent(), child), f.treatments, treatment_interval(),
             ~is_negative(F.col("treatment_or_therapy")),
         ),
-        "diagnoses_pathology_details": place(
-            f.pathology_details.join(parent, ["patient_id", "dx_pos"]), f.pathology_details, pathology_interval(), yes
+        "diagnoses_pathology_details": lambda: place(
+            f.pathology_details.join(parent(), child), f.pathology_details, pathology_interval(), yes
         ),
-        "follow_ups": place(f.follow_ups, f.follow_ups, follow_up_interval(), ~F.col("is_shell")),
-        "follow_ups_molecular_tests": place(
-            f.molecular_tests.join(own_context, who), f.molecular_tests, molecular_interval(), yes
+        "follow_ups": lambda: place(f.follow_ups, f.follow_ups, follow_up_interval(), ~F.col("is_shell")),
+        "follow_ups_molecular_tests": lambda: place(
+            f.molecular_tests.join(own_context(), who), f.molecular_tests, molecular_interval(), yes
         ),
-        "follow_ups_other_clinical_attributes": place(
-            f.other_attributes.join(own_context, who), f.other_attributes, other_interval(), yes
+        "follow_ups_other_clinical_attributes": lambda: place(
+            f.other_attributes.join(own_context(), who), f.other_attributes, other_interval(), yes
         ),
     })
 

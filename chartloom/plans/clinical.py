@@ -13,8 +13,9 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.families import Families, long_values
-from ..operators.timing import timed
+from ..operators.families import TIMED, Families, long_values
+from ..operators.timing import case_context, diagnosis_facts, timed
+from ..scale import stored
 
 # which columns of each family become field values, and their JSON kind
 VALUE_FIELDS = {
@@ -86,8 +87,7 @@ class Clinic:
             F.min("o_orderdate").alias("index_ts"), F.max("o_orderdate").alias("last_ts")
         )
 
-    @cached_property
-    def patients(self) -> DataFrame:
+    def _patients(self) -> DataFrame:
         c = self.tables.read("customer")
         joined = c.join(self._index, c.c_custkey == F.col("patient_id"), "left").drop("patient_id")
         key = F.col("c_custkey")
@@ -107,8 +107,7 @@ class Clinic:
             F.when(key % 4 == 0, F.lit(None).cast("int")).otherwise(key % 3).cast("int").alias("onset_gap"),
         )
 
-    @cached_property
-    def diagnoses(self) -> DataFrame:
+    def _diagnoses(self) -> DataFrame:
         o = self.tables.read("orders")
         last = self.tables.read("lineitem").groupBy("l_orderkey").agg(F.max("l_shipdate").alias("ship_ts"))
         key = F.col("o_orderkey")
@@ -146,8 +145,7 @@ class Clinic:
             F.concat(F.lit("DS"), _text(F.col("c_nationkey") % 5)).alias("dataset"),
         )
 
-    @cached_property
-    def treatments(self) -> DataFrame:
+    def _treatments(self) -> DataFrame:
         li, o = self.tables.read("lineitem"), self.tables.read("orders")
         owner = o.select("o_orderkey", F.col("o_custkey").alias("patient_id"))
         joined = (
@@ -171,8 +169,7 @@ class Clinic:
             F.col("l_shipdate").alias("updated_at"),
         )
 
-    @cached_property
-    def pathology_details(self) -> DataFrame:
+    def _pathology_details(self) -> DataFrame:
         d = self.diagnoses.where(F.col("dx_pos") % 2 == 0)
         return d.select(
             "patient_id", "dataset", "dx_pos", "pos",
@@ -181,8 +178,7 @@ class Clinic:
             "updated_at",
         )
 
-    @cached_property
-    def follow_ups(self) -> DataFrame:
+    def _follow_ups(self) -> DataFrame:
         e = self.tables.read("events")
         k = F.get_json_object("props", "$.k").cast("int")
         day = F.when(F.col("event_type") == "error", None).otherwise(30 * F.dayofmonth("ts")).cast("double")
@@ -198,8 +194,7 @@ class Clinic:
             "is_shell": F.col("days_to_follow_up").isNull() & F.col("ecog_performance_status").isNull(),
         })
 
-    @cached_property
-    def molecular_tests(self) -> DataFrame:
+    def _molecular_tests(self) -> DataFrame:
         f = self.follow_ups
         words = ["Initial Diagnosis", "Sample Procurement", "Preoperative", "Prior to Treatment", "Postoperative"]
         return f.select(
@@ -212,8 +207,7 @@ class Clinic:
             "updated_at",
         )
 
-    @cached_property
-    def other_attributes(self) -> DataFrame:
+    def _other_attributes(self) -> DataFrame:
         f, key = self.follow_ups, F.col("fu_pos")
         return f.select(
             "patient_id", "dataset", "fu_pos", "pos", "bmi",
@@ -223,8 +217,7 @@ class Clinic:
             "updated_at",
         )
 
-    @cached_property
-    def exposures(self) -> DataFrame:
+    def _exposures(self) -> DataFrame:
         p, key = self.patients, F.col("patient_id")
         return p.where(key % 3 != 0).select(
             "patient_id", "dataset", F.array(F.lit(0).cast("long")).alias("pos"),
@@ -235,16 +228,37 @@ class Clinic:
             F.when(key % 4 == 0, "unknown").otherwise(_text(key % 60)).alias("pack_years_smoked"),
         )
 
+    # ---- tables kept in the shared folder -----------------------------------
+    def _stored(self, name: str, build) -> DataFrame:
+        return stored(self.spark, self.tables.folder, name, build)
+
     @cached_property
     def families(self) -> Families:
-        return Families(
-            self.patients, self.diagnoses, self.treatments, self.pathology_details,
-            self.follow_ups, self.molecular_tests, self.other_attributes, self.exposures,
-        )
+        return Families(**{n: (lambda n=n: self._stored(n, getattr(self, f"_{n}"))) for n in Families.NAMES})
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name in Families.NAMES:
+            return getattr(self.families, name)
+        raise AttributeError(name)
+
+    @cached_property
+    def facts(self) -> DataFrame:
+        return self._stored("diagnosis_facts", lambda: diagnosis_facts(self.families))
+
+    @cached_property
+    def context(self) -> DataFrame:
+        return self._stored("case_context", lambda: case_context(self.facts, self.families.follow_ups))
 
     @cached_property
     def timed(self) -> Families:
-        return timed(self.families)
+        """Families with their time location, each written when first used."""
+
+        def located(family: str) -> DataFrame:
+            return self._stored(
+                f"timed_{family}", lambda: timed(self.families, self.facts, self.context).table(family)
+            )
+
+        return self.families.with_tables({f: (lambda f=f: located(f)) for f in TIMED})
 
     @cached_property
     def values(self) -> DataFrame:

@@ -81,7 +81,7 @@ SELECT dataset, patient_id, last_fu AS last_follow_up, th2, adj_start AS adjuvan
 """)
 def a11_case_context(c: Clinic):
     """A11 case context and A14 pathology class of the case."""
-    ctx = timing.case_context(timing.diagnosis_facts(c.families), c.follow_ups)
+    ctx = c.context
     return ctx.select(
         "dataset", "patient_id", "last_follow_up", "th2", "adjuvant_start", "tx_first", "surgery_first",
         "resection_evidence", "prior_malignancy_case", "main_class", F.size("follow_days").cast("long").alias("n_follow_days"),
@@ -90,11 +90,11 @@ def a11_case_context(c: Clinic):
 
 @query("a14_pathology_class", "SELECT patient_id, dx_pos, path_class, is_prior, evidence FROM x_dxf")
 def a14_pathology_class(c: Clinic):
-    return timing.diagnosis_facts(c.families).select("patient_id", "dx_pos", "path_class", "is_prior", "evidence")
+    return c.facts.select("patient_id", "dx_pos", "path_class", "is_prior", "evidence")
 
 
 def ends(c: Clinic):
-    return timing.endpoints(c.patients, timing.case_context(timing.diagnosis_facts(c.families), c.follow_ups))
+    return timing.endpoints(c.patients, c.context)
 
 
 def labels(c: Clinic):
