@@ -26,6 +26,8 @@ def with_ctes(body: str) -> str:
     if not order:
         return body
     ctes = ",\n".join(f"{n} AS ({_CTES[n]})" for n in order)
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes},\n{body[15:]}"
     if body.upper().startswith("WITH "):
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"
