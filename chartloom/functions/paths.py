@@ -82,7 +82,10 @@ def path_values(cases: DataFrame, paths: list[str], doc: str = "doc", keep: list
         groups.setdefault(tuple(arrays), []).append((path, [s.key for s in steps[last:]]))
     out = None
     for arrays, leaves in groups.items():
-        node = cases.select(*keep, F.col(doc).alias("_node"), F.array().cast("array<int>").alias("path_pos"))
+        carried = [f"_k_{k}" for k in keep]
+        node = cases.select(
+            *[F.col(k).alias(f"_k_{k}") for k in keep], F.col(doc).alias("_node"), F.array().cast("array<int>").alias("path_pos")
+        )
         for keys in arrays:
             inner = F.try_variant_get(F.col("_node"), F.lit("$." + keys), "variant")
             node = (
@@ -92,7 +95,7 @@ def path_values(cases: DataFrame, paths: list[str], doc: str = "doc", keep: list
                     cases.sparkSession.tvf.variant_explode(F.col("_inner").outer())
                 )
                 .select(
-                    *keep,
+                    *carried,
                     F.col("value").alias("_node"),
                     F.concat("path_pos", F.array(F.col("pos"))).alias("path_pos"),
                 )
@@ -114,8 +117,8 @@ def path_values(cases: DataFrame, paths: list[str], doc: str = "doc", keep: list
                 )
             )
         part = (
-            node.select(*keep, "path_pos", F.explode(F.array_compact(F.array(*cells))).alias("_c"))
-            .select(*keep, "path_pos", "_c.*")
+            node.select(*carried, "path_pos", F.explode(F.array_compact(F.array(*cells))).alias("_c"))
+            .select(*[F.col(f"_k_{k}").alias(k) for k in keep], "path_pos", "_c.*")
         )
         out = part if out is None else out.unionByName(part)
     return out
