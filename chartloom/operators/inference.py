@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..scale import HOT_ROWS, ordered_columns, value_ranks
 from .survival import _match, _renamed
@@ -16,7 +17,7 @@ EXACT_PAIRS = 50
 EXACT_TIED = 13
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _upper_tail(z: pd.Series) -> pd.Series:
     """Upper tail of the standard normal."""
     return z.map(lambda v: None if v is None or math.isnan(v) else 0.5 * math.erfc(v / math.sqrt(2.0)))

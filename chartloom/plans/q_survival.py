@@ -50,7 +50,8 @@ FROM (SELECT unnest([24.0, 60.0]) AS landmark) l JOIN x_useg c ON c.event AND c.
 _PAIRS = """SELECT i.run_id, i.fold, count(*) AS comparable, count_if(i.risk - j.risk > 1e-8) AS concordant, count_if(abs(i.risk - j.risk) <= 1e-8) AS tied,
  sum(1.0 / (i.g * i.g)) AS wcomp, sum(CASE WHEN abs(i.risk - j.risk) <= 1e-8 THEN 0.5 WHEN i.risk > j.risk THEN 1 ELSE 0 END / (i.g * i.g)) AS wconc
  FROM x_useg i JOIN x_useg j ON i.run_id = j.run_id AND i.fold = j.fold AND i.event AND (j.time > i.time OR (j.time = i.time AND NOT j.event)) GROUP BY ALL"""
-ob.cte("x_c", f"SELECT *, (concordant + 0.5 * tied) / comparable AS c_index, wconc / wcomp AS c_ipcw FROM ({_PAIRS})")
+ob.cte("x_c", f"""SELECT k.run_id, k.fold, coalesce(comparable, 0) AS comparable, coalesce(concordant, 0) AS concordant, coalesce(tied, 0) AS tied,
+ coalesce((concordant + 0.5 * tied) / comparable, 0.0) AS c_index, coalesce(wconc / wcomp, 0.0) AS c_ipcw FROM (SELECT DISTINCT run_id, fold FROM x_use) k LEFT JOIN ({_PAIRS}) p ON p.run_id = k.run_id AND p.fold = k.fold""")
 
 
 def predictions(c: Clinic):
