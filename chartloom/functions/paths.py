@@ -40,11 +40,20 @@ def timed_family(path: Column) -> Column:
     return out
 
 
-def kind_of(value: Column) -> Column:
-    """JSON kind of a VARIANT value."""
-    schema = F.schema_of_variant(value)
+def array_of(value: Column, path: str = "$") -> Column:
+    """The array under a path, null when there is something else or nothing."""
+    return F.try_variant_get(value, F.lit(path), "array<variant>")
+
+
+def object_of(value: Column, path: str = "$") -> Column:
+    """The object under a path as a map of its keys, null when there is something else or nothing."""
+    return F.try_variant_get(value, F.lit(path), "map<string,variant>")
+
+
+def kind_of_schema(schema: Column) -> Column:
+    """JSON kind from the schema text of a VARIANT value."""
     return (
-        F.when(value.isNull() | (schema == "VOID"), "null")
+        F.when(schema.isNull() | (schema == "VOID"), "null")
         .when(schema == "STRING", "string")
         .when(schema == "BOOLEAN", "boolean")
         .when(schema.startswith("ARRAY"), "array")
@@ -53,14 +62,6 @@ def kind_of(value: Column) -> Column:
     )
 
 
-def text_of(value: Column) -> Column:
-    """Text of a VARIANT value; strings without quotes, null for JSON null."""
-    plain = F.expr("null").cast("string")
-    return F.when(kind_of(value) == "string", value.cast("string")).when(
-        kind_of(value) != "null", F.to_json(value)
-    ).otherwise(plain)
-
-
 def path_values(cases: DataFrame, paths: list[str], doc: str = "doc", keep: list[str] = ()) -> DataFrame:
     """Long table of every value under the given paths.
 
@@ -87,37 +88,29 @@ def path_values(cases: DataFrame, paths: list[str], doc: str = "doc", keep: list
             *[F.col(k).alias(f"_k_{k}") for k in keep], F.col(doc).alias("_node"), F.array().cast("array<int>").alias("path_pos")
         )
         for keys in arrays:
-            inner = F.try_variant_get(F.col("_node"), F.lit("$." + keys), "variant")
-            node = (
-                node.withColumn("_inner", inner)
-                .where(kind_of(F.col("_inner")) == "array")
-                .lateralJoin(
-                    cases.sparkSession.tvf.variant_explode(F.col("_inner").outer())
-                )
-                .select(
-                    *carried,
-                    F.col("value").alias("_node"),
-                    F.concat("path_pos", F.array(F.col("pos"))).alias("path_pos"),
-                )
+            # anything but an array gives null here, and null explodes to nothing
+            node = node.select(*carried, "path_pos", F.posexplode(array_of(F.col("_node"), "$." + keys)).alias("_p", "_node")).select(
+                *carried, F.concat("path_pos", F.array("_p")).alias("path_pos"), "_node"
             )
+        # leaves first, their schemas next: each is worked out once
+        leaf_values = {
+            f"_v{i}": F.try_variant_get("_node", F.lit("$." + ".".join(keys)), "variant") if keys else F.coalesce("_node", F.parse_json(F.lit("null")))
+            for i, (_, keys) in enumerate(leaves)
+        }
+        read = node.select(*carried, "path_pos", *[v.alias(n) for n, v in leaf_values.items()])
+        read = read.select(*carried, "path_pos", *leaf_values, *[F.schema_of_variant(n).alias(f"_s{n}") for n in leaf_values])
         cells = []
-        for path, keys in leaves:
-            if keys:
-                value = F.try_variant_get(F.col("_node"), F.lit("$." + ".".join(keys)), "variant")
-            else:
-                value = F.col("_node")
+        for i, (path, _) in enumerate(leaves):
+            value, schema = F.col(f"_v{i}"), F.col(f"_s_v{i}")
+            text = F.when(schema == "STRING", value.cast("string")).when(schema != "VOID", F.to_json(value))
             cells.append(
                 F.when(
                     value.isNotNull(),
-                    F.struct(
-                        F.lit(path).alias("field_path"),
-                        text_of(value).alias("value"),
-                        kind_of(value).alias("kind"),
-                    ),
+                    F.struct(F.lit(path).alias("field_path"), text.alias("value"), kind_of_schema(schema).alias("kind")),
                 )
             )
         part = (
-            node.select(*carried, "path_pos", F.explode(F.array_compact(F.array(*cells))).alias("_c"))
+            read.select(*carried, "path_pos", F.explode(F.array_compact(F.array(*cells))).alias("_c"))
             .select(*[F.col(f"_k_{k}").alias(k) for k in keep], "path_pos", "_c.*")
         )
         out = part if out is None else out.unionByName(part)

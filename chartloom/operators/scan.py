@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.paths import kind_of
+from ..functions.paths import array_of, object_of
 from ..functions.text import leaf, without_arrays
 
 # Labels of generic fields, of ids and of unknown fields; clinical entities and their path prefix.
@@ -33,16 +33,13 @@ def _inside(prefix: Column, v: Column) -> Column:
 
     def entry(e: Column) -> Column:
         path = F.when(prefix == "", e["key"]).otherwise(F.concat(prefix, F.lit("."), e["key"]))
-        child, kind = e["value"], kind_of(e["value"])
-        items = F.filter(F.try_variant_get(child, F.lit("$"), "array<variant>"), lambda x: kind_of(x) == "object")
-        nested = (
-            F.when(kind == "object", F.array(row(path, F.lit(None), child)))
-            .when(kind == "array", F.transform(items, lambda x: row(F.concat(path, F.lit("[]")), F.lit(None), x)))
-            .otherwise(empty)
-        )
+        child = e["value"]
+        items = F.filter(array_of(child), lambda x: object_of(x).isNotNull())
+        inside = F.transform(items, lambda x: row(F.concat(path, F.lit("[]")), F.lit(None), x))
+        nested = F.when(object_of(child).isNotNull(), F.array(row(path, F.lit(None), child))).otherwise(F.coalesce(inside, empty))
         return F.concat(F.array(row(prefix, e["key"], none)), nested)
 
-    entries = F.map_entries(F.try_variant_get(v, F.lit("$"), "map<string,variant>"))
+    entries = F.map_entries(object_of(v))
     return F.coalesce(F.flatten(F.transform(entries, entry)), empty)
 
 
@@ -53,7 +50,7 @@ def scan_keys(cases: DataFrame, depth: int = 8) -> DataFrame:
     one chain without a shuffle; only distinct keys are moved.  Objects nested
     below ``depth`` fail the job rather than being left out.
     """
-    node = cases.where(kind_of(F.col("doc")) == "object").select(
+    node = cases.where(object_of(F.col("doc")).isNotNull()).select(
         "dataset", F.struct(F.lit("").alias("prefix"), F.lit(None).cast("string").alias("key"), F.col("doc").alias("v")).alias("n")
     )
     for _ in range(depth):
