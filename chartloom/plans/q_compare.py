@@ -48,7 +48,7 @@ def rounded(df, digits=6, skip=()):
 
 
 @query("a34_dataset_profile", """
-SELECT dataset, count(*) AS n_fields, min(c) AS c_min, max(c) AS c_max, round(quantile_cont(c, 0.5), 6) AS c_median, round(quantile_cont(c, 0.25), 6) AS c_q1, round(quantile_cont(c, 0.75), 6) AS c_q3, round(avg(c), 6) AS c_mean,
+SELECT dataset, count(*) AS n_fields, round(min(c), 6) AS c_min, round(max(c), 6) AS c_max, round(quantile_cont(c, 0.5), 6) AS c_median, round(quantile_cont(c, 0.25), 6) AS c_q1, round(quantile_cont(c, 0.75), 6) AS c_q3, round(avg(c), 6) AS c_mean,
  round(coalesce(stddev_samp(c), 0), 6) AS c_std, round(max(c) - min(c), 6) AS field_spread, count_if(c >= 0.5) AS n_ge_chance, round(count_if(c >= 0.5) / CAST(count(*) AS DOUBLE), 6) AS frac_ge_chance, arg_max(field, (c, field)) AS top1_field FROM x_fs GROUP BY 1
 """)
 def a34_dataset_profile(c: Clinic):
@@ -56,7 +56,7 @@ def a34_dataset_profile(c: Clinic):
 
 
 @query("a35_field_profile", """
-SELECT field, count(*) AS n_datasets, round(quantile_cont(c, 0.5), 6) AS c_median, round(avg(c), 6) AS c_mean, min(c) AS c_min, max(c) AS c_max, round(max(c) - min(c), 6) AS c_range, round(coalesce(stddev_samp(c), 0), 6) AS c_std, string_agg(dataset, ',' ORDER BY dataset) AS datasets FROM x_fs GROUP BY 1
+SELECT field, count(*) AS n_datasets, round(quantile_cont(c, 0.5), 6) AS c_median, round(avg(c), 6) AS c_mean, round(min(c), 6) AS c_min, round(max(c), 6) AS c_max, round(max(c) - min(c), 6) AS c_range, round(coalesce(stddev_samp(c), 0), 6) AS c_std, string_agg(dataset, ',' ORDER BY dataset) AS datasets FROM x_fs GROUP BY 1
 """)
 def a35_field_profile(c: Clinic):
     return rounded(compare.field_profile(scores(c)))
