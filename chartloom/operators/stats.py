@@ -30,7 +30,8 @@ def patient_values(values: DataFrame) -> DataFrame:
     """One row per (dataset, field, patient): counts of raw states and the collapsed value.
 
     A first grouping by distinct value keeps repeats from ever being collected;
-    only distinct texts of one patient's field meet in a list.  Means are taken
+    only the distinct values of one patient's field meet in a list, which is
+    also what the collapsed text of a non-numeric field spells out.  Means are taken
     over fixed-point sums where the values allow it, so they do not depend on
     the order rows arrive in.
     """
