@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chartloom.scale import checkpointed, shared_folder
-
-__all__ = ["SPACE", "checkpointed", "shared_folder", "let", "whole", "words", "word_hashes", "shingle_hashes",
-           "fresh", "position_in", "ordered_splits", "table"]
+from chartloom.scale import shared_folder
 
 #: the characters that separate words
 SPACE = "\\x20\\x09-\\x0D"
@@ -20,6 +18,21 @@ def table(spark, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def saved(df: DataFrame) -> DataFrame:
+    """The table written once to the shared folder and read back: lineage ends here, and the rows stay as they are."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/llm-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_saved(spark) -> None:
+    """Delete what ``saved`` wrote in this application; call it when the results are written."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/llm-{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with the value worked out once, also when the body uses it inside lambdas."""
     return F.transform(F.array(value), body)[0]

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from chartloom.llm import quality
+from chartloom.llm import pieces, quality, shards, urls
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
+    "op2_pieces": pieces.op2_pieces,
+    "op5_shards": shards.op5_shards,
+    "op10_url_filter": urls.op10_url_filter,
 }
 
 ORACLES = {
     "op1_quality_rules": quality.ORACLE,
+    "op10_url_filter": urls.ORACLE,
 }
