@@ -87,13 +87,13 @@ def fresh(df: DataFrame, *stems: str) -> list[str]:
     return out
 
 
-def position_in(splits: Iterable, key: Column, kind: str) -> Column:
-    """How many of the ascending ``splits`` are at or below ``key``, by binary search."""
+def position_in(splits: Iterable[Column], key: Column, strict: bool = False) -> Column:
+    """How many of the ascending ``splits`` are at or below ``key`` (below it, if strict), by binary search."""
     splits = list(splits)
     n = len(splits)
     if n == 0:
         return F.lit(0)
-    held = F.array(*[F.lit(s).cast(kind) for s in splits])
+    held = F.array(*splits)
     steps = F.array(*[F.lit(0)] * (n.bit_length() + 1))
 
     def narrow(array: Column, want: Column) -> Column:
@@ -102,7 +102,7 @@ def position_in(splits: Iterable, key: Column, kind: str) -> Column:
         def step(at: Column, _: Column) -> Column:
             mid = F.floor((at["lo"] + at["hi"]) / 2).cast("int")
             done = at["lo"] >= at["hi"]
-            right = F.get(array, mid) <= want
+            right = F.get(array, mid) < want if strict else F.get(array, mid) <= want
             return F.struct(
                 F.when(done, at["lo"]).when(right, mid + 1).otherwise(at["lo"]).alias("lo"),
                 F.when(done, at["hi"]).when(right, at["hi"]).otherwise(mid).alias("hi"),
@@ -110,12 +110,19 @@ def position_in(splits: Iterable, key: Column, kind: str) -> Column:
 
         return F.aggregate(steps, start, step)["lo"]
 
-    return let(held, lambda a: let(key, lambda k: F.when(k.isNull(), F.lit(0)).otherwise(narrow(a, k))))
+    return let(held, lambda a: let(key, lambda k: narrow(a, k)))
 
 
-def ordered_splits(df: DataFrame, key: str, pieces: int) -> list:
-    """At most ``pieces - 1`` values of the key that cut its rows into about equal parts."""
+def ordered_splits(df: DataFrame, key: str, pieces: int) -> list[int]:
+    """At most ``pieces - 1`` values of a long key, all of them in the table, that cut its rows into about equal parts.
+
+    A part holds the keys above one value and up to the next.
+    """
     if pieces < 2:
         return []
-    found = df.agg(F.percentile_approx(key, [i / pieces for i in range(1, pieces)], max(10_000, 20 * pieces)).alias("q")).first()["q"]
-    return sorted(set(found or []))
+    shares = [i / pieces for i in range(1, pieces)]
+    found = df.agg(F.percentile_approx(key, shares, max(10_000, 20 * pieces)).alias("q")).first()["q"]
+    about = [F.lit(x).cast("long") for x in sorted(set(found or []))]
+    # the sketch works on doubles; the parts' largest keys are exact
+    tops = df.groupBy(position_in(about, F.col(key), strict=True).alias("part")).agg(F.max(key).alias("top")).collect()
+    return sorted(r["top"] for r in tops)[:-1]

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from chartloom.llm import pieces, quality, shards, simhash, token_files, urls
+from chartloom.llm import fingerprints, pieces, quality, shards, simhash, token_files, urls
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op2_pieces": pieces.op2_pieces,
+    "op4_fingerprints": fingerprints.op4_fingerprints,
     "op5_shards": shards.op5_shards,
     "op6_token_files": token_files.op6_token_files,
     "op8_simhash": simhash.op8_simhash,

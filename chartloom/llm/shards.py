@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chartloom.llm.common import saved, let, table, whole
+from chartloom.llm.common import position_in, saved, table, whole
 
 SHARDS = 24
 #: keys drawn for each range; a range holds about 1/RANGES_A_SHARD of a shard at most
@@ -30,26 +30,8 @@ def _unit(*seeds) -> Column:
 
 
 def _range_of(splits: list[tuple], key: Column) -> Column:
-    """Number of splitters at or below the key, by binary search over one array of structs."""
-    if not splits:
-        return F.lit(0)
-    n = len(splits)
-    held = F.array(*[F.struct(*[F.lit(v).cast("long").alias(k) for k, v in zip(KEY, row)]) for row in splits])
-    steps = F.array(*[F.lit(0)] * (n.bit_length() + 1))
-
-    def search(a: Column, k: Column) -> Column:
-        def step(at: Column, _: Column) -> Column:
-            mid = F.floor((at["lo"] + at["hi"]) / 2).cast("int")
-            done = at["lo"] >= at["hi"]
-            right = F.get(a, mid) <= k
-            return F.struct(
-                F.when(done, at["lo"]).when(right, mid + 1).otherwise(at["lo"]).alias("lo"),
-                F.when(done, at["hi"]).when(right, at["hi"]).otherwise(mid).alias("hi"),
-            )
-
-        return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.lit(n).alias("hi")), step)["lo"]
-
-    return let(held, lambda a: let(key, lambda k: search(a, k)))
+    """Number of splitters at or below the key."""
+    return position_in([F.struct(*[F.lit(v).cast("long").alias(k) for k, v in zip(KEY, row)]) for row in splits], key)
 
 
 def _draw(keys: DataFrame, share: Column, round_: int) -> list[tuple]:
