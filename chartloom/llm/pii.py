@@ -118,7 +118,7 @@ def _vote(yes: Column, no: Column) -> Column:
 def _votes(p: Pattern, m: Column, ok: Column, before: Column, after: Column) -> dict[str, Column]:
     digits = F.length(_digits(m))
     if p.kind == "email":
-        top = F.lower(F.regexp_extract(m, "([A-Za-z0-9-]+)$", 1))
+        top = F.lower(F.substring_index(m, ".", -1))
         listed = _vote(top.isin(TOP_LEVEL), ~top.rlike("^[a-z]{2,}$"))
         size = _vote(F.length(m).between(6, 60), F.length(m) > 120)
     elif p.kind == "phone":

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from chartloom.llm import fingerprints, pieces, pii, quality, shards, simhash, token_files, urls
+from chartloom.llm import classifier, fingerprints, pieces, pii, quality, shards, simhash, token_files, urls
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op2_pieces": pieces.op2_pieces,
+    "op3_quality_classifier": classifier.op3_quality_classifier,
     "op4_fingerprints": fingerprints.op4_fingerprints,
     "op5_shards": shards.op5_shards,
     "op6_token_files": token_files.op6_token_files,
