@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chartloom.llm.common import SPACE, fresh, saved, table, whole
+from chartloom.llm.common import fresh, saved, table, whole
 
 RADIUS, SHINGLE, SEED, BITS = 2, 3, 42, 64
 #: fingerprints compared pair by pair inside one bucket
@@ -40,11 +40,10 @@ BLOCK = 4
 #: cost of one probe row against one compared candidate
 PROBE_COST = 8.0
 
-_UPPER_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
-
-def _simhash(text: str, split, hash64) -> int:
-    found = split(text.translate(_UPPER_LOWER))
+def _simhash(text: str, hash64) -> int:
+    # on bytes, lower() and split() know A-Z and the six ASCII spaces only
+    found = text.encode().lower().split()
     if not found:
         return 0
     n = max(1, len(found) - SHINGLE + 1)
@@ -53,9 +52,9 @@ def _simhash(text: str, split, hash64) -> int:
         stop = min(n, start + 65_536)
         part = found[start:stop + SHINGLE - 1]
         if len(part) >= SHINGLE:
-            hashes = [hash64(" ".join(x), SEED) for x in zip(part, part[1:], part[2:])]
+            hashes = [hash64(b" ".join(x), SEED) for x in zip(part, part[1:], part[2:])]
         else:
-            hashes = [hash64(" ".join(part), SEED)]
+            hashes = [hash64(b" ".join(part), SEED)]
         bits = np.unpackbits(np.array(hashes, "<u8").view("u1").reshape(len(hashes), 8), axis=1, bitorder="little")
         counts += bits.sum(axis=0, dtype="int64")
     on = counts * 2 > n
@@ -67,19 +66,16 @@ def simhash(df: DataFrame, text: str = "text", name: str = "fingerprint", keep:
 
     A-Z count as a-z; a text of fewer than three words is one shingle.
     """
-    import re
-
     kept = [c for c in (df.columns if keep is None else keep) if c != name]
     (source,) = [text] if text in kept else fresh(df, "simhash_text")
     given = df.select(*kept, *([] if text in kept else [F.col(text).alias(source)]))
     schema = df.select(*kept, F.lit(0).cast("long").alias(name)).schema
-    words = re.compile(f"[^{SPACE}]+")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
-            values = [_simhash(x.as_py() or "", words.findall, xxhash.xxh64_intdigest) for x in batch.column(source)]
+            values = [_simhash(x.as_py() or "", xxhash.xxh64_intdigest) for x in batch.column(source)]
             yield pa.RecordBatch.from_arrays(
                 [*batch.select(kept).columns, pa.array(values, pa.int64())], names=[*kept, name]
             )

@@ -22,9 +22,12 @@ manifest, written by Spark, names the files of the attempts that count.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import uuid
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,10 +42,19 @@ MAGIC = b"PFB1"
 BLOCK = 4096
 PERCENTILES = (100, 99.5, 99, 98, 95, 90)
 END_ID = 2
-#: words that a task remembers; forgetting costs time only
-KNOWN_WORDS = 300_000
+#: pieces and words that a task remembers; forgetting costs time only
+KNOWN_PIECES = 500_000
 #: bytes of ids after which a reader hands documents on
 CHUNK = 8_000_000
+# fixed values: the stages of the tokenizer file that the plain way repeats
+_SPLIT_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+_NORMALIZER = {"type": "Sequence", "normalizers": [
+    {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": _SPLIT_PATTERN}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+_PLAIN = re.compile("[\t\n\r\x20-~À-ÖØ-öø-ÿ]*")
+_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+")
 _BLOCK_HEAD, _TRAILER = struct.Struct("<IIIB"), struct.Struct("<QQQ4s")
 
 
@@ -174,10 +186,13 @@ class TokenFile:
 
 
 class WordTokenizer:
-    """Ids by the tokenizers library, once for each different word of a bounded table.
+    """Ids by the tokenizers library, once for each different piece of a bounded table.
 
-    Cuts at spaces, tabs and line ends only, which the tokenizer drops and never
-    joins across, so the words' ids are the text's ids.
+    Texts of the letters, digits and marks in ``_PLAIN`` are stable under the
+    tokenizer's normalizer but for case, and ``_SPLIT`` cuts them as its
+    pre-tokenizer does; each piece goes to the library's model.  Other texts are
+    cut at spaces, tabs and line ends only, which the tokenizer drops and never
+    joins across, and each word takes the library's whole way.
     """
 
     def __init__(self, path: str):
@@ -185,19 +200,38 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
-        self.blank = str.maketrans("\n\t\r", "   ")
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.plain = spec["normalizer"] == _NORMALIZER and spec["pre_tokenizer"] == _PRE_TOKENIZER and all(
+            t["content"].startswith("<|") for t in spec["added_tokens"]
+        )
+        self.model = self.tokenizer.model
+        # the byte-level spelling of the plain characters beyond ASCII
+        self.spelled = {
+            c: self.tokenizer.pre_tokenizer.pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x100) if c != 0xF7
+        } if self.plain else {}
+        self.pieces: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {"": b""}
 
     def encode(self, text: str) -> bytes:
-        words = text.translate(self.blank).split(" ")
-        new = list(set(words).difference(self.known))
-        if new:
-            if len(self.known) + len(new) > KNOWN_WORDS:
-                self.known = {"": b""}
-                new = list(set(words).difference(self.known))
-            for word, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                self.known[word] = np.array(found.ids, "<u4").tobytes()
-        return b"".join(map(self.known.__getitem__, words))
+        if self.plain and _PLAIN.fullmatch(text) and "<|" not in text:
+            pieces, known = _SPLIT.findall(text.lower()), self.pieces
+            new = set(pieces).difference(known)
+            if len(known) + len(new) > KNOWN_PIECES:
+                known.clear()
+                new = set(pieces)
+            for piece in new:
+                spelled = piece if piece.isascii() else piece.translate(self.spelled)
+                known[piece] = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+            return b"".join([known[p] for p in pieces])
+        words, known = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "), self.words
+        new = list(set(words).difference(known))
+        if len(known) + len(new) > KNOWN_PIECES:
+            known.clear()
+            new = list(set(words))
+        for word, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False) if new else ()):
+            known[word] = array("I", found.ids).tobytes()
+        return b"".join([known[w] for w in words])
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
