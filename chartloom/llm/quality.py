@@ -164,8 +164,8 @@ def op1_quality_rules(spark, folder: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, folder: str) -> DataFrame:
     """Documents that every rule keeps."""
-    columns = docs.columns
-    return quality_rules(docs).where("kept").select(*columns)
+    row = docs.select(F.struct(*docs.columns).alias("row"), "text")  # keeps clashing names apart
+    return quality_rules(row).where("kept").select("row.*")
 
 
 def _sql_rule(r: Rule) -> str:

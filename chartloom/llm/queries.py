@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chartloom.llm import classifier, fingerprints, pieces, pii, quality, shards, simhash, token_files, urls
+from chartloom.llm import classifier, fingerprints, mixing, pieces, pii, quality, shards, simhash, token_files, urls
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_fingerprints": fingerprints.op4_fingerprints,
     "op5_shards": shards.op5_shards,
     "op6_token_files": token_files.op6_token_files,
+    "op7_mixing": mixing.op7_mixing,
     "op8_simhash": simhash.op8_simhash,
     "op9_pii": pii.op9_pii,
     "op10_url_filter": urls.op10_url_filter,

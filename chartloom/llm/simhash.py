@@ -323,6 +323,7 @@ def stage(spark, docs: DataFrame, folder: str) -> DataFrame:
     best = found.groupBy("group").agg(
         F.min(F.struct(F.coalesce("doc_id", F.lit(last)).alias("id"), F.col("text_hash").alias("hash"))).alias("b")
     ).select(F.col("b.id").alias("_best_id"), F.col("b.hash").alias("_best_hash"))
-    named = docs.withColumns({"_sort_id": F.coalesce("doc_id", F.lit(last)), "_sort_hash": F.xxhash64(whole(F.col("text")))})
-    kept = named.join(best, (F.col("_sort_id") == F.col("_best_id")) & (F.col("_sort_hash") == F.col("_best_hash")))
-    return kept.dropDuplicates(["_sort_id", "_sort_hash"]).select(*columns)
+    id_, hash_ = fresh(docs, "sort_id", "sort_hash")
+    named = docs.withColumns({id_: F.coalesce("doc_id", F.lit(last)), hash_: F.xxhash64(whole(F.col("text")))})
+    best = best.select(F.col("_best_id").alias(id_), F.col("_best_hash").alias(hash_))
+    return named.join(best, [id_, hash_]).dropDuplicates([id_, hash_]).select(*columns)
