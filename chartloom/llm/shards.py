@@ -21,6 +21,8 @@ from chartloom.llm.common import position_in, saved, table, whole
 SHARDS = 24
 #: keys drawn for each range; a range holds about 1/RANGES_A_SHARD of a shard at most
 DRAWN, RANGES_A_SHARD = 20, 4
+#: a group of equal texts up to this part of a shard is not cut
+TOGETHER = 0.01
 KEY = ("_k1", "_k2", "_k3")
 
 
@@ -43,7 +45,7 @@ def shards(df: DataFrame, text: str = "text", id_: str = "doc_id", count: int =
     """The rows' id with ``size``, ``text_crc32``, ``law``, ``shard``, ``slot`` and ``grown_shard``.
 
     ``size`` is the text's bytes plus 8 (8 for null and empty).  Shards differ
-    from an equal share by about one row's size; a row larger than a share
+    from an equal share by about one row's size or ``TOGETHER`` of a share; a row larger than a share
     leaves a neighbour short.  Repeated rows are placed one by one.  Only the id
     and the text are used, so other columns may have any name.  An empty table
     gives an empty result.  Rows keep their id even when it is null.
@@ -100,11 +102,18 @@ def shards(df: DataFrame, text: str = "text", id_: str = "doc_id", count: int =
     order = Window.partitionBy("_range").orderBy(*KEY)
     run = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     at = placed.join(base, "_range").select(
-        "id", "size", "text_crc32",
+        "id", "size", "text_crc32", "_k1",
         (F.col("_before") + F.sum("size").over(run) - F.col("size")).alias("_at"),
         (F.col("_seen") + F.row_number().over(order) - 1).alias("_row"),
     )
-    middle = F.col("_at") * 2 + F.col("size")
+    # equal texts stay together unless they are a notable part of a shard
+    group = at.groupBy(F.col("_k1").alias("_g")).agg(
+        F.min("_at").alias("_group_at"), F.sum("size").alias("_group_size"), F.count(F.lit(1)).alias("_n")
+    ).where((F.col("_n") > 1) & (F.col("_group_size") <= F.lit(total / count * TOGETHER))).drop("_n")
+    at = at.join(group, F.col("_k1") == F.col("_g"), "left").withColumns({
+        "_at": F.coalesce("_group_at", "_at"), "_span": F.coalesce("_group_size", "size")
+    }).select("id", "size", "text_crc32", "_at", "_span", "_row")
+    middle = F.col("_at") * 2 + F.col("_span")
     shard = F.least(F.lit(count - 1), F.floor(middle.cast("decimal(38,0)") * count / F.lit(2 * max(total, 1)).cast("decimal(38,0)"))).cast("int")
     at = saved(at.withColumn("shard", shard))
     first = F.broadcast(at.groupBy(F.col("shard").alias("_shard")).agg(F.min("_row").alias("_first")))
