@@ -233,7 +233,7 @@ def _em(votes: np.ndarray, counts: np.ndarray, rounds: int = 60) -> tuple[float,
     at = votes + 1  # 0: no, 1: nothing, 2: yes
     fair = np.tile(np.array([[0.5, 1.0, 2.5]]), (labelers, 1))
     # the format rule's imagined spans keep their share of the counts, whatever the table's size
-    fair[VOTES.index("form")] = np.array([0.001, 0.01, 1.0]) * (1 + FORM_WEIGHT * counts.sum())
+    fair[VOTES.index("form")] = np.array([1e-5, 0.01, 1.0]) * (1 + FORM_WEIGHT * counts.sum())
     for _ in range(rounds):
         yes, no = fair.copy(), fair[:, ::-1].copy()
         for j in range(labelers):
@@ -271,12 +271,21 @@ def fit(patterns: list) -> SpanModel:
     for i, r in enumerate(patterns):
         for f in _features(r):
             x[i, place[f]] = 1
-    # weighted logistic regression by Newton steps with a unit ridge
-    w = np.zeros(len(names))
+    # weighted logistic regression by Newton steps; a unit ridge pulls it to the label model, so that few spans
+    # leave the labelers' reliabilities in charge
+    ground = np.zeros(len(names))
+    for k, (prior, yes, no) in model.reliability.items():
+        part = counts[kinds == k].sum() / counts.sum()
+        odds = np.log(yes / no)
+        for f, i in place.items():
+            if f[0] == "votes":
+                ground[i] += part * (odds[f[1], f[2] + 1] - odds[f[1], 1])
+        ground[place["bias", 0, 0]] += part * (np.log(prior / (1 - prior)) + odds[:, 1].sum())
+    w = ground.copy()
     weight = counts / counts.sum() * min(counts.sum(), 10_000.0)
     for _ in range(25):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (weight * (p - target)) + w
+        slope = x.T @ (weight * (p - target)) + (w - ground)
         bend = (x.T * (weight * p * (1 - p))) @ x + np.eye(len(names))
         w = w - np.linalg.solve(bend, slope)
     model.weights = dict(zip(names, w.tolist()))
