@@ -72,8 +72,6 @@ PATTERNS = (
 )
 
 VOTES = ("form", "list", "near", "edge", "size")
-#: how much more the format rule counts at the start of EM
-FORM_WEIGHT = 5.0
 
 
 def _luhn(digits: Column) -> Column:
@@ -221,19 +219,15 @@ class SpanModel:
 def _em(votes: np.ndarray, counts: np.ndarray, rounds: int = 60) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
     """Two-class Dawid-Skene over vote patterns: prior, P(vote|true), P(vote|false), posteriors.
 
-    Starts from the majority, the format rule counting ``FORM_WEIGHT`` times.
-    Imagined spans, in which labelers mostly agree with the class, smooth the
-    counts so that a kind with few candidates keeps sane reliabilities; the
-    format rule has more of them, as what fails a check sum is seldom right.
+    Starts from the majority.  Imagined spans, in which labelers mostly agree
+    with the class, smooth the counts so that a kind with few candidates keeps
+    sane reliabilities.  What fails its format rule is never true.
     """
     n, labelers = votes.shape
-    trust = np.ones(labelers)
-    trust[VOTES.index("form")] = FORM_WEIGHT
-    post = 1 / (1 + np.exp(-1.5 * votes @ trust))
+    most = np.where(votes[:, VOTES.index("form")] < 0, 0.001, 1.0)
+    post = np.minimum(1 / (1 + np.exp(-1.5 * votes.sum(axis=1))), most)
     at = votes + 1  # 0: no, 1: nothing, 2: yes
     fair = np.tile(np.array([[0.5, 1.0, 2.5]]), (labelers, 1))
-    # the format rule's imagined spans keep their share of the counts, whatever the table's size
-    fair[VOTES.index("form")] = np.array([1e-5, 0.01, 1.0]) * (1 + FORM_WEIGHT * counts.sum())
     for _ in range(rounds):
         yes, no = fair.copy(), fair[:, ::-1].copy()
         for j in range(labelers):
@@ -242,7 +236,7 @@ def _em(votes: np.ndarray, counts: np.ndarray, rounds: int = 60) -> tuple[float,
         yes, no = yes / yes.sum(axis=1, keepdims=True), no / no.sum(axis=1, keepdims=True)
         prior = ((counts * post).sum() + 1) / (counts.sum() + 2)
         odds = np.log(prior / (1 - prior)) + sum(np.log(yes[j, at[:, j]] / no[j, at[:, j]]) for j in range(labelers))
-        post = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+        post = np.minimum(1 / (1 + np.exp(-np.clip(odds, -30, 30))), most)
     return prior, yes, no, post
 
 
@@ -300,8 +294,9 @@ def learn(found: DataFrame, column: str) -> SpanModel:
 
 
 def accepted(found: Column, model: SpanModel) -> Column:
-    """Base findings and the candidates that the classifier takes."""
-    return F.filter(found, lambda c: c["base"] | (model.score(c) >= 0))
+    """Base findings, and the candidates that pass their format rule and that the classifier takes."""
+    form = F.lit(VOTES.index("form"))
+    return F.filter(found, lambda c: c["base"] | ((F.get(c["votes"], form) >= 0) & (model.score(c) >= 0)))
 
 
 def pii_spans(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:

