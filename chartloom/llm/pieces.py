@@ -30,7 +30,7 @@ from chartloom.llm.common import fresh, table
 
 MARK = "▁"
 #: segments and token pairs that a task remembers; forgetting costs time only
-KNOWN_SEGMENTS, KNOWN_PAIRS = 400_000, 400_000
+KNOWN_SEGMENTS, KNOWN_PAIRS = 800_000, 400_000
 #: ids and text characters after which a task hands rows on
 CHUNK = 4_000_000
 
@@ -69,7 +69,7 @@ class PieceModel:
         inside = any(MARK in text.lstrip(MARK) for text in self.ids)
         self.cut = None if inside else re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.known: dict[str, tuple[bytes, int]] = {}
+        self.known: dict[str, bytes] = {}
         # decoding: what each id stands for
         self.out = [b""] * lib.get_piece_size()
         self.marked = [self.prefix != "" and p.type == p.NORMAL and p.piece.startswith(MARK) for p in spec.pieces]
@@ -174,16 +174,14 @@ class PieceModel:
         text = self.prefix + text.replace(" ", MARK)
         if self.cut is None:
             return array("i", self._pieces(text)).tobytes()
-        known, out = self.known, []
-        for segment in self.cut.findall(text):
-            ids = known.get(segment)
-            if ids is None:
-                ids = array("i", self._pieces(segment)).tobytes()
-                if len(segment) <= 64:
-                    if len(known) >= KNOWN_SEGMENTS:
-                        known.clear()
-                    known[segment] = ids
-            out.append(ids)
+        known, segments = self.known, self.cut.findall(text)
+        new = set(segments).difference(known)
+        if len(known) + len(new) > KNOWN_SEGMENTS:
+            known.clear()
+            new = set(segments)
+        for segment in new:
+            known[segment] = array("i", self._pieces(segment)).tobytes()
+        out = [known[segment] for segment in segments]
         if self.bytes is None:
             return self._one_unknown(b"".join(out))
         return b"".join(out)
