@@ -234,10 +234,17 @@ def admitted_summary(rows: DataFrame, theta: float, delta: float) -> DataFrame:
 
 
 def delta_matrix(rows: DataFrame) -> DataFrame:
-    """Dataset by field differences, columns by size of the mean difference; as wide as the field registry."""
-    order = rows.where("delta_c is not null").groupBy("field").agg(F.avg("delta_c").alias("m")).orderBy(F.desc(F.abs("m")), "field")
-    names = [r["field"] for r in order.select("field").collect()]
-    return rows.groupBy("dataset").pivot("field", names).agg(F.first("delta_c", ignorenulls=True))
+    """The dataset by field matrix in long form: (dataset, field, column, delta_c).
+
+    ``column`` numbers the fields from 1 by the size of their mean difference.
+    The window that numbers them sees one row per field of the registry.
+    """
+    known = rows.where("delta_c is not null")
+    means = known.groupBy("field").agg(F.avg("delta_c").alias("m"))
+    order = Window.orderBy(F.desc(F.round(F.abs("m"), 9)), "field")
+    placed = means.select("field", F.row_number().over(order).cast("long").alias("column"))
+    cells = known.groupBy("dataset", "field").agg(F.first("delta_c").alias("delta_c"))
+    return cells.join(placed, "field").select("dataset", "field", "column", "delta_c")
 
 
 def paired_arms(rows: DataFrame) -> DataFrame:

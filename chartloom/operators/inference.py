@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +22,7 @@ def _upper_tail(z: pd.Series) -> pd.Series:
     return z.map(lambda v: None if v is None or math.isnan(v) else 0.5 * math.erfc(v / math.sqrt(2.0)))
 
 
-def _exact_tail(ranks: Column, at_least: Column) -> Column:
+def exact_tail(ranks: Column, at_least: Column) -> Column:
     """Share of sign assignments whose positive rank sum reaches ``at_least``; ranks come doubled, as whole numbers."""
     top = F.aggregate(ranks, F.lit(0), lambda a, r: a + r)
     cells = F.sequence(F.lit(0), top)
@@ -68,8 +67,8 @@ def signed_rank(df: DataFrame, keys: list[str], diff: str, rows: int | None = No
     mean = F.col("n") * (F.col("n") + 1) / 4.0
     spread = F.sqrt((F.col("n") * (F.col("n") + 1) * (2 * F.col("n") + 1) - F.col("ties") / 2.0) / 24.0)
     high = F.greatest("plus", "minus")
-    exact_greater = _exact_tail(F.col("ranks"), (F.col("plus") * 2).cast("int"))
-    exact_two = F.least(F.lit(1.0), 2.0 * _exact_tail(F.col("ranks"), (high * 2).cast("int")))
+    exact_greater = exact_tail(F.col("ranks"), (F.col("plus") * 2).cast("int"))
+    exact_two = F.least(F.lit(1.0), 2.0 * exact_tail(F.col("ranks"), (high * 2).cast("int")))
     out = out.withColumns({"_zg": (F.col("plus") - mean) / spread, "_zt": (high - mean) / spread})
     out = out.withColumns({"_ng": _upper_tail("_zg"), "_nt": _upper_tail("_zt")})
     return out.select(
@@ -104,62 +103,28 @@ def paired_interval(df: DataFrame, keys: list[str], diff: str) -> DataFrame:
     return agg.select(*keys, "n", "delta", "sd", (F.col("delta") - half).alias("ci_lo"), (F.col("delta") + half).alias("ci_hi"))
 
 
-BOOTSTRAP_PIECE = 100_000
-_REPLICATES_PER_BLOCK = 500
-
-
 def bootstrap_mean(
-    df: DataFrame, keys: list[str], value: str, order: list[str], replicates: int = 10_000, seed: int = 0,
-    rows: int | None = None, piece: int = BOOTSTRAP_PIECE,
+    df: DataFrame, keys: list[str], value: str, order: list[str], replicates: int = 10_000, seed: int = 0, rows: int | None = None,
 ) -> DataFrame:
     """95 % percentile interval of resampled means per group, repeatable for a seed.
 
-    A group is cut into pieces of bounded size; how many draws of a replicate
-    fall into each piece is drawn first, then every piece draws its own share.
+    A group of n rows, numbered by ``order``, has n draws a replicate; draw i of
+    replicate r picks the row that md5 of (seed, keys, r, i) names, so the result
+    depends on nothing but the data and the seed.
     """
     own = df.where(F.col(value).isNotNull()).select(*keys, *[c for c in order if c not in keys], F.col(value).cast("double").alias("_v"))
-    numbered = ordered_columns(own, keys, order, {"_r": ("row",)}, rows)
-    pieces = numbered.withColumn("piece", F.floor((F.col("_r") - 1) / piece).cast("long")).select(*keys, "piece", "_r", "_v")
-    sizes = pieces.groupBy(*keys, "piece").agg(F.count(F.lit(1)).alias("m"))
-    blocks = F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // _REPLICATES_PER_BLOCK))).alias("block")
-    key_schema = ", ".join(f"`{k}` {t}" for k, t in df.select(*keys).dtypes)
-    each = sizes.select(*keys, "piece", "m", F.xxhash64(F.lit(seed), *keys).alias("h"), blocks)
-
-    def allot(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("piece")
-        m = pdf["m"].to_numpy(float)
-        first = int(pdf["block"].iloc[0]) * _REPLICATES_PER_BLOCK
-        count = min(_REPLICATES_PER_BLOCK, replicates - first)
-        rng = np.random.default_rng([int(pdf["h"].iloc[0]) & 0xFFFFFFFF, first])
-        draws = rng.multinomial(int(m.sum()), m / m.sum(), size=count)
-        out = pd.DataFrame({k: pdf[k].iloc[0] for k in keys}, index=range(count * len(m)))
-        out["piece"] = np.tile(pdf["piece"].to_numpy(), count)
-        out["rep"] = np.repeat(np.arange(first, first + count), len(m))
-        out["k"] = draws.reshape(-1)
-        return out
-
-    shares = each.groupBy(*keys, "block").applyInPandas(allot, f"{key_schema}, piece long, rep long, k long")
-
-    def draw(values: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
-        if values.empty or wanted.empty:
-            return pd.DataFrame({**{k: [] for k in keys}, "rep": [], "s": []})
-        v = values.sort_values("_r")["_v"].to_numpy()
-        wanted = wanted.sort_values("rep")
-        rng = np.random.default_rng([seed, int(values["piece"].iloc[0]) + 1, len(v)])
-        sums = np.array([v[rng.integers(0, len(v), int(k))].sum() for k in wanted["k"]])
-        out = pd.DataFrame({k: values[k].iloc[0] for k in keys}, index=range(len(wanted)))
-        out["rep"], out["s"] = wanted["rep"].to_numpy(), sums
-        return out
-
-    on = [*keys, "piece"]
-    drawn = pieces.groupBy(*on).cogroup(shares.groupBy(*on)).applyInPandas(draw, f"{key_schema}, rep long, s double")
-    n = sizes.groupBy(*keys).agg(F.sum("m").alias("n"))
-    means = drawn.groupBy(*keys, "rep").agg(F.sum("s").alias("s")).join(n, keys)
-    mean = F.col("s") / F.col("n")
-    # one value per replicate: at most ``replicates`` per group
-    return means.groupBy(*keys).agg(
-        F.max("n").alias("n"), F.percentile(mean, F.lit(0.025)).alias("ci_lo"), F.percentile(mean, F.lit(0.975)).alias("ci_hi")
+    numbered = ordered_columns(own, keys, order, {"_r": ("row",)}, rows).select(*keys, "_r", "_v")
+    sizes = numbered.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    each = numbered.join(_renamed(sizes, keys, "_n_"), _match(keys, "_n_")).select(
+        *keys, "n", F.col("_r").alias("_i"), F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep")
     )
+    name = F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys], F.col("rep").cast("string"), F.col("_i").cast("string"))
+    pick = F.conv(F.substring(F.md5(name), 1, 12), 16, 10).cast("long") % F.col("n") + 1
+    draws = each.select(*keys, "n", "rep", pick.alias("_r"))
+    drawn = draws.join(_renamed(numbered, [*keys, "_r"], "_d_"), _match([*keys, "_r"], "_d_"))
+    means = drawn.groupBy(*keys, "n", "rep").agg((F.sum("_v") / F.col("n")).alias("m"))
+    # one value per replicate: at most ``replicates`` per group
+    return means.groupBy(*keys, "n").agg(F.percentile("m", F.lit(0.025)).alias("ci_lo"), F.percentile("m", F.lit(0.975)).alias("ci_hi"))
 
 
 def spearman(df: DataFrame, keys: list[str], a: str, b: str, rows: int | None = None, least: int = 2) -> DataFrame:

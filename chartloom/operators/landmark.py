@@ -33,7 +33,7 @@ def masked(t: Families, landmark: float) -> Families:
         if family in ("diagnoses", "follow_ups"):
             return kept
         parent, key = (t.diagnoses, "dx_pos") if family.startswith("diagnoses") else (t.follow_ups, "fu_pos")
-        return kept.join(parent.where(keeps(landmark)).select("patient_id", key), ["patient_id", key], "left_semi")
+        return kept.join(parent.where(keeps(landmark)).select("dataset", "patient_id", key), ["dataset", "patient_id", key], "left_semi")
 
     return t.mapped(TIMED, keep)
 
@@ -41,7 +41,7 @@ def masked(t: Families, landmark: float) -> Families:
 # ---- values read field by field -------------------------------------------
 def flat_diagnosis(path: Column) -> Column:
     """Leaves directly on a diagnosis, read from the primary diagnosis only."""
-    return path.startswith("diagnoses[].") & ~F.substring(path, 13, 1000).contains(".")
+    return path.startswith("diagnoses[].") & ~F.substring(path, F.lit(13), F.length(path)).contains(".")
 
 
 def readable(t: Families, landmark: float | None) -> Families:
@@ -55,10 +55,10 @@ def readable(t: Families, landmark: float | None) -> Families:
         seen = t.mapped(TIMED, lambda _, table: table.where(F.col("slotted") & passes(landmark)))
     dx = seen.diagnoses
     present = F.col("present") if "present" in dx.columns else F.lit(None).cast("array<string>")
-    main = dx.groupBy("patient_id").agg(
+    main = dx.groupBy("dataset", "patient_id").agg(
         F.min_by(F.struct("pos", present.alias("present")), primary_order()).alias("_m")
-    ).select("patient_id", F.col("_m.pos").alias("main_pos"), F.col("_m.present").alias("main_keys"))
-    marked = dx.join(main, "patient_id").withColumn("is_main", F.col("pos") == F.col("main_pos")).drop("main_pos")
+    ).select("dataset", "patient_id", F.col("_m.pos").alias("main_pos"), F.col("_m.present").alias("main_keys"))
+    marked = dx.join(main, ["dataset", "patient_id"]).withColumn("is_main", F.col("pos") == F.col("main_pos")).drop("main_pos")
     return seen.with_tables({"diagnoses": marked})
 
 

@@ -46,10 +46,10 @@ def follow_up_records(t: Families, landmark: float | None = None, rows: int | No
     own = fu.select("dataset", "patient_id", "fu_pos", "pos", F.col("days_to_follow_up").alias("days"), *[c.alias(n) for n, c in have.items()])
     last = [n for n in ("bmi", "weight") if n in oca.columns]
     if last:
-        picked = oca.groupBy("patient_id", "fu_pos").agg(
+        picked = oca.groupBy("dataset", "patient_id", "fu_pos").agg(
             *[F.max_by(_number(F.col(n)), F.when(_number(F.col(n)).isNotNull(), F.col("pos"))).alias(n) for n in last]
         )
-        own = own.join(picked, ["patient_id", "fu_pos"], "left")
+        own = own.join(picked, ["dataset", "patient_id", "fu_pos"], "left")
         have.update({n: F.col(n) for n in last})
     measures = list(have)
     staged = own.withColumns({

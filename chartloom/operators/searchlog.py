@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scale import ordered_columns
-from .inference import signed_rank
+from .inference import exact_tail, signed_rank
 
 INSTANCE = ["dataset", "landmark_tag", "modality"]
 
@@ -66,14 +66,15 @@ def stop_replay(path: DataFrame, keys: list[str], delta: float = 0.005, patience
 
     A path has one row per subset size, so folding it as a list stays as short
     as the number of fields.  In ``sig`` mode a step improves with enough gain
-    and p < 0.05 against the best folds so far, in ``gain_only`` with enough
-    gain.  ``path`` has k, c and folds (array of five).
+    and p < 0.05 against the best folds so far (0.5 where there are none), in
+    ``gain_only`` with enough gain.  ``path`` has k, c and folds (an array of
+    any length).
     """
     if mode not in ("sig", "gain_only"):
         raise ValueError(f"unknown stop mode: {mode}")
     steps = F.array_sort(F.collect_list(F.struct("k", "c", "folds")))
     start = F.struct(
-        F.lit(0).cast("long").alias("k_star"), F.lit(0.5).alias("best"), F.array(*[F.lit(0.5)] * 5).alias("best_folds"),
+        F.lit(0).cast("long").alias("k_star"), F.lit(0.5).alias("best"), F.array().cast("array<double>").alias("best_folds"),
         F.lit(0).alias("count"), F.lit(None).cast("long").alias("stop_k"),
     )
 
@@ -82,7 +83,7 @@ def stop_replay(path: DataFrame, keys: list[str], delta: float = 0.005, patience
         if mode == "gain_only":
             improved, up = gain >= delta, gain < delta
         else:
-            p = five_fold_p(F.zip_with(s["folds"], acc["best_folds"], lambda a, b: a - b))
+            p = fold_p(F.transform(s["folds"], lambda x, i: x - F.coalesce(F.get(acc["best_folds"], i), F.lit(0.5))))
             improved, up = (gain >= delta) & (p < 0.05), (gain < delta) & (p >= 0.05)
         live = acc["stop_k"].isNull()
         take = live & improved
@@ -103,11 +104,11 @@ def stop_replay(path: DataFrame, keys: list[str], delta: float = 0.005, patience
     )
 
 
-def five_fold_p(diffs: Column) -> Column:
-    """One-sided exact signed-rank p of a short list of fold differences, ties and zeros included.
+def fold_p(diffs: Column) -> Column:
+    """One-sided exact signed-rank p of a list of fold differences, ties and zeros included.
 
-    All 2^n sign patterns of the non-zero differences are summed; five folds
-    make thirty-two.
+    The rank sums' distribution grows with the square of the folds, not with
+    their sign patterns.
     """
     d = F.filter(diffs, lambda x: x != 0)
     size = F.transform(d, lambda x: F.abs(x))
@@ -115,9 +116,7 @@ def five_fold_p(diffs: Column) -> Column:
         size, lambda x: F.size(F.filter(size, lambda y: y < x)) * 2 + F.size(F.filter(size, lambda y: y == x)) + 1
     )
     plus = F.aggregate(F.zip_with(d, rank2, lambda x, r: F.when(x > 0, r).otherwise(0)), F.lit(0), lambda a, r: a + r)
-    sums = F.aggregate(rank2, F.array(F.lit(0)), lambda acc, r: F.concat(acc, F.transform(acc, lambda x: x + r)))
-    p = F.size(F.filter(sums, lambda w: w >= plus)) / F.size(sums)
-    return F.when(F.size(d) == 0, 1.0).otherwise(p)
+    return F.when(F.size(d) == 0, 1.0).otherwise(exact_tail(rank2, plus))
 
 
 def top_subsets(ranked: DataFrame, grid: tuple[int, ...] = (1, 3, 5, 8, 12, 20)) -> DataFrame:

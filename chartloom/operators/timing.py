@@ -100,7 +100,7 @@ def treatment_facts(treatments: DataFrame) -> DataFrame:
     start, end = F.col("days_to_treatment_start"), F.col("days_to_treatment_end")
     labelled = (word(F.col("treatment_intent_type")) == "adjuvant") | (word(F.col("timepoint_category")) == "postoperative")
     surgery = is_surgery(F.col("treatment_type")) & ~is_negative(F.col("treatment_or_therapy"))
-    return treatments.groupBy("patient_id", "dx_pos").agg(
+    return treatments.groupBy("dataset", "patient_id", "dx_pos").agg(
         F.max(surgery).alias("resected"),
         F.max(F.greatest(start, end)).alias("tx_last"),
         F.min(start).alias("tx_first"),
@@ -112,7 +112,7 @@ def treatment_facts(treatments: DataFrame) -> DataFrame:
 
 def diagnosis_facts(f: Families) -> DataFrame:
     """Diagnoses with prior flag and pathology class P1 / P2 / P3."""
-    facts = f.diagnoses.join(treatment_facts(f.treatments), ["patient_id", "dx_pos"], "left")
+    facts = f.diagnoses.join(treatment_facts(f.treatments), ["dataset", "patient_id", "dx_pos"], "left")
     anchored = _anchored(f.diagnoses)
     biopsy = word(F.col("method_of_diagnosis")) == "biopsy"
     organ = ~word(F.col("site_of_resection_or_biopsy")).isin(*EMPTY_SITES)
@@ -259,7 +259,7 @@ def timed(f: Families, facts: DataFrame | None = None, context: DataFrame | None
 
     def parent() -> DataFrame:
         return placed().select(
-            "patient_id", "dx_pos", "is_prior", "path_class", "days_to_diagnosis", "prior_treatment",
+            "dataset", "patient_id", "dx_pos", "is_prior", "path_class", "days_to_diagnosis", "prior_treatment",
             "prior_malignancy_case", "resection_evidence", "adjuvant_start", "th2", "follow_days",
         )
 
@@ -273,7 +273,7 @@ def timed(f: Families, facts: DataFrame | None = None, context: DataFrame | None
             .select(*original.columns, "_i.t_lo", "_i.t_hi", "_i.status", "slotted")
         )
 
-    yes, child = F.lit(True), ["patient_id", "dx_pos"]
+    yes, child = F.lit(True), ["dataset", "patient_id", "dx_pos"]
     return f.with_tables({
         "diagnoses": lambda: place(placed(), f.diagnoses, diagnosis_interval(), yes),
         "diagnoses_treatments": lambda: place(
@@ -327,6 +327,12 @@ def slot_coverage(s: DataFrame, kind: str = "record") -> DataFrame:
     )
 
 
+def slot_cells(s: DataFrame, family: str, value: str = "record_days", label: str = "record") -> DataFrame:
+    """The wide slot table in long form: (dataset, patient_id, column, value), one row per slot of a family."""
+    name = F.concat(F.lit(f"{family}_{label}"), F.col("slot").cast("string"))
+    return s.where(F.col("family") == family).select("dataset", "patient_id", name.alias("column"), F.col(value).alias("value"))
+
+
 def wide_slots(s: DataFrame, family: str, value: str = "record_days", label: str = "record") -> DataFrame:
     """One row per patient, one column per slot number of a family.
 

@@ -187,7 +187,7 @@ def a51_admitted_summary(c: Clinic):
     return compare.admitted_summary(arms(c), 0.45, 0.0101)
 
 
-@query("a51_delta_matrix", "SELECT * FROM (PIVOT (SELECT dataset, field, round(delta_c, 6) AS d FROM x_arms WHERE delta_c IS NOT NULL) ON field USING first(d) GROUP BY dataset)")
+@query("a51_delta_matrix", "SELECT dataset, field, k AS \"column\", round(delta_c, 6) AS delta_c FROM x_arms JOIN (SELECT field, row_number() OVER (ORDER BY round(abs(avg(delta_c)), 9) DESC, field) AS k FROM x_arms WHERE delta_c IS NOT NULL GROUP BY field) USING (field) WHERE delta_c IS NOT NULL")
 def a51_delta_matrix(c: Clinic):
     return rounded(compare.delta_matrix(arms(c).where("delta_c is not null")))
 

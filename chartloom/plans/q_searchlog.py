@@ -16,7 +16,7 @@ ALGOS = ["A1_random", "A2_greedy", "A3_beam", "SEAS"]
 _ORDER = "l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey"
 ob.cte("x_log", f"""
 SELECT l_suppkey % 20 AS run_id, row_number() OVER (PARTITION BY l_suppkey % 20 ORDER BY {_ORDER}) AS i, CASE WHEN l_partkey % 17 = 0 THEN 'error' ELSE 'ok' END AS status,
- round(0.5 + l_discount * l_quantity / 20 + (l_partkey % 50) / 1000.0, 6) AS c, 'f' || (l_partkey % 6) AS fa, 'f' || (l_suppkey % 9) AS fb, l_quantity > 30 AS hit FROM lineitem
+ round(0.5 + l_discount * l_quantity / 20 + (l_partkey % 50) / 1000.0, 6) AS c, 'f' || (l_partkey % 6) AS fa, 'f' || (l_suppkey % 9) AS fb, l_quantity > 30 AS hit, l_partkey AS pk FROM lineitem
 """)
 ob.cte("x_curve", """
 SELECT run_id, i, b AS best FROM (SELECT run_id, i, max(CASE WHEN status='ok' THEN c END) OVER (PARTITION BY run_id ORDER BY i) AS b FROM x_log) WHERE b IS NOT NULL
@@ -109,9 +109,21 @@ def _paths(c: Clinic):
     return f.groupBy("run_id", "k").agg(F.round(F.avg("v"), 6).alias("c"), F.transform(F.array_sort(F.collect_list(F.struct("fold", "v"))), lambda x: x["v"]).alias("folds"))
 
 
-@query("w12_stop_replay")
+@query("w12_stop_replay", """
+WITH RECURSIVE v AS (SELECT run_id, i % 12 AS k, pk % 5 AS fold, round(avg(c), 6) AS v FROM x_log GROUP BY ALL),
+p AS (SELECT run_id, k, row_number() OVER (PARTITION BY run_id ORDER BY k) AS r, round(avg(v), 6) AS c, list(v ORDER BY fold) AS folds FROM v GROUP BY run_id, k),
+s AS (SELECT run_id, 0::BIGINT AS r, 0::BIGINT AS k_star, 0.5::DOUBLE AS best, []::DOUBLE[] AS bf, 0 AS cnt, NULL::BIGINT AS stop_k FROM (SELECT DISTINCT run_id FROM p)
+ UNION ALL SELECT run_id, r, CASE WHEN live AND up THEN k ELSE k_star END, CASE WHEN live AND up THEN c ELSE best END, CASE WHEN live AND up THEN folds ELSE bf END, n, CASE WHEN live AND n >= 3 THEN k ELSE stop_k END
+ FROM (SELECT *, CASE WHEN NOT live THEN cnt WHEN up THEN 0 WHEN c - best < 0.002 AND pv >= 0.05 THEN cnt + 1 ELSE 0 END AS n
+ FROM (SELECT *, stop_k IS NULL AS live, c - best >= 0.002 AND pv < 0.05 AS up
+ FROM (SELECT *, CASE WHEN len(d) = 0 THEN 1.0 ELSE len(list_filter(range(1 << len(d)::INTEGER), lambda m: list_sum(list_transform(range(1, len(d) + 1), lambda i: CASE WHEN (m >> (i - 1)::INTEGER) & 1 = 1 THEN r2[i] ELSE 0 END)) >= plus)) / (1 << len(d)::INTEGER)::DOUBLE END AS pv
+ FROM (SELECT *, coalesce(list_sum(list_transform(range(1, len(d) + 1), lambda i: CASE WHEN d[i] > 0 THEN r2[i] ELSE 0 END)), 0) AS plus
+ FROM (SELECT *, list_transform(d, lambda x: 2 * len(list_filter(d, lambda y: abs(y) < abs(x))) + len(list_filter(d, lambda y: abs(y) = abs(x))) + 1) AS r2
+ FROM (SELECT p.*, k_star, best, bf, cnt, stop_k, list_filter(list_transform(range(1, len(folds) + 1), lambda i: folds[i] - coalesce(bf[i], 0.5)), lambda x: x <> 0) AS d FROM s JOIN p ON p.run_id = s.run_id AND p.r = s.r + 1)))))))
+SELECT run_id, k_star, cnt AS count, stop_k, CASE WHEN stop_k IS NOT NULL THEN greatest(stop_k - 3, 0) END AS recommended_k FROM s WHERE r = (SELECT max(r) FROM p WHERE p.run_id = s.run_id)
+""")
 def w12_stop_replay(c: Clinic):
-    """Sequential rule over each path: checked by replay in the tests."""
+    """Sequential rule over each path, with the exact test of the folds' differences."""
     return searchlog.stop_replay(_paths(c), RUN, 0.002, 3)
 
 

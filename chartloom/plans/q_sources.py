@@ -176,14 +176,14 @@ def e12_refreshed_templates(c: Clinic):
 # ---- dictionaries and tab files ------------------------------------------------
 @query("s6_flatten_dictionary", r"""
 SELECT 'treatment' AS entity, lower(p_type) || '_' || p_partkey AS field, CASE p_size % 5 WHEN 0 THEN 'enum' WHEN 1 THEN 'integer|null' WHEN 2 THEN 'enum|number' WHEN 3 THEN 'array[string]' ELSE '#/defs/x' END AS type, CASE WHEN p_size % 2 = 0 THEN 'yes' ELSE 'no' END AS required, p_name AS description,
- CASE p_size % 5 WHEN 0 THEN 'a | b' WHEN 2 THEN 'c' ELSE '' END AS enum, CASE p_size % 5 WHEN 0 THEN 2 WHEN 2 THEN 1 ELSE 0 END AS n_enum FROM part
+ CASE p_size % 5 WHEN 0 THEN 'a | b' WHEN 2 THEN 'c | d' ELSE '' END AS enum, CASE p_size % 5 WHEN 0 THEN 2 WHEN 2 THEN 2 ELSE 0 END AS n_enum FROM part
 """)
 def s6_flatten_dictionary(c: Clinic):
-    """One schema document per part, so the work grows with the table."""
+    """One schema document per part, so the work grows with the table; some hold enums five schemas deep."""
     s = F.col("p_size")
     name = F.concat(F.lower("p_type"), F.lit("_"), F.col("p_partkey").cast("string"))
     body = (
-        F.when(s % 5 == 0, '"enum":["a","b","a"]').when(s % 5 == 1, '"type":["integer","null"]').when(s % 5 == 2, '"oneOf":[{"enum":["c"]},{"type":"number"}]')
+        F.when(s % 5 == 0, '"enum":["a","b","a"]').when(s % 5 == 1, '"type":["integer","null"]').when(s % 5 == 2, '"oneOf":[{"anyOf":[{"oneOf":[{"anyOf":[{"oneOf":[{"enum":["c","d"]}]}]}]}]},{"type":"number"}]')
         .when(s % 5 == 3, '"type":"array","items":{"type":"string"}').otherwise('"$ref":"#/defs/x"')
     )
     need = F.when(s % 2 == 0, F.concat(F.lit('["'), name, F.lit('"]'))).otherwise("[]")

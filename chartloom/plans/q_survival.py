@@ -244,11 +244,18 @@ def m11_paired_interval(c: Clinic):
     return t.select("dataset", "field", "n", *[F.round(x, 9).alias(x) for x in ("delta", "ci_lo", "ci_hi")])
 
 
-@query("m12_bootstrap_interval")
+@query("m12_bootstrap_interval", """
+WITH v AS (SELECT field, dataset, avg(delta) AS v FROM x_delta GROUP BY ALL),
+r AS (SELECT field, v, row_number() OVER (PARTITION BY field ORDER BY dataset) AS i, count(*) OVER (PARTITION BY field) AS n FROM v),
+d AS (SELECT field, n, rep, ('0x' || substr(md5(concat_ws('|', '0', field, rep, i)), 1, 12))::BIGINT % n + 1 AS pick FROM r, (SELECT unnest(range(1, 2001)) AS rep)),
+m AS (SELECT d.field, d.n, rep, sum(r.v) / d.n AS m FROM d JOIN r ON r.field = d.field AND r.i = d.pick GROUP BY d.field, d.n, rep)
+SELECT field, n, round(quantile_cont(m, 0.025), 9) AS ci_lo, round(quantile_cont(m, 0.975), 9) AS ci_hi FROM m GROUP BY field, n
+""")
 def m12_bootstrap_interval(c: Clinic):
-    """Resampled means over datasets; the draws are this engine's own, so there is no SQL twin."""
+    """Resampled means over datasets; both engines draw by md5."""
     d = deltas(c).groupBy("field", "dataset").agg(F.avg("delta").alias("delta"))
-    return inference.bootstrap_mean(d, ["field"], "delta", ["dataset"], 2000, 0, c.tables.rows("part"))
+    out = inference.bootstrap_mean(d, ["field"], "delta", ["dataset"], 2000, 0, c.tables.rows("part"))
+    return out.select("field", "n", F.round("ci_lo", 9).alias("ci_lo"), F.round("ci_hi", 9).alias("ci_hi"))
 
 
 @query("m13_spearman", """

@@ -68,11 +68,10 @@ def a15_slot_coverage(c: Clinic):
 
 
 @query("a16_wide_slots", """
-WITH s AS (SELECT dataset, patient_id, 'diagnoses_record' || slot AS col, record_days FROM x_slots WHERE family = 'diagnoses')
-SELECT * FROM (PIVOT s ON col USING first(record_days) GROUP BY dataset, patient_id)
+SELECT dataset, patient_id, 'diagnoses_record' || slot AS "column", record_days AS value FROM x_slots WHERE family = 'diagnoses'
 """)
 def a16_wide_slots(c: Clinic):
-    return timing.wide_slots(checkpointed(timing.slots(c.timed, c.bound)), "diagnoses")
+    return timing.slot_cells(timing.slots(c.timed, c.bound), "diagnoses")
 
 
 @query("a11_case_context", """

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import entity, is_clinical_path
+from ..scale import checkpointed
 
 
 def read_tab_file(spark: SparkSession, path: str) -> DataFrame:
@@ -51,49 +54,95 @@ SKIPPED_CASE_FIELDS = (
     "samples", "files", "aliquots", "portions", "analytes", "slides", "read_groups", "annotations",
     "tissue_source_site", "tissue_source_sites", "projects",
 )
-_DEPTH = 4
 
 
 def _get(v: Column, path: str, kind: str) -> Column:
     return F.try_variant_get(v, F.lit(path), kind)
 
 
-def property_type(v: Column, depth: int = _DEPTH) -> Column:
-    """Type text of a property: enum, branches joined by bars, lists, arrays with their items, or a reference."""
-    strings = _get(v, "$.type", "array<string>")
-    plain = _get(v, "$.type", "string")
-    if depth == 0:
-        inner = F.lit("")
-        branches = lambda name: F.lit(None).cast("string")
-    else:
-        inner = F.coalesce(property_type(_get(v, "$.items", "variant"), depth - 1), F.lit(""))
-
-        def branches(name: str) -> Column:
-            parts = F.transform(_get(v, f"$.{name}", "array<variant>"), lambda p: property_type(p, depth - 1))
-            return F.array_join(F.filter(parts, lambda p: p != ""), "|")
-
-    return (
-        F.when(F.size(F.coalesce(_get(v, "$.enum", "array<variant>"), F.array().cast("array<variant>"))) > 0, "enum")
-        .when(_get(v, "$.oneOf", "array<variant>").isNotNull(), branches("oneOf"))
-        .when(_get(v, "$.anyOf", "array<variant>").isNotNull(), branches("anyOf"))
-        .when(strings.isNotNull(), F.array_join(strings, "|"))
-        .when((plain == "array") & (inner != ""), F.concat(F.lit("array["), inner, F.lit("]")))
-        .when(plain.isNotNull(), plain)
-        .otherwise(F.coalesce(_get(v, "$['$ref']", "string"), F.lit("")))
-    )
+_BRANCHES = ("oneOf", "anyOf")
+
+
+def _is_object(v: Column) -> Column:
+    return F.schema_of_variant(v).startswith("OBJECT")
+
+
+def _branches(v: Column, path: Column) -> Column:
+    """The schemas inside a schema with their paths: pairs of (kind, position), kinds in the order enums are listed."""
+    none = F.array().cast("array<struct<path:array<int>,value:variant>>")
+
+    def listed(kind: int, name: str) -> Column:
+        return F.transform(
+            _get(v, f"$.{name}", "array<variant>"),
+            lambda p, i: F.struct(F.concat(path, F.array(F.lit(kind), i)).alias("path"), p.alias("value")),
+        )
 
+    parts = [listed(kind, name) for kind, name in enumerate(_BRANCHES)]
+    items = _get(v, "$.items", "variant")
+    inside = F.array(F.struct(F.concat(path, F.array(F.lit(len(_BRANCHES)), F.lit(0))).alias("path"), items.alias("value")))
+    return F.concat(*[F.coalesce(p, none) for p in parts], F.when(items.isNotNull(), inside).otherwise(none))
 
-def property_enum(v: Column, depth: int = _DEPTH) -> Column:
-    """Distinct enum texts of a property, its branches and its items, in order."""
-    empty = F.array().cast("array<string>")
-    out = F.coalesce(_get(v, "$.enum", "array<string>"), empty)
-    if depth > 0:
-        for name in ("oneOf", "anyOf"):
-            parts = F.transform(_get(v, f"$.{name}", "array<variant>"), lambda p: property_enum(p, depth - 1))
-            out = F.concat(out, F.coalesce(F.flatten(parts), empty))
-        items = _get(v, "$.items", "variant")
-        out = F.concat(out, F.when(items.isNotNull(), property_enum(items, depth - 1)).otherwise(empty))
-    return F.array_distinct(out)
+
+def _nested_levels(properties: DataFrame, keys: list[str]) -> list[DataFrame]:
+    """The properties' schemas level by level, each with its path, until no schema has another inside."""
+    level = properties.select(*keys, F.array().cast("array<int>").alias("path"), "value")
+    out = []
+    while True:
+        level = checkpointed(level)
+        if level.isEmpty():
+            return out
+        out.append(level)
+        inner = F.explode(_branches(F.col("value"), F.col("path"))).alias("b")
+        level = level.where(_is_object(F.col("value"))).select(*keys, inner).select(*keys, "b.path", "b.value")
+
+
+def property_types(levels: list[DataFrame], keys: list[str]) -> DataFrame:
+    """(keys, type) of the properties: enum, branches joined by bars, lists, arrays with their items, or a reference.
+
+    Worked out from the innermost level outwards; a schema's text needs those of the schemas in it.
+    """
+    below = None
+    for level in reversed(levels):
+        if below is not None:
+            size = F.size("path")
+            inner = below.groupBy(*keys, F.slice("path", F.lit(1), size - 2).alias("path")).agg(
+                F.array_sort(F.collect_list(F.struct(
+                    F.get("path", size - 2).alias("kind"), F.get("path", size - 1).alias("at"), "type", "object"
+                ))).alias("inner")
+            )
+            level = level.join(inner, [*keys, "path"], "left")
+        else:
+            level = level.withColumn("inner", F.lit(None).cast("array<struct<kind:int,at:int,type:string,object:boolean>>"))
+        v, none = F.col("value"), F.array().cast("array<struct<kind:int,at:int,type:string,object:boolean>>")
+
+        def joined(kind: int) -> Column:
+            mine = F.filter(F.coalesce("inner", none), lambda x: (x["kind"] == kind) & x["object"] & (x["type"] != ""))
+            return F.array_join(F.transform(mine, lambda x: x["type"]), "|")
+
+        items = F.get(F.filter(F.coalesce("inner", none), lambda x: x["kind"] == len(_BRANCHES)), F.lit(0))["type"]
+        strings, plain = _get(v, "$.type", "array<string>"), _get(v, "$.type", "string")
+        enum = F.size(F.coalesce(_get(v, "$.enum", "array<variant>"), F.array().cast("array<variant>"))) > 0
+        text = F.when(enum, "enum")
+        for kind, name in enumerate(_BRANCHES):
+            text = text.when(_get(v, f"$.{name}", "array<variant>").isNotNull(), joined(kind))
+        text = (
+            text.when(strings.isNotNull(), F.array_join(strings, "|"))
+            .when((plain == "array") & (F.coalesce(items, F.lit("")) != ""), F.concat(F.lit("array["), items, F.lit("]")))
+            .when(plain.isNotNull(), plain)
+            .otherwise(F.coalesce(_get(v, "$['$ref']", "string"), F.lit("")))
+        )
+        object_ = _is_object(v)
+        below = level.select(*keys, "path", object_.alias("object"), F.when(object_, text).otherwise(F.coalesce(v.try_cast("string"), F.lit(""))).alias("type"))
+    return below.select(*keys, "type")
+
+
+def property_enums(levels: list[DataFrame], keys: list[str]) -> DataFrame:
+    """(keys, enum) with the distinct enum texts of a property and everything inside it, in document order."""
+    found = reduce(DataFrame.unionByName, levels).select(
+        *keys, F.struct("path", F.coalesce(_get(F.col("value"), "$.enum", "array<string>"), F.array().cast("array<string>")).alias("texts")).alias("n")
+    )
+    listed = F.flatten(F.transform(F.array_sort(F.collect_list("n")), lambda n: n["texts"]))
+    return found.groupBy(*keys).agg(F.array_distinct(listed).alias("enum"))
 
 
 def flatten_dictionary(schemas: DataFrame) -> DataFrame:
@@ -106,12 +155,16 @@ def flatten_dictionary(schemas: DataFrame) -> DataFrame:
     rows = kept.lateralJoin(schemas.sparkSession.tvf.variant_explode(F.col("_p").outer())).select(
         "entity", "_r", F.col("key").alias("field"), "value"
     ).where(~((F.col("entity") == "case") & F.col("field").isin(*SKIPPED_CASE_FIELDS)))
-    enum = property_enum(F.col("value"), 2)
-    return rows.select(
-        "entity", "field", property_type(F.col("value"), 2).alias("type"),
+    rows, keys = checkpointed(rows), ["entity", "field"]
+    levels = _nested_levels(rows, keys)
+    if not levels:
+        return rows.select(*keys, *[F.lit("").alias(c) for c in ("type", "required", "description", "enum")], F.lit(0).alias("n_enum"))
+    found = rows.join(property_types(levels, keys), keys).join(property_enums(levels, keys), keys)
+    return found.select(
+        "entity", "field", "type",
         F.when(F.array_contains("_r", F.col("field")), "yes").otherwise("no").alias("required"),
         F.coalesce(_get(F.col("value"), "$.description", "string"), F.lit("")).alias("description"),
-        F.array_join(enum, " | ").alias("enum"), F.size(enum).alias("n_enum"),
+        F.array_join("enum", " | ").alias("enum"), F.size("enum").alias("n_enum"),
     )
 
 
