@@ -56,9 +56,9 @@ def types(c: Clinic, t):
     return encode.field_types(t, fields(c), c.spark.createDataFrame(_DICT, "entity string, field string, type string"))
 
 
-@query("e2_converted_tokens", "SELECT dataset, field_path, token, count(*) AS n FROM x_tok WHERE field_path NOT LIKE '%bmi' GROUP BY ALL")
+@query("e2_converted_tokens", "SELECT dataset, field_path, token, count(*) AS n FROM x_tok GROUP BY ALL")
 def e2_converted_tokens(c: Clinic):
-    t = tokens(c).where(~F.col("field_path").endswith("bmi"))
+    t = tokens(c)
     return t.groupBy("dataset", "field_path", "token").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -71,23 +71,27 @@ def e3_field_types(c: Clinic):
 
 @query("a26_continuous_fit", "SELECT dataset, field_path, round(lo, 6) AS lo, round(hi, 6) AS hi, round(mid, 6) AS mid FROM x_fit")
 def a26_continuous_fit(c: Clinic):
-    t = tokens(c).where(F.col("field_path").isin("demographic.age_at_index", "follow_ups[].other_clinical_attributes[].bmi"))
+    from ..scale import checkpointed
+
+    t = checkpointed(tokens(c))
+    number = types(c, t).where("final_type = 'continuous'").select("dataset", "field_path")
+    t = t.join(number, ["dataset", "field_path"])
     fit = encode.continuous_fit(encode.patient_numbers(t, c.bound), ["dataset", "field_path"], c.bound)
     return fit.select("dataset", "field_path", *[F.round(x, 6).alias(x) for x in ("lo", "hi", "mid")])
 
 
 @query("a27_dataset_vocabulary", f"""
-SELECT dataset, field_path, category, row_number() OVER (PARTITION BY dataset, field_path ORDER BY category) + 1 AS idx FROM (SELECT dataset, field_path, category, count(*) AS n FROM x_cat WHERE field_path NOT LIKE '%bmi' GROUP BY ALL) WHERE n >= {RARE}
-UNION ALL SELECT DISTINCT dataset, field_path, '__MISSING__', 0 FROM x_cat WHERE field_path NOT LIKE '%bmi' UNION ALL SELECT DISTINCT dataset, field_path, '__OTHER__', 1 FROM x_cat WHERE field_path NOT LIKE '%bmi'
+SELECT dataset, field_path, category, row_number() OVER (PARTITION BY dataset, field_path ORDER BY category) + 1 AS idx FROM (SELECT dataset, field_path, category, count(*) AS n FROM x_cat GROUP BY ALL) WHERE n >= {RARE}
+UNION ALL SELECT DISTINCT dataset, field_path, '__MISSING__', 0 FROM x_cat UNION ALL SELECT DISTINCT dataset, field_path, '__OTHER__', 1 FROM x_cat
 """)
 def a27_dataset_vocabulary(c: Clinic):
-    t = tokens(c).where(~F.col("field_path").endswith("bmi"))
+    t = tokens(c)
     return encode.vocabulary(encode.patient_categories(t), ["dataset", "field_path"], RARE)
 
 
-@query("a28_global_vocabulary", "SELECT field_path, category, idx FROM x_vocab WHERE field_path NOT LIKE '%bmi'")
+@query("a28_global_vocabulary", "SELECT field_path, category, idx FROM x_vocab")
 def a28_global_vocabulary(c: Clinic):
-    t = tokens(c).where(~F.col("field_path").endswith("bmi"))
+    t = tokens(c)
     return encode.vocabulary(encode.patient_categories(t), ["field_path"], RARE)
 
 

@@ -100,12 +100,11 @@ def t2_stats_order(c: Clinic):
 
 
 @query("p4_clean_values", """
-SELECT dataset, field_path, coalesce(CASE WHEN lower(trim(value)) IN ('', 'not reported', 'unknown', 'not applicable', '--') THEN NULL ELSE trim(value) END, 'not reported') AS value, count(*) AS n
-FROM x_values WHERE field_path NOT LIKE '%days_to%' AND field_path NOT LIKE '%bmi' GROUP BY ALL
+SELECT dataset, field_path, coalesce(CASE WHEN lower(trim(value)) IN ('', 'not reported', 'unknown', 'not applicable', '--') THEN NULL WHEN field_path LIKE '%days_to%' OR field_path LIKE '%bmi' THEN regexp_replace(trim(value), '[.]0$', '') ELSE trim(value) END, 'not reported') AS value, count(*) AS n
+FROM x_values GROUP BY ALL
 """)
 def p4_clean_values(c: Clinic):
-    v = c.values.where(~F.col("field_path").contains("days_to") & ~F.col("field_path").endswith("bmi"))
-    return v.groupBy("dataset", "field_path", cleaned(stats.value_text(F.col("value"), F.col("number"))).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    return c.values.groupBy("dataset", "field_path", cleaned(stats.value_text(F.col("value"), F.col("number"))).alias("value")).agg(F.count(F.lit(1)).alias("n"))
 
 
 _PART_TEXT = """SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN ' ' || p_size || ' ' WHEN 1 THEN p_size || 'd' WHEN 2 THEN '1_' || (100 + p_size) WHEN 3 THEN p_type || ' ' || (-p_size) || '.5 cm'
@@ -158,11 +157,10 @@ def p8_unit_converters(c: Clinic):
 
 
 @query("p10_collapsed_values", """
-SELECT dataset, field_path, collapsed, n FROM x_counts WHERE field_path NOT LIKE '%bmi' AND field_path NOT LIKE '%days_to%'
+SELECT dataset, field_path, collapsed, n FROM x_counts
 """)
 def p10_collapsed_values(c: Clinic):
-    v = c.values.where(~F.col("field_path").contains("days_to") & ~F.col("field_path").endswith("bmi"))
-    counts = stats.category_counts(stats.patient_values(v))
+    counts = stats.category_counts(stats.patient_values(c.values))
     return counts.where(F.col("collapsed").isNotNull()).select("dataset", "field_path", "collapsed", "n")
 
 

@@ -227,10 +227,9 @@ def w2_follow_up_records(c: Clinic):
 
 @query("w15_padded_records", """
 WITH w AS (SELECT dataset, max(idx) + 1 AS width FROM x_rec GROUP BY 1), p AS (SELECT DISTINCT dataset, patient_id FROM x_rec)
-SELECT p.dataset, p.patient_id, o * width + i AS position, CASE o WHEN 0 THEN 'Days since last follow-up is ' ELSE 'ECOG performance status change is ' END ||
- coalesce(CAST(CAST(CASE o WHEN 0 THEN days_since ELSE ecog_change END AS BIGINT) AS VARCHAR), 'not reported') || '.' AS sentence,
- (CASE o WHEN 0 THEN days_since ELSE ecog_change END) IS NOT NULL AS valid
-FROM p JOIN w USING (dataset), (SELECT unnest([0, 1]) AS o), LATERAL (SELECT unnest(range(width)) AS i) LEFT JOIN x_rec r ON r.patient_id = p.patient_id AND r.idx = i
+SELECT dataset, patient_id, o * width + i AS position, (['Days since last follow-up', 'ECOG performance status change', 'Karnofsky performance status change', 'Body mass index change', 'Patient weight change'])[o + 1] || ' is ' ||
+ coalesce(CASE WHEN x = floor(x) THEN CAST(CAST(x AS BIGINT) AS VARCHAR) ELSE CAST(x AS VARCHAR) END, 'not reported') || CASE o WHEN 4 THEN ' kg.' ELSE '.' END AS sentence, x IS NOT NULL AS valid
+FROM (SELECT p.*, width, o, i, CASE o WHEN 0 THEN days_since WHEN 1 THEN ecog_change WHEN 3 THEN bmi_change END AS x FROM p JOIN w USING (dataset), (SELECT unnest([0, 1, 2, 3, 4]) AS o), LATERAL (SELECT unnest(range(width)) AS i) LEFT JOIN x_rec r ON r.patient_id = p.patient_id AND r.idx = i)
 """)
 def w15_padded_records(c: Clinic):
     """W15 padding and E9 field-major layout of the derived fields (E10)."""
@@ -238,7 +237,7 @@ def w15_padded_records(c: Clinic):
 
     r = records(c)
     base = c.sizes.select("dataset", F.lit(-1).cast("long").alias("ord"), F.lit("x").alias("field_path"), F.lit("").alias("convert"), F.lit("").alias("template"))
-    tpl = longitudinal.with_derived_fields(base).where(F.col("field_path").isin(*list(longitudinal.DERIVED)[:2]))
+    tpl = longitudinal.with_derived_fields(base).where("ord >= 0")
     vals = longitudinal.derived_values(r).select(
         "dataset", "patient_id", "field_path", "idx", number_label(F.col("number")).alias("value")
     )
@@ -305,12 +304,12 @@ def p14_primary_diagnosis(c: Clinic):
 
 @query("p19_value_aliases", """
 SELECT dataset, patient_id, field_path, CASE WHEN field_path = 'demographic.race' AND value = 'BUILDING' THEN 'building trade' WHEN field_path = 'diagnoses[].tumor_grade' AND value IN ('G3', 'G4') THEN 'High Grade' ELSE value END AS value
-FROM x_scheme WHERE field_path IN ('demographic.race', 'diagnoses[].tumor_grade')
+FROM x_scheme
 """)
 def p19_value_aliases(c: Clinic):
     rules = [("demographic.race", "building", "building trade"), ("diagnoses[].tumor_grade", "g3", "High Grade"), ("diagnoses[].tumor_grade", "g4", "High Grade")]
     aliases = c.spark.createDataFrame(rules, "field_path string, key string, canonical string")
-    values = extract.scheme_values(c.families, fields=["demographic.race", "diagnoses[].tumor_grade"])
+    values = extract.scheme_values(c.families)
     return extract.aliased(values, aliases).select("dataset", "patient_id", "field_path", "value")
 
 
