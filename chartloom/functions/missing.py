@@ -18,8 +18,8 @@ SENTINELS = (
 # The smaller vocabulary behind placeholder fallback.
 FALLBACK_WORDS = ("", "not reported", "unknown", "not applicable", "--")
 
-# Python's str.strip removes these around a value
-_SPACE = " \t\n\r\f\x0b"
+# what Python's str.strip removes around a value: every character that counts as white space there
+_SPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 
 
 def stripped(text: Column) -> Column:
@@ -52,7 +52,7 @@ def cleaned(text: Column, fallback: str | None = "not reported") -> Column:
 
 
 def is_missing_token(text: Column, extra: tuple[str, ...] = ()) -> Column:
-    collapsed = F.lower(stripped(F.regexp_replace(text, r"\s+", " ")))
+    collapsed = F.lower(stripped(F.regexp_replace(text, f"[{_SPACE}]+", " ")))
     return collapsed.isin("", *SENTINELS, *extra)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import array_of, object_of
 from ..functions.text import leaf, without_arrays
+from ..scale import checkpointed
 
 # Labels of generic fields, of ids and of unknown fields; clinical entities and their path prefix.
 GENERIC_LABELS = {
@@ -43,21 +44,29 @@ def _inside(prefix: Column, v: Column) -> Column:
     return F.coalesce(F.flatten(F.transform(entries, entry)), empty)
 
 
-def scan_keys(cases: DataFrame, depth: int = 8) -> DataFrame:
-    """Distinct (dataset, prefix, key) over all documents.
-
-    Each level opens the objects found so far and passes finished keys on, in
-    one chain without a shuffle; only distinct keys are moved.  Objects nested
-    below ``depth`` fail the job rather than being left out.
-    """
+def _keys_to(cases: DataFrame, depth: int) -> DataFrame:
+    """Distinct keys of the first ``depth`` levels; objects left unopened below give rows with a null key."""
     node = cases.where(object_of(F.col("doc")).isNotNull()).select(
         "dataset", F.struct(F.lit("").alias("prefix"), F.lit(None).cast("string").alias("key"), F.col("doc").alias("v")).alias("n")
     )
     for _ in range(depth):
         opened = F.when(F.col("n.key").isNotNull(), F.array("n")).otherwise(_inside(F.col("n.prefix"), F.col("n.v")))
         node = node.select("dataset", F.explode(opened).alias("n"))
-    deeper = F.raise_error(F.concat(F.lit("objects below the scan depth at "), F.col("n.prefix"))).cast("string")
-    return node.select("dataset", F.col("n.prefix").alias("prefix"), F.coalesce("n.key", deeper).alias("key")).distinct()
+    return node.select("dataset", F.col("n.prefix").alias("prefix"), F.col("n.key").alias("key")).distinct()
+
+
+def scan_keys(cases: DataFrame, depth: int = 8) -> DataFrame:
+    """Distinct (dataset, prefix, key) over all documents, whatever their depth.
+
+    Each level opens the objects found so far and passes finished keys on, in
+    one chain without a shuffle; only distinct keys are moved.  ``depth`` is the
+    length of the first chain; it doubles while objects are left below it.
+    """
+    while True:
+        found = checkpointed(_keys_to(cases, depth))
+        if found.where("key is null").isEmpty():
+            return found
+        depth *= 2
 
 
 def field_dictionary(keys: DataFrame, labels: DataFrame) -> DataFrame:

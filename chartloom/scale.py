@@ -13,6 +13,7 @@ and nothing is measured.
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -25,42 +26,63 @@ HOT_ROWS = 4_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names for checkpoints; a temporary one only on a local master."""
+    """The folder the cluster names for checkpoints; a temporary one only where driver and tasks are one process."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="chartloom-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
+def _tables(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/tables-{spark.sparkContext.applicationId}"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder."""
-    sc = df.sparkSession.sparkContext
-    folder = shared_folder(df.sparkSession)
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    """The rows written once to the shared folder and read back; lineage ends here."""
+    spark = df.sparkSession
+    path = f"{_tables(spark)}/{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 _STORED: dict[tuple[str, str, str], str] = {}
 
 
+def _state(spark: SparkSession, source: str) -> str:
+    """Names, sizes and times of the files under a folder, as one text."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(source)
+    found, out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(path, True), []
+    while found.hasNext():
+        f = found.next()
+        out.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    return "\n".join(sorted(out))
+
+
 def stored(spark: SparkSession, source: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """A derived table written once per application to the shared folder and read back as parquet.
+    """A derived table written once per application and state of its source, and read back as parquet.
 
     Later readers get column pruning and pushed filters instead of the plan
     that built the table.
     """
-    key = (spark.sparkContext.applicationId, source, name)
+    key = (spark.sparkContext.applicationId, _state(spark, source), name)
     if key not in _STORED:
-        path = f"{shared_folder(spark)}/tables-{key[0]}/{uuid.uuid4().hex}/{name}"
+        path = f"{_tables(spark)}/{uuid.uuid4().hex}/{name}"
         build().write.mode("errorifexists").parquet(path)
         _STORED[key] = path
     return spark.read.parquet(_STORED[key])
 
 
+def drop_tables(spark: SparkSession) -> None:
+    """Delete what this application wrote to the shared folder; call it when the results are written."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_tables(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    for key in [k for k in _STORED if k[0] == spark.sparkContext.applicationId]:
+        del _STORED[key]
+
+
 def same_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
 
