@@ -165,7 +165,9 @@ def op1_quality_rules(spark, folder: str) -> DataFrame:
 def stage(spark, docs: DataFrame, folder: str) -> DataFrame:
     """Documents that every rule keeps."""
     row = docs.select(F.struct(*docs.columns).alias("row"), "text")  # keeps clashing names apart
-    return quality_rules(row).where("kept").select("row.*")
+    # a plain filter would be pushed into the projection and repeat the counting for every rule that it names
+    kept = F.explode(F.when(F.col("kept"), F.array(F.lit(True))))
+    return quality_rules(row).select("row", kept.alias("kept_row")).select("row.*")
 
 
 def _sql_rule(r: Rule) -> str:
