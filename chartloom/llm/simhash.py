@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chartloom.llm.common import fresh, saved, table, whole
+from chartloom.llm.common import fresh, saved, table
 
 RADIUS, SHINGLE, SEED, BITS = 2, 3, 42, 64
 #: fingerprints compared pair by pair inside one bucket
@@ -216,39 +216,47 @@ def _bucket_links(radius: int):
     return run
 
 
-def fingerprint_links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
+def fingerprint_links(
+    fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET, keys: list[str] | None = None, compare=None, schema: str = "a long, b long",
+) -> DataFrame:
     """Links (a, b) whose components are those of all pairs of fingerprints within ``radius``.
 
-    ``fps`` has one column of different longs and is read several times.
+    ``fps`` has different longs in its last column, after the ``keys`` that
+    pairs must share, and is read several times.  ``compare`` turns the lists of
+    buckets of up to ``bucket`` fingerprints into links; by default it gives all
+    pairs.  Another one may give fewer; then crowded buckets may link at two bits.
     """
-    name = fps.columns[0]
-    order = bit_order(fps)
-    n, shares = distance_shares(fps, order)
+    keys = keys or []
+    name = fps.columns[-1]
+    values = fps.select(name)
+    order = bit_order(values)
+    n, shares = distance_shares(values, order)
     spark = fps.sparkSession
     if n < 2:
-        return spark.createDataFrame([], "a long, b long")
-    parts = allocate(n, shares, radius)
-    masks = _masks(order, parts)
+        return spark.createDataFrame([], schema)
+    masks = _masks(order, allocate(n, shares, radius))
     probe = F.array(*[
         F.struct(F.lit(i).alias("p"), F.col(name).bitwiseAND(F.lit(_signed(m))).alias("k")) for i, m in enumerate(masks)
     ])
-    probes = fps.select(F.explode(probe).alias("s"), F.col(name).alias("x")).select("s.p", "s.k", "x")
-    sizes = probes.groupBy("p", "k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    sizes = saved(sizes)
-    small = sizes.where(F.col("n") <= bucket).select("p", "k")
-    large = sizes.where(F.col("n") > bucket).select("p", "k")
+    at = [*keys, "p", "k"]
+    probes = fps.select(*keys, F.explode(probe).alias("s"), F.col(name).alias("x")).select(*keys, "s.p", "s.k", "x")
+    sizes = saved(probes.groupBy(*at).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1))
+    small = sizes.where(F.col("n") <= bucket).select(*at)
+    large = sizes.where(F.col("n") > bucket).select(*at)
     # a bucket's list is bounded by its counted size
-    lists = probes.join(small, ["p", "k"]).groupBy("p", "k").agg(F.collect_list("x").alias("x")).select("x")
-    links = lists.mapInArrow(_bucket_links(radius), "a long, b long")
+    lists = probes.join(small, at).groupBy(*at).agg(F.collect_list("x").alias("x")).select(*keys, "x")
+    links = lists.mapInArrow(compare or _bucket_links(radius), schema)
     if large.limit(1).count():
-        crowded = saved(probes.join(large, ["p", "k"], "left_semi").select("x").distinct())
-        around = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(narrow).alias("narrow")) for d, narrow in _balls(radius)])
-        balls = crowded.select("x", F.explode(around).alias("s")).select(
-            "x", F.col("s.d").bitwiseXOR(F.col("x")).alias("c"), F.col("s.narrow").alias("narrow")
+        crowded = saved(probes.join(large, at, "left_semi").select(*keys, "x").distinct())
+        around = F.array(*[
+            F.struct(F.lit(d).alias("d"), F.lit(narrow).alias("narrow")) for d, narrow in _balls(radius if compare is None else min(radius, 2))
+        ])
+        balls = crowded.select(*keys, "x", F.explode(around).alias("s")).select(
+            *keys, "x", F.col("s.d").bitwiseXOR(F.col("x")).alias("c"), F.col("s.narrow").alias("narrow")
         )
         # few fingerprints meet a centre: at most one for each difference
-        met = balls.groupBy("c").agg(F.min(F.when(F.col("narrow"), F.col("x"))).alias("a"), F.collect_set("x").alias("xs"))
-        star = met.where(F.col("a").isNotNull() & (F.size("xs") > 1)).select("a", F.explode("xs").alias("b")).where("a <> b")
+        met = balls.groupBy(*keys, "c").agg(F.min(F.when(F.col("narrow"), F.col("x"))).alias("a"), F.collect_set("x").alias("xs"))
+        star = met.where(F.col("a").isNotNull() & (F.size("xs") > 1)).select(*keys, "a", F.explode("xs").alias("b")).where("a <> b")
         links = links.unionByName(star)
     return links
 
@@ -283,7 +291,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, text: str = "text", id_: str = "doc_id", radius: int = RADIUS) -> DataFrame:
-    """Every row's id, ``fingerprint`` (long), ``text_hash``, ``group`` (its smallest fingerprint) and ``component_id``.
+    """Every row's id, ``fingerprint`` (long), ``group`` (its smallest fingerprint) and ``component_id``.
 
     ``component_id`` is the smallest id of the rows whose fingerprints can be
     reached over links, null only if all their ids are null.  Null and empty
@@ -291,8 +299,8 @@ def near_duplicates(df: DataFrame, text: str = "text", id_: str = "doc_id", radi
     fingerprint.  Only id and text are used, so other columns may have any
     name; an empty table gives an empty result.
     """
-    given = df.select(F.col(id_).alias("_id"), F.xxhash64(whole(F.col(text))).alias("_hash"), F.col(text).alias("_text"))
-    rows = saved(simhash(given, "_text", "_fp", keep=["_id", "_hash"]))
+    given = df.select(F.col(id_).alias("_id"), F.col(text).alias("_text"))
+    rows = saved(simhash(given, "_text", "_fp", keep=["_id"]))
     classes = saved(rows.groupBy("_fp").agg(F.min("_id").alias("_first")))
     tree = saved(components(fingerprint_links(classes.select("_fp"), radius)))
     # only fingerprints with links take part in this grouping
@@ -305,7 +313,7 @@ def near_duplicates(df: DataFrame, text: str = "text", id_: str = "doc_id", radi
         F.when(F.col("node").isNotNull(), F.col("_least")).otherwise(F.col("_first")).alias("component_id"),
     )
     return rows.join(known, F.col("_fp") == F.col("_key")).select(
-        F.col("_id").alias(id_), F.col("_fp").alias("fingerprint"), F.col("_hash").alias("text_hash"), "group", "component_id"
+        F.col("_id").alias(id_), F.col("_fp").alias("fingerprint"), "group", "component_id"
     )
 
 
@@ -313,17 +321,3 @@ def op8_simhash(spark, folder: str) -> DataFrame:
     """Fingerprint and group of every document."""
     found = near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def stage(spark, docs: DataFrame, folder: str) -> DataFrame:
-    """One document of each group: the one with the smallest id (null ids last, then by the text's hash)."""
-    columns = docs.columns
-    last = (1 << 63) - 1
-    found = near_duplicates(docs.select("doc_id", "text"))
-    best = found.groupBy("group").agg(
-        F.min(F.struct(F.coalesce("doc_id", F.lit(last)).alias("id"), F.col("text_hash").alias("hash"))).alias("b")
-    ).select(F.col("b.id").alias("_best_id"), F.col("b.hash").alias("_best_hash"))
-    id_, hash_ = fresh(docs, "sort_id", "sort_hash")
-    named = docs.withColumns({id_: F.coalesce("doc_id", F.lit(last)), hash_: F.xxhash64(whole(F.col("text")))})
-    best = best.select(F.col("_best_id").alias(id_), F.col("_best_hash").alias(hash_))
-    return named.join(best, [id_, hash_]).dropDuplicates([id_, hash_]).select(*columns)

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chartloom.llm import classifier, fingerprints, mixing, pieces, pii, quality, simhash
+from chartloom.llm import classifier, fingerprints, mixing, pieces, pii, quality, simhash, similar
 
 SPLIT = re.compile("[^\x20\x09-\x0d]+")
 
@@ -153,11 +153,75 @@ def test_long_chain_of_links(spark):
 
 
 def test_dedup_stage(spark, clashing, odd):
-    out = simhash.stage(spark, clashing, "")
+    out = similar.stage(spark, clashing, "")
     assert out.columns == clashing.columns
-    found = simhash.near_duplicates(odd)
-    assert out.count() == found.select("group").distinct().count()
-    assert out.where("doc_id = 1").count() == 1  # null, empty and blank texts are one group
+    assert out.count() == similar.similar_groups(odd).select("group").distinct().count()
+    assert out.where("doc_id = 1").count() == 1 and out.where("doc_id in (2, 3)").count() == 0  # texts without words are one group
+    assert out.where("doc_id = 4").count() == 2  # the repeated row once, the other text under the same id
+    assert similar.stage(spark, odd.limit(0), "").count() == 0
+
+
+def plain_groups(texts):
+    """Components of all pairs with a likeness of 0.8 or more, and of equal texts."""
+    found = sorted(set(texts))
+    sets = [shingles(t.lower()) for t in found]
+    parent = list(range(len(found)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(found)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                parent[root(i)] = root(j)
+    return {t: root(i) for i, t in enumerate(found)}
+
+
+def test_similar_groups_equal_all_pairs(spark):
+    random.seed(31)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    texts = []
+    for _ in range(60):
+        base = random.choices(vocabulary, k=random.randint(30, 400))
+        texts.append(" ".join(base))
+        for _ in range(random.randint(0, 3)):
+            copy = list(base)
+            for _ in range(max(1, len(copy) // 120)):
+                copy[random.randrange(len(copy))] = random.choice(vocabulary)
+            texts.append(" ".join(copy))
+    texts += [texts[0]] * 50
+    want = plain_groups(texts)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    kept = {r.text for r in similar.stage(spark, df, "").collect()}
+    got = {bytes(r["class"]): bytes(r.group) for r in similar.similar_groups(df).collect()}
+    pairs = [(a, b) for a in want for b in want if a < b]
+    joined = {(a, b) for a, b in pairs if got[hashlib.md5(a.encode()).digest()] == got[hashlib.md5(b.encode()).digest()]}
+    true = {(a, b) for a, b in pairs if want[a] == want[b]}
+    assert joined <= true and len(joined) >= 0.95 * len(true)
+    assert len(kept) == len(set(got.values()))
+
+
+def test_a_crowd_of_near_copies(spark):
+    random.seed(32)
+    base = [f"w{random.randrange(10_000)}" for _ in range(300)]
+    texts = [" ".join(base)]
+    for i in range(400):
+        copy = list(base)
+        copy[random.randrange(300)] = f"x{i}"
+        texts.append(" ".join(copy))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert [r.doc_id for r in similar.stage(spark, df, "").collect()] == [0]
+
+
+def test_sketch_likeness():
+    a, b = np.arange(0, 4000, dtype="<u4"), np.arange(400, 4400, dtype="<u4")
+    mixed_a, mixed_b = (np.sort(similar._mixed(x.astype("u8") + np.uint64(9)) >> np.uint64(32)).astype("<u4") for x in (a, b))
+    got = similar.sketch_likeness(mixed_a[:similar.SKETCH].tobytes(), mixed_b[:similar.SKETCH].tobytes())
+    assert got == pytest.approx(3600 / 4400, abs=0.06)
+    assert similar.sketch_likeness(a[:100].tobytes(), a[20:120].tobytes()) == 80 / 120
+    assert similar.sketch_likeness(b"", b"") == 1.0 and similar.sketch_likeness(b"", a[:1].tobytes()) == 0.0
 
 
 # ------------------------------------------------------------------ op9
@@ -364,11 +428,9 @@ def test_pipeline(spark, docs, labels, folder):
     out = corpus_pipeline.run(spark, folder).collect()
     kept = {r.doc_id for r in quality.quality_rules(docs).where("kept").collect()}
     texts = {r.doc_id: r.text for r in docs.collect() if r.doc_id in kept}
-    prints = sorted({plain_simhash(t) for t in texts.values()})
-    group, least = dict(zip(prints, components_of(prints, simhash.RADIUS))), {}
+    group, least = plain_groups(texts.values()), {}
     for i, t in texts.items():
-        g = group[plain_simhash(t)]
-        least[g] = min(least.get(g, i), i)
+        least[group[t]] = min(least.get(group[t], i), i)
     single = set(least.values())
     ids = [r.doc_id for r in out]
     assert len(ids) == len(set(ids)) and set(ids) <= single
