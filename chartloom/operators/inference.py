@@ -12,8 +12,8 @@ from pyspark.sql import types as T
 from ..scale import HOT_ROWS, ordered_columns, value_ranks
 from .survival import _match, _renamed
 
-EXACT_PAIRS = 50
-EXACT_TIED = 13
+#: groups up to these sizes get the exact distribution: without ties and zeros, and with them
+EXACT_PAIRS, EXACT_TIED = 50, 13
 
 
 @F.pandas_udf(T.DoubleType())
@@ -36,12 +36,17 @@ def exact_tail(ranks: Column, at_least: Column) -> Column:
     return hit / F.pow(F.lit(2.0), F.size(ranks))
 
 
-def signed_rank(df: DataFrame, keys: list[str], diff: str, rows: int | None = None, limit: int = HOT_ROWS) -> DataFrame:
+def signed_rank(
+    df: DataFrame, keys: list[str], diff: str, rows: int | None = None, limit: int = HOT_ROWS,
+    exact_pairs: int = EXACT_PAIRS, exact_tied: int = EXACT_TIED,
+) -> DataFrame:
     """Paired signed-rank test per group: statistic, one-sided (greater) and two-sided p.
 
-    Zero differences leave; when all are zero p is 1.  Small groups use the
-    exact distribution, others the normal approximation with tie correction.
-    Only the at most fifty ranks of a small group are ever listed.
+    Zero differences leave; when all are zero p is 1.  Groups of up to
+    ``exact_pairs`` differences without ties and zeros, and of up to
+    ``exact_tied`` with them, use the exact distribution, others the normal
+    approximation with tie correction (0 for both: always the approximation).
+    Only the ranks of such a group are ever listed.
     """
     d = F.col(diff)
     total = df.groupBy(*keys).agg(F.count(d).alias("n_all"))
@@ -56,14 +61,15 @@ def signed_rank(df: DataFrame, keys: list[str], diff: str, rows: int | None = No
         F.sum(F.col("avg_rank") * (F.col("n") - F.col("ups"))).alias("minus"),
         F.sum(n * n * n - n).alias("ties"),
     )
-    small = agg.where(F.col("n") <= EXACT_PAIRS).select(*[F.col(k).alias(f"_s_{k}") for k in keys])
+    small = agg.where(F.col("n") <= max(exact_pairs, exact_tied)).select(*[F.col(k).alias(f"_s_{k}") for k in keys])
     listed = (
         both.join(small, _match(keys, "_s_"), "left_semi").groupBy(*keys)
         .agg(F.flatten(F.collect_list(F.array_repeat((F.col("avg_rank") * 2).cast("int"), F.col("n").cast("int")))).alias("ranks"))
     )
     out = total.join(_renamed(agg, keys, "_a_"), _match(keys, "_a_"), "left").drop(*[f"_a_{k}" for k in keys])
     out = out.join(_renamed(listed, keys, "_l_"), _match(keys, "_l_"), "left").drop(*[f"_l_{k}" for k in keys])
-    exact = F.col("ranks").isNotNull() & ((F.col("ties") == 0) & (F.col("n") == F.col("n_all")) | (F.col("n") <= EXACT_TIED))
+    plain = (F.col("ties") == 0) & (F.col("n") == F.col("n_all")) & (F.col("n") <= exact_pairs)
+    exact = F.col("ranks").isNotNull() & (plain | (F.col("n") <= exact_tied))
     mean = F.col("n") * (F.col("n") + 1) / 4.0
     spread = F.sqrt((F.col("n") * (F.col("n") + 1) * (2 * F.col("n") + 1) - F.col("ties") / 2.0) / 24.0)
     high = F.greatest("plus", "minus")

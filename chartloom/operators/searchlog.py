@@ -224,14 +224,19 @@ def mean_ranks(records: DataFrame, competitors: list[str], areas: DataFrame | No
     )
 
 
-def decision(records: DataFrame, competitors: list[str], baseline: str, areas: DataFrame | None = None, delta: float = 0.005) -> DataFrame:
-    """One row: the winner by (mean rank, area, name), its advantage over the baseline, and whether that is too small to tell."""
+def decision(
+    records: DataFrame, competitors: list[str], baseline: str, areas: DataFrame | None = None, delta: float = 0.005, ablated: str = "SEAS",
+) -> DataFrame:
+    """One row: the winner by (mean rank, area, name), its advantage over the baseline, and whether that is too small to tell.
+
+    ``ablated`` is the algorithm whose mean rank decides on ablation runs.
+    """
     ranks = mean_ranks(records, competitors, areas)
     key = F.struct("mean_rank", (-F.coalesce("mean_auc", F.lit(0.0))).alias("a"), "algorithm")
     other = F.col("algorithm") != baseline
     best = ranks.agg(
         F.min_by("algorithm", F.when(other, key)).alias("best_competitor"), F.count(F.lit(1)).alias("n_algorithms"),
-        F.min(F.when(F.col("algorithm") == "SEAS", F.col("mean_rank"))).alias("seas_rank"),
+        F.min(F.when(F.col("algorithm") == ablated, F.col("mean_rank"))).alias("seas_rank"),
     )
     rates = win_rates(records, competitors, baseline).select(F.col("algorithm").alias("best_competitor"), F.col("mean_difference").alias("advantage"))
     j = best.join(rates, "best_competitor", "left")

@@ -179,7 +179,7 @@ def first_examples(per_patient: DataFrame, order: str = "patient_id", k: int = 5
         .select(*FIELD, order, "collapsed", F.row_number().over(w).alias("rn"))
         .where(F.col("rn") <= k)
     )
-    rows = F.array_sort(F.collect_list(F.struct("rn", F.substring("collapsed", 1, 80).alias("v"))))
+    rows = F.array_sort(F.collect_list(F.struct("rn", F.col("collapsed").alias("v"))))
     return top.groupBy(*FIELD).agg(F.array_join(F.transform(rows, lambda r: r["v"]), " | ").alias("example_values"))
 
 
@@ -234,7 +234,7 @@ def field_stats(
         F.round(valid / total, 6).alias("coverage"),
         null.alias("null_count"), sentinel.alias("sentinel_count"),
         F.round(null / total, 6).alias("null_rate"), F.round(sentinel / total, 6).alias("sentinel_rate"),
-        F.coalesce(F.substring("mode_value", 1, 80), F.lit("")).alias("mode_value"),
+        F.coalesce("mode_value", F.lit("")).alias("mode_value"),
         F.round(F.coalesce("mode_share", F.lit(0.0)), 6).alias("mode_share"),
         inferred_type(F.col("numeric_share"), F.col("ordinal_stage"), F.col("unique_count")).alias("inferred_type"),
         F.col("field_path").contains("[]").alias("multi_record"),
@@ -247,6 +247,11 @@ def field_stats(
     return out.select(*columns)
 
 
+def shortened(stats: DataFrame, width: int = 80, columns: tuple[str, ...] = ("mode_value",)) -> DataFrame:
+    """The table with long texts cut to ``width`` characters, as it is printed; the statistics themselves keep whole values."""
+    return stats.withColumns({c: F.substring(c, 1, width) for c in columns if c in stats.columns})
+
+
 def stats_order(stats: DataFrame, shared: bool = False) -> DataFrame:
     keys = [F.desc("missing"), "field_path"]
     return stats.orderBy("dataset", *keys) if shared else stats.orderBy(*keys)

@@ -17,7 +17,7 @@ SELECT dataset, field_path, total, total - valid AS missing, valid, value_kind,
  round(metric, 6) AS info_metric_value, coverage, total - valid - sentinel_count AS null_count, sentinel_count,
  round((total - valid - sentinel_count) / CAST(total AS DOUBLE), 6) AS null_rate,
  round(sentinel_count / CAST(total AS DOUBLE), 6) AS sentinel_rate,
- left(mode_value, 80) AS mode_value, round(mode_share, 6) AS mode_share, inferred_type,
+ mode_value, round(mode_share, 6) AS mode_share, inferred_type,
  contains(field_path, '[]') AS multi_record, round(multi / CAST(total AS DOUBLE), 6) AS multi_record_rate
 FROM x_stats
 """
@@ -77,7 +77,7 @@ def a7_type_inference(c: Clinic):
 
 @query("t5_first_examples", """
 SELECT dataset, field_path, string_agg(v, ' | ' ORDER BY patient_id) AS example_values FROM (
- SELECT dataset, field_path, patient_id, left(collapsed, 80) AS v, row_number() OVER (PARTITION BY dataset, field_path ORDER BY patient_id) AS rn
+ SELECT dataset, field_path, patient_id, collapsed AS v, row_number() OVER (PARTITION BY dataset, field_path ORDER BY patient_id) AS rn
  FROM x_collapsed WHERE n_valid > 0) WHERE rn <= 5 GROUP BY ALL
 """)
 def t5_first_examples(c: Clinic):
