@@ -1,5 +1,7 @@
 """Value classification, paths, statistics and rules on small documents."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,12 +66,25 @@ def test_read_case_files(spark, tmp_path):
         reg.resolve("nope")
 
 
-def test_key_scan_nests_and_guards_depth(spark, make_cases):
+def test_key_scan_nests_to_any_depth(spark, make_cases):
     c = make_cases([{"submitter_id": "A", "d": {"x": 1}, "l": [{"y": [{"z": 1}]}, 3], "s": [1, 2]}])
     got = {(r["prefix"], r["key"]) for r in scan.scan_keys(c, 4).collect()}
     assert got == {("", "submitter_id"), ("", "d"), ("", "l"), ("", "s"), ("d", "x"), ("l[]", "y"), ("l[].y[]", "z")}
-    with pytest.raises(Exception, match="below the scan depth"):
-        scan.scan_keys(c, 2).collect()
+    # a first chain that is too short is made longer
+    assert {(r["prefix"], r["key"]) for r in scan.scan_keys(c, 1).collect()} == got
+
+
+def test_dictionary_types_and_enums_of_any_depth(spark):
+    from chartloom.sources import tables
+
+    deep = {"anyOf": [{"oneOf": [{"type": "array", "items": {"anyOf": [{"enum": ["x", "y"]}, {"type": ["string", "null"]}]}}]}]}
+    schema = {"category": "clinical", "required": ["a"], "properties": {
+        "a": deep, "b": {"type": "integer"}, "c": {"enum": ["y", 3, "y"]}, "d": {"$ref": "z"}, "e": {"type": "array", "items": {"type": "number"}}}}
+    df = spark.createDataFrame([("treatment", json.dumps(schema))], "entity string, j string").select("entity", F.parse_json("j").alias("schema"))
+    got = {r["field"]: (r["type"], r["required"], r["enum"], r["n_enum"]) for r in tables.flatten_dictionary(df).collect()}
+    assert got == {
+        "a": ("array[enum|string|null]", "yes", "x | y", 2), "b": ("integer", "no", "", 0), "c": ("enum", "no", "y | 3", 2),
+        "d": ("z", "no", "", 0), "e": ("array[number]", "no", "", 0)}
 
 
 def test_field_stats_on_small_values(spark):
