@@ -99,7 +99,7 @@ def t_quantile(df: Column) -> Column:
     """0.975 quantile of Student's t; beyond the table by its expansion around the normal."""
     z3, z5 = _Z**3, _Z**5
     tail = _Z + (z3 + _Z) / (4.0 * df) + (5 * z5 + 16 * z3 + 3 * _Z) / (96.0 * df * df)
-    return F.when(df <= len(T_975), F.try_element_at(F.array(*[F.lit(x) for x in T_975]), df.cast("int"))).otherwise(tail)
+    return F.when(df <= len(T_975), F.get(F.array(*[F.lit(x) for x in T_975]), df.cast("int") - 1)).otherwise(tail)
 
 
 def paired_interval(df: DataFrame, keys: list[str], diff: str) -> DataFrame:
