@@ -12,7 +12,8 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 SAMPLE = [
     "a3_field_stats", "a8_field_registry", "i4_treatment_intervals", "w1_slot_numbers", "a4_landmark_stats", "w2_follow_up_records",
     "p18_scheme_values", "a22_leak_audit", "e4_encoded_cells", "e14_neighbour_pairs", "m1_concordance", "m9_fold_metrics",
-    "j15_pair_overlap", "a44_decision", "s1_load_cases", "a1_key_scan", "s14_merged_rows",
+    "j15_pair_overlap", "a44_decision", "s1_load_cases", "a1_key_scan", "s14_merged_rows", "s6_flatten_dictionary",
+    "a16_wide_slots", "a51_delta_matrix", "w12_stop_replay", "m12_bootstrap_interval", "m11_paired_interval",
 ]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="driver tables absent")
