@@ -30,7 +30,7 @@ from chartloom.llm.common import fresh, table
 
 MARK = "▁"
 #: segments and token pairs that a task remembers; forgetting costs time only
-KNOWN_SEGMENTS, KNOWN_PAIRS = 250_000, 200_000
+KNOWN_SEGMENTS, KNOWN_PAIRS = 450_000, 400_000
 #: ids and text characters after which a task hands rows on
 CHUNK = 4_000_000
 
