@@ -215,6 +215,36 @@ def test_a_crowd_of_near_copies(spark):
     assert [r.doc_id for r in similar.stage(spark, df, "").collect()] == [0]
 
 
+def assert_groups_of_all_pairs(spark, texts):
+    """The groups of ``similar_groups`` are exactly those of all pairs."""
+    want = plain_groups(texts)
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    got = {bytes(r["class"]): bytes(r.group) for r in similar.similar_groups(df).collect()}
+    one, two = defaultdict(set), defaultdict(set)
+    for t, g in want.items():
+        one[g].add(t)
+        two[got[hashlib.md5(t.encode()).digest()]].add(t)
+    assert sorted(map(sorted, one.values())) == sorted(map(sorted, two.values()))
+    return sum(len(g) - 1 for g in one.values())
+
+
+def test_appended_cut_and_replaced_blocks(spark):
+    random.seed(33)
+
+    def drawn(k):
+        return [f"w{random.randrange(20_000)}" for _ in range(k)]
+
+    texts, n = [], 300
+    for size in (15, 24, 30, 45, 57):
+        for _ in range(6):
+            for change in ("append", "put before", "cut", "replace"):
+                base, at = drawn(n), random.randrange(n - size)
+                copy = {"append": base + drawn(size), "put before": drawn(size) + base, "cut": base[:n - size],
+                        "replace": base[:at] + drawn(size) + base[at + size:]}[change]
+                texts += [" ".join(base), " ".join(copy)]
+    assert assert_groups_of_all_pairs(spark, texts) >= 80
+
+
 def test_sketch_likeness():
     a, b = np.arange(0, 4000, dtype="<u4"), np.arange(400, 4400, dtype="<u4")
     mixed_a, mixed_b = (np.sort(similar._mixed(x.astype("u8") + np.uint64(9)) >> np.uint64(32)).astype("<u4") for x in (a, b))
