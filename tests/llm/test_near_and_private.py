@@ -245,6 +245,25 @@ def test_appended_cut_and_replaced_blocks(spark):
     assert assert_groups_of_all_pairs(spark, texts) >= 80
 
 
+@pytest.mark.parametrize("rounds", [0, 3])
+def test_templates_of_one_word_set_with_copies_among_them(spark, monkeypatch, rounds):
+    random.seed(34)
+    monkeypatch.setattr(similar, "ROUNDS", rounds)
+    monkeypatch.setattr(similar, "BLOCK", 7)
+    records = [[f"w{i}" for i in range(k, k + 8)] for k in range(0, 240, 8)]
+    texts = []
+    for i in range(40):
+        random.shuffle(records)
+        base = [w for r in records for w in r]
+        texts.append(" ".join(base))
+        for _ in range(3 if i % 4 == 0 else 0):
+            base = list(base)
+            k = random.randrange(200)
+            base[k], base[k + 1] = base[k + 1], base[k]
+            texts.append(" ".join(base))
+    assert assert_groups_of_all_pairs(spark, texts) == 30
+
+
 def test_sketch_likeness():
     a, b = np.arange(0, 4000, dtype="<u4"), np.arange(400, 4400, dtype="<u4")
     mixed_a, mixed_b = (np.sort(similar._mixed(x.astype("u8") + np.uint64(9)) >> np.uint64(32)).astype("<u4") for x in (a, b))
