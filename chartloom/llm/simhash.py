@@ -216,21 +216,16 @@ def _bucket_links(radius: int):
     return run
 
 
-def fingerprint_links(
-    fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET, keys: list[str] | None = None, compare=None, schema: str = "a long, b long",
-) -> DataFrame:
+def fingerprint_links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
     """Links (a, b) whose components are those of all pairs of fingerprints within ``radius``.
 
-    ``fps`` has different longs in its last column, after the ``keys`` that
-    pairs must share, and is read several times.  ``compare`` turns the lists of
-    buckets of up to ``bucket`` fingerprints into links; by default it gives all
-    pairs.  Another one may give fewer; then crowded buckets may link at two bits.
+    ``fps`` has different longs in its only column and is read several times.
+    The radius is the same in buckets of every size.
     """
-    keys = keys or []
-    name = fps.columns[-1]
-    values = fps.select(name)
-    order = bit_order(values)
-    n, shares = distance_shares(values, order)
+    schema = "a long, b long"
+    (name,) = fps.columns
+    order = bit_order(fps)
+    n, shares = distance_shares(fps, order)
     spark = fps.sparkSession
     if n < 2:
         return spark.createDataFrame([], schema)
@@ -238,25 +233,23 @@ def fingerprint_links(
     probe = F.array(*[
         F.struct(F.lit(i).alias("p"), F.col(name).bitwiseAND(F.lit(_signed(m))).alias("k")) for i, m in enumerate(masks)
     ])
-    at = [*keys, "p", "k"]
-    probes = fps.select(*keys, F.explode(probe).alias("s"), F.col(name).alias("x")).select(*keys, "s.p", "s.k", "x")
+    at = ["p", "k"]
+    probes = fps.select(F.explode(probe).alias("s"), F.col(name).alias("x")).select("s.p", "s.k", "x")
     sizes = saved(probes.groupBy(*at).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1))
     small = sizes.where(F.col("n") <= bucket).select(*at)
     large = sizes.where(F.col("n") > bucket).select(*at)
     # a bucket's list is bounded by its counted size
-    lists = probes.join(small, at).groupBy(*at).agg(F.collect_list("x").alias("x")).select(*keys, "x")
-    links = lists.mapInArrow(compare or _bucket_links(radius), schema)
+    lists = probes.join(small, at).groupBy(*at).agg(F.collect_list("x").alias("x")).select("x")
+    links = lists.mapInArrow(_bucket_links(radius), schema)
     if large.limit(1).count():
-        crowded = saved(probes.join(large, at, "left_semi").select(*keys, "x").distinct())
-        around = F.array(*[
-            F.struct(F.lit(d).alias("d"), F.lit(narrow).alias("narrow")) for d, narrow in _balls(radius if compare is None else min(radius, 2))
-        ])
-        balls = crowded.select(*keys, "x", F.explode(around).alias("s")).select(
-            *keys, "x", F.col("s.d").bitwiseXOR(F.col("x")).alias("c"), F.col("s.narrow").alias("narrow")
+        crowded = saved(probes.join(large, at, "left_semi").select("x").distinct())
+        around = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(narrow).alias("narrow")) for d, narrow in _balls(radius)])
+        balls = crowded.select("x", F.explode(around).alias("s")).select(
+            "x", F.col("s.d").bitwiseXOR(F.col("x")).alias("c"), F.col("s.narrow").alias("narrow")
         )
         # few fingerprints meet a centre: at most one for each difference
-        met = balls.groupBy(*keys, "c").agg(F.min(F.when(F.col("narrow"), F.col("x"))).alias("a"), F.collect_set("x").alias("xs"))
-        star = met.where(F.col("a").isNotNull() & (F.size("xs") > 1)).select(*keys, "a", F.explode("xs").alias("b")).where("a <> b")
+        met = balls.groupBy("c").agg(F.min(F.when(F.col("narrow"), F.col("x"))).alias("a"), F.collect_set("x").alias("xs"))
+        star = met.where(F.col("a").isNotNull() & (F.size("xs") > 1)).select("a", F.explode("xs").alias("b")).where("a <> b")
         links = links.unionByName(star)
     return links
 

@@ -264,6 +264,20 @@ def test_templates_of_one_word_set_with_copies_among_them(spark, monkeypatch, ro
     assert assert_groups_of_all_pairs(spark, texts) == 30
 
 
+def test_a_crowd_has_the_groups_of_few(spark, monkeypatch):
+    random.seed(36)
+    # the largest group of texts that is compared at once: here crowded
+    monkeypatch.setattr(similar, "BUCKET" if hasattr(similar, "BUCKET") else "BLOCK", 1)
+    texts = []
+    for _ in range(60):
+        base = [f"w{random.randrange(5_000)}" for _ in range(200)]
+        copy = list(base)
+        for _ in range(3):
+            copy[random.randrange(200)] = f"x{random.randrange(5_000)}"
+        texts += [" ".join(base), " ".join(copy)]
+    assert assert_groups_of_all_pairs(spark, texts) == 60
+
+
 def test_sketch_likeness():
     a, b = np.arange(0, 4000, dtype="<u4"), np.arange(400, 4400, dtype="<u4")
     mixed_a, mixed_b = (np.sort(similar._mixed(x.astype("u8") + np.uint64(9)) >> np.uint64(32)).astype("<u4") for x in (a, b))
