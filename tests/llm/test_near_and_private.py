@@ -278,6 +278,23 @@ def test_a_crowd_has_the_groups_of_few(spark, monkeypatch):
     assert assert_groups_of_all_pairs(spark, texts) == 60
 
 
+def test_long_texts_near_the_bound_are_decided_on_the_whole(spark):
+    random.seed(35)
+    texts = []
+    for i in range(24):
+        base = [f"w{random.randrange(50_000)}" for _ in range(1500)]
+        copy = list(base)
+        while len(shingles(" ".join(base)) & shingles(" ".join(copy))) > (0.803 if i % 2 else 0.797) * len(shingles(" ".join(base)) | shingles(" ".join(copy))):
+            copy[random.randrange(1500)] = f"x{random.randrange(50_000)}"
+        if i % 2:  # back above the bound
+            for k in range(1500):
+                if len(shingles(" ".join(base)) & shingles(" ".join(copy))) >= 0.801 * len(shingles(" ".join(base)) | shingles(" ".join(copy))):
+                    break
+                copy[k] = base[k]
+        texts += [" ".join(base), " ".join(copy)]
+    assert assert_groups_of_all_pairs(spark, texts) == 12
+
+
 def test_sketch_likeness():
     a, b = np.arange(0, 4000, dtype="<u4"), np.arange(400, 4400, dtype="<u4")
     mixed_a, mixed_b = (np.sort(similar._mixed(x.astype("u8") + np.uint64(9)) >> np.uint64(32)).astype("<u4") for x in (a, b))
