@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.missing import cleaned
@@ -10,7 +10,7 @@ from ..functions.numbers import number_label
 from ..functions.text import first_filled
 from .families import Families, primary_order
 from .landmark import masked
-from .leak import WHO, therapy_sources, therapy_values, years_smoked
+from .leak import WHO, _therapies, therapy_sources, therapy_values, years_smoked
 
 PHARMA = "pharmaceutical therapy, nos"
 RADIATION = "radiation therapy, nos"
@@ -168,13 +168,36 @@ def scheme_sources(t: Families) -> DataFrame:
     return out
 
 
+def source_values(t: Families) -> DataFrame:
+    """(dataset, patient_id, field_path, value) of every object that contributes to a scheme value, case fields left out."""
+    rank = F.row_number().over(Window.partitionBy(*WHO).orderBy(primary_order()))
+    main = t.diagnoses.withColumn("_rank", rank).where("_rank = 1")
+    first = {f: _filled(main, s[1]) for f, s in SCHEME_FIELDS.items() if s[0] == "primary"}
+    columns = [*WHO, "field_path", "value"]
+    out = _melt(main, {f: v for f, v in first.items() if v is not None}).select(*columns)
+    out = out.unionByName(join_objects(t).select(*columns))
+    for field, kind in (("derived.pharmaceutical_therapy", PHARMA), ("derived.radiation_therapy", RADIATION)):
+        read, token = _therapies(t, kind)
+        out = out.unionByName(read.select(*WHO, F.lit(field).alias("field_path"), token.alias("value")).where("value in ('yes', 'no')"))
+    if t.exposures is not None:
+        out = out.unionByName(years_smoked(t).select(*WHO, F.lit("derived.years_smoked").alias("field_path"), "value"))
+    return out
+
+
 def provenance_mismatches(values: DataFrame, sources: DataFrame) -> DataFrame:
-    """Valid non-case values whose sources are absent: must be empty."""
-    traced = [f for f, s in SCHEME_FIELDS.items() if s[0] != "case"]
+    """Non-case values that differ from the value rebuilt from their sources' values: must be empty."""
     keys = [*WHO, "field_path"]
-    return values.where(F.col("valid") & F.col("field_path").isin(*traced)).join(
-        sources.select(*keys).distinct(), keys, "left_anti"
+    joins = [f for f, s in SCHEME_FIELDS.items() if s[0] == "join"]
+    # one object gives a primary or smoking value; a therapy's yes is above its no
+    rebuilt = sources.groupBy(*keys).agg(F.sort_array(F.collect_set("value")).alias("_all")).select(
+        *keys, F.when(F.col("field_path").isin(*joins), F.array_join("_all", ", ")).otherwise(F.array_max("_all")).alias("_rebuilt")
     )
+    known = F.create_map(*[F.lit(x) for f, s in SCHEME_FIELDS.items() for x in (f, s[2])])
+    traced = [f for f, s in SCHEME_FIELDS.items() if s[0] != "case"]
+    expected = F.coalesce("_rebuilt", known[F.col("field_path")])
+    return values.where(F.col("field_path").isin(*traced)).join(rebuilt, keys, "left").where(
+        ~F.col("value").eqNullSafe(expected)
+    ).drop("_rebuilt")
 
 
 def aliased(values: DataFrame, aliases: DataFrame) -> DataFrame:

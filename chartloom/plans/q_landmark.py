@@ -368,7 +368,7 @@ def i12_value_sources(c: Clinic):
 @query("i12_untraced_values", "SELECT dataset, patient_id, field_path, value FROM x_scheme WHERE false")
 def i12_untraced_values(c: Clinic):
     """Equality check of values and their sources: no row may come back."""
-    values, sources = extract.scheme_values(c.timed), extract.scheme_sources(c.timed)
+    values, sources = extract.scheme_values(c.timed), extract.source_values(c.timed)
     return extract.provenance_mismatches(values, sources).select("dataset", "patient_id", "field_path", "value")
 
 
