@@ -9,8 +9,8 @@ The filters (``LETTERS``):
     E    the same text as a document of a smaller id
 
 E is found by radix tries.  Texts are range-partitioned by adaptive prefixes:
-where more than ``BUCKET`` bytes of texts share a prefix of eight bytes the next
-four times as many are taken, and so on until a prefix is rare enough
+where more than ``BUCKET`` bytes or ``ROWS`` texts share a prefix of eight bytes
+the next four times as many are taken, and so on until a prefix is rare enough
 or has one text only.  A task gets its ranges in order of prefix, puts the
 texts of one prefix into a compressed trie that keeps the smallest id at each
 end, walks it, and goes on with an empty trie.  Before the shuffle equal texts
@@ -34,8 +34,8 @@ from chartloom.llm.common import saved, table
 
 LETTERS = "ABCDE"
 MIN_WORDS, DISTINCT, CAPITALS, MARKS = 50, 65, 5, b"#$%&*|"
-#: bytes of texts under one prefix, the first prefix and how much longer the next ones are
-BUCKET, FIRST, LONGER = 32_000_000, 8, 4
+#: bytes and number of texts under one prefix, the first prefix and how much longer the next ones are
+BUCKET, ROWS, FIRST, LONGER = 32_000_000, 10_000, 8, 4
 #: levels of prefixes: the last one is longer than any text of Spark
 LEVELS = 14
 _UPPER = bytes(range(65, 91))
@@ -152,19 +152,19 @@ def _masked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _MASKED_SCHEMA)], schema=_MASKED_SCHEMA)
 
 
-def prefixed(df: DataFrame, text: str = "text", bucket: int = BUCKET) -> DataFrame:
+def prefixed(df: DataFrame, text: str = "text", bucket: int = BUCKET, rows: int = ROWS) -> DataFrame:
     """The rows with ``prefix``: the shortest beginning of the text that few texts (in bytes) or one text only begin with.
 
     Each level looks at the texts under the crowded prefixes of the one before
-    only.  There are at most bytes / ``bucket`` crowded prefixes a level; the
-    texts' bytes are read as they are.
+    only.  A level has at most bytes / ``bucket`` + rows / ``rows`` crowded
+    prefixes: these are broadcast, the texts stay where they are.
     """
     df = df.withColumn("prefix", F.substring(text, 1, FIRST))
     length, left, crowds = FIRST, df, []
     for _ in range(LEVELS):
         crowd = saved(
-            left.groupBy("prefix").agg(F.sum(F.octet_length(text)).alias("bytes"), F.min(F.xxhash64(text)).alias("a"), F.max(F.xxhash64(text)).alias("b"))
-            .where((F.col("bytes") > bucket) & (F.col("a") != F.col("b"))).select(F.col("prefix").alias("crowded"))
+            left.groupBy("prefix").agg(F.sum(F.octet_length(text)).alias("bytes"), F.count(F.lit(1)).alias("n"), F.min(F.xxhash64(text)).alias("a"), F.max(F.xxhash64(text)).alias("b"))
+            .where(((F.col("bytes") > bucket) | (F.col("n") > rows)) & (F.col("a") != F.col("b"))).select(F.col("prefix").alias("crowded"))
         )
         if not crowd.limit(1).count():
             break

@@ -98,8 +98,8 @@ def _open(folder: str, name: str, write: bool = False):
     store, path = pafs.FileSystem.from_uri(folder)
     if write:
         store.create_dir(path, recursive=True)
-        return store.open_output_stream(f"{path}/{name}")
-    return store.open_input_stream(f"{path}/{name}")
+        return store.open_output_stream(f"{path}/{name}", compression=None)
+    return store.open_input_stream(f"{path}/{name}", compression=None)
 
 
 class _Archive:
