@@ -239,13 +239,15 @@ def _column(batch: pa.RecordBatch, ids: list[bytes], decoded: list[str] | None)
     return pa.RecordBatch.from_arrays(arrays, names=names)
 
 
-def piece_encode(df: DataFrame, model: str, text: str = "text", decode: bool = False, keep: list[str] | None = None) -> DataFrame:
+def piece_encode(df: DataFrame, model: str, text: str = "text", decode: bool = False, keep: list[str] | None = None, forget: bool = False) -> DataFrame:
     """The table's columns in ``keep`` (all by default) with ``ids`` (array of int) and, if asked for, ``decoded``.
 
     ``model`` is a path that every executor can open.  Null and empty texts have
     no ids and decode to the empty text.  Texts of any length are encoded whole;
     repeated rows are encoded alike; an empty table stays empty.  Input columns
-    called ``ids`` or ``decoded`` are replaced.
+    called ``ids`` or ``decoded`` are replaced.  With ``forget`` a task drops its
+    table of known segments at its end, so workers that go on to other work
+    don't hold it.
     """
     kept = [c for c in (df.columns if keep is None else keep) if c not in {"ids", "decoded"}]
     (source,) = [text] if text in kept else fresh(df, "piece_text")
@@ -271,6 +273,8 @@ def piece_encode(df: DataFrame, model: str, text: str = "text", decode: bool = F
                     ids, back, start, held = [], [], i + 1, 0
             if ids:
                 yield _column(rest.slice(start), ids, back if decode else None)
+        if forget:
+            _MODELS.pop(model, None)
 
     return given.mapInArrow(run, T.StructType(fields))
 
@@ -316,6 +320,6 @@ def op2_pieces(spark, folder: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, folder: str) -> DataFrame:
     """The documents with their ids; the text is the decoded one."""
-    out = piece_encode(docs, default_model(), decode=True, keep=[c for c in docs.columns if c != "text"])
+    out = piece_encode(docs, default_model(), decode=True, keep=[c for c in docs.columns if c != "text"], forget=True)
     columns = [F.col("decoded").alias(c) if c == "text" else F.col(c) for c in docs.columns]
     return out.select(*columns, F.size("ids").cast("long").alias("n_tokens"), "ids")
