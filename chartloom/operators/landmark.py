@@ -62,15 +62,18 @@ def readable(t: Families, landmark: float | None) -> Families:
     return seen.with_tables({"diagnoses": marked})
 
 
-def used_values(t: Families, fields: dict[str, dict[str, str]], landmark: float | None) -> DataFrame:
+def used_values(t: Families, fields: dict[str, dict[str, str]], landmark: float | None, timed: bool = False) -> DataFrame:
     """Valid raw values a field reads, through the landmark when one is given.
 
+    With ``timed`` every value carries the time location of its object: that of
+    the nearest timed object around it, or none outside the time model.
+
     Timed fields read passing objects only.  A flat diagnosis leaf reads the
     primary diagnosis among the readable ones when that diagnosis has the leaf,
     and every readable diagnosis otherwise.
     """
     keep = {"is_main": "boolean", "main_keys": "array<string>"}
-    rows = with_state(long_values(readable(t, landmark), fields, keep=keep)).where("state = 'valid'")
+    rows = with_state(long_values(readable(t, landmark), fields, timed=timed, keep=keep)).where("state = 'valid'")
     path = F.col("field_path")
     elsewhere = ~F.array_contains("main_keys", F.substring_index(path, ".", -1))
     return rows.where(~flat_diagnosis(path) | F.col("is_main") | F.coalesce(elsewhere, F.lit(False))).drop(*keep)

@@ -365,11 +365,64 @@ def i12_value_sources(c: Clinic):
     )
 
 
-@query("i12_untraced_values", "SELECT dataset, patient_id, field_path, value FROM x_scheme WHERE false")
+ob.cte("x_planted", """
+SELECT dataset, patient_id, field_path, CASE WHEN hash_at = 3 THEN value || ' wrong' WHEN hash_at = 5 AND valid THEN 'unknown value' ELSE value END AS value, hash_at IN (3, 5) AND (hash_at = 3 OR valid) AS wrong
+FROM (SELECT *, (patient_id + length(field_path)) % 37 AS hash_at FROM x_scheme)
+""")
+
+
+@query("i12_untraced_values", """
+SELECT dataset, patient_id, field_path, value FROM x_planted WHERE wrong AND field_path NOT LIKE 'demographic.%' AND field_path <> 'project.project_id'
+""")
 def i12_untraced_values(c: Clinic):
-    """Equality check of values and their sources: no row may come back."""
-    values, sources = extract.scheme_values(c.timed), extract.source_values(c.timed)
-    return extract.provenance_mismatches(values, sources).select("dataset", "patient_id", "field_path", "value")
+    """Equality check of values and their sources over values of which some are planted wrong: just these come back."""
+    at = (F.col("patient_id") + F.length("field_path")) % 37
+    planted = extract.scheme_values(c.timed).withColumn(
+        "value", F.when(at == 3, F.concat("value", F.lit(" wrong"))).when((at == 5) & F.col("valid"), "unknown value").otherwise(F.col("value"))
+    )
+    return extract.provenance_mismatches(planted, extract.source_values(c.timed)).select("dataset", "patient_id", "field_path", "value")
+
+
+# bank fields: every value with the place of its object, the primary diagnosis alone for flat leaves
+ob.cte("x_bank_src", f"""
+SELECT *, CASE WHEN field_path LIKE 'demographic.%' THEN NULL WHEN {_FLAT} THEN 'diagnoses' WHEN field_path LIKE 'diagnoses[].treatments%' THEN 'diagnoses_treatments'
+ WHEN field_path LIKE 'diagnoses[].path%' THEN 'diagnoses_pathology_details' WHEN field_path LIKE '%attributes%' THEN 'follow_ups_other_clinical_attributes' ELSE 'follow_ups' END AS family,
+ coalesce(slotted AND status NOT IN ('unlocated','non_informative') AND (t_hi IS NULL OR t_hi > 0), false) AS future,
+ coalesce(slotted AND status NOT IN ('unlocated','non_informative') AND t_hi IS NULL, false) AS lo_only, coalesce(slotted AND status IN ('unlocated','non_informative'), false) AS lost FROM x_used
+""")
+
+
+@query("a22_bank_audit", """
+WITH per AS (SELECT dataset, field_path, patient_id, bool_or(future) AS future, bool_or(lo_only) AS lo_only, bool_or(lost) AS lost, bool_or(NOT slotted) AS untimed, count_if(future) AS n_future,
+ max(CASE WHEN future THEN t_hi END) AS hi FROM x_bank_src GROUP BY ALL),
+a AS (SELECT dataset, field_path, count(*) AS n_valid, count_if(future) AS n_leak, count_if(lo_only) AS n_lo_only_source, count_if(lost) AS n_unlocated_source, count_if(untimed) AS n_untimed_source,
+ count_if(future OR lost) AS n_t0_blocked, CAST(sum(n_future) AS BIGINT) AS n_future_sources, max(hi) AS max_source_t_hi FROM per GROUP BY ALL),
+s AS (SELECT dataset, field_path, string_agg(DISTINCT family, ',' ORDER BY family) AS source_families, string_agg(DISTINCT status, ',' ORDER BY status) AS source_statuses FROM x_bank_src WHERE future GROUP BY ALL),
+f AS (SELECT DISTINCT field_path FROM x_tvalues)
+SELECT z.dataset, field_path, n_patients, coalesce(n_valid, 0) AS n_valid, coalesce(n_leak, 0) AS n_leak, coalesce(n_lo_only_source, 0) AS n_lo_only_source, coalesce(n_unlocated_source, 0) AS n_unlocated_source,
+ coalesce(n_untimed_source, 0) AS n_untimed_source, CAST(0 AS BIGINT) AS n_no_source, coalesce(n_t0_blocked, 0) AS n_t0_blocked, coalesce(n_future_sources, 0) AS n_future_sources, max_source_t_hi,
+ round(CASE WHEN n_valid > 0 THEN n_leak / CAST(n_valid AS DOUBLE) END, 9) AS leak_rate, coalesce(n_valid, 0) = 0 AS leak_rate_undefined,
+ coalesce(source_families, '') AS source_families, coalesce(source_statuses, '') AS source_statuses,
+ CASE WHEN field_path LIKE 'demographic.%' THEN NULL WHEN field_path LIKE 'diagnoses[].treatments%' THEN 'diagnoses_treatments' WHEN field_path LIKE 'diagnoses[].path%' THEN 'diagnoses_pathology_details'
+  WHEN field_path LIKE '%attributes%' THEN 'follow_ups_other_clinical_attributes' WHEN field_path LIKE 'diagnoses%' THEN 'diagnoses' ELSE 'follow_ups' END AS family,
+ field_path AS audited_path, 'field_bank' AS audit_mode, 'not reported' AS placeholder
+FROM x_sizes z CROSS JOIN f LEFT JOIN a USING (dataset, field_path) LEFT JOIN s USING (dataset, field_path)
+""")
+def a22_bank_audit(c: Clinic):
+    """A22 for bank fields over I12 sources and I13 verdicts: what part of each field's values comes from after day 0."""
+    return leak.bank_audit(c.timed, VALUE_FIELDS, c.sizes).withColumn("leak_rate", F.round("leak_rate", 9))
+
+
+@query("i12_bank_mismatches", """
+SELECT dataset, patient_id, field_path, CASE WHEN (patient_id + length(field_path)) % 41 = 7 THEN NULL ELSE value || '?' END AS value, value AS rebuilt FROM x_used_bank
+WHERE (patient_id + length(field_path)) % 41 IN (7, 9)
+""")
+def i12_bank_mismatches(c: Clinic):
+    """Bank values against the values of their sources; some are planted wrong and some left out, just these come back."""
+    at = (F.col("patient_id") + F.length("field_path")) % 41
+    bank = landmark.bank_values(landmark.used_values(c.timed, VALUE_FIELDS, None)).where(at != 7)
+    planted = bank.withColumn("value", F.when(at == 9, F.concat("value", F.lit("?"))).otherwise(F.col("value")))
+    return leak.bank_mismatches(planted, leak.bank_sources(c.timed, VALUE_FIELDS)).select("dataset", "patient_id", "field_path", "value", "rebuilt")
 
 
 _SCHEMES = {"wide": list(extract.SCHEME_FIELDS), "short": ["demographic.age_at_index", "diagnoses[].tumor_grade", "derived.radiation_therapy"]}
