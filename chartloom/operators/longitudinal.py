@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import filled_template
-from ..scale import ordered_columns
+from ..scale import exact_quantiles, ordered_columns
+from .encode import scaled, vocabulary
 from .families import Families
 from .landmark import passes
 
@@ -111,3 +112,66 @@ def padded(records: DataFrame, values: DataFrame, templates: DataFrame) -> DataF
         "dataset", "patient_id", (F.col("ord") * F.col("width") + F.col("idx")).alias("position"),
         filled_template(F.col("template"), value).alias("sentence"), F.col("value").isNotNull().alias("valid"),
     )
+
+
+# ---- one-hot records ----------------------------------------------------------
+def record_values(records: DataFrame, numbers: dict[str, str], texts: dict[str, str]) -> DataFrame:
+    """(dataset, patient_id, idx, field_path, x, category) of the records' known values.
+
+    ``numbers`` and ``texts`` map field paths to the records' columns; a column
+    the records lack gives no values.
+    """
+    cells = [
+        F.when(F.col(c).isNotNull(), F.struct(F.lit(f).alias("field_path"), (F.col(c) if number else F.lit(None)).cast("double").alias("x"),
+                                              (F.lit(None) if number else F.col(c)).cast("string").alias("category")))
+        for names, number in ((numbers, True), (texts, False)) for f, c in names.items() if c in records.columns
+    ]
+    out = records.select("dataset", "patient_id", "idx", F.explode(F.array_compact(F.array(*cells))).alias("_c"))
+    return out.select("dataset", "patient_id", "idx", "_c.*")
+
+
+def record_vocabulary(values: DataFrame, threshold: int = 5) -> DataFrame:
+    """(dataset, field_path, category, idx) over records: missing 0, other 1, kept categories from 2."""
+    return vocabulary(values.where("category is not null"), ["dataset", "field_path"], threshold)
+
+
+def record_schema(values: DataFrame, vocab: DataFrame, rows: int | None = None) -> DataFrame:
+    """One row per (dataset, field): kind, width and start of its columns, range, and what an unknown cell holds.
+
+    ``fill`` is the scaled median of a continuous field; an unknown nominal cell
+    has its one in the first column.  Fields are in order of their paths.
+    """
+    keys = ["dataset", "field_path"]
+    numbers = values.where("x is not null")
+    ends = numbers.groupBy(*keys).agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    con = ends.join(exact_quantiles(numbers, keys, "x", {"mid": 0.5}, rows), keys).select(
+        *keys, F.lit("continuous").alias("kind"), F.lit(1).cast("long").alias("width"), "lo", "hi",
+        scaled(F.col("mid"), F.col("lo"), F.col("hi")).alias("fill"),
+    )
+    none = F.lit(None).cast("double")
+    nom = vocab.groupBy(*keys).agg((F.max("idx") + 1).alias("width")).select(
+        *keys, F.lit("nominal").alias("kind"), "width", none.alias("lo"), none.alias("hi"), none.alias("fill")
+    )
+    # one row per dataset and field: the window sees a field list
+    before = Window.partitionBy("dataset").orderBy("field_path", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    return con.unionByName(nom).withColumn("start", F.coalesce(F.sum("width").over(before), F.lit(0).cast("long")))
+
+
+def record_cells(values: DataFrame, vocab: DataFrame, schema: DataFrame) -> DataFrame:
+    """Sparse one-hot records: (dataset, patient_id, idx, field_path, column, x), a row for each known value.
+
+    ``column`` is the place in the record's vector.  Unknown cells and records
+    that a shorter patient lacks have no rows; the schema says what they hold,
+    so nothing is padded to the longest patient.
+    """
+    keys = ["dataset", "field_path"]
+    kinds = F.when(F.col("category").isNull(), "continuous").otherwise("nominal")
+    # no hint for schema and vocabulary: the engine knows their size
+    known = values.withColumn("kind", kinds).join(schema, [*keys, "kind"]).join(
+        vocab.withColumnRenamed("idx", "_code"), [*keys, "category"], "left"
+    )
+    code = F.when(F.col("kind") == "nominal", F.coalesce("_code", F.lit(1))).otherwise(0)
+    return known.select(
+        "dataset", "patient_id", "idx", "field_path", (F.col("start") + code).alias("column"),
+        F.when(F.col("kind") == "nominal", 1.0).otherwise(scaled(F.col("x"), F.col("lo"), F.col("hi"))).alias("x"),
+    )

@@ -252,6 +252,49 @@ def e10_derived_fields(c: Clinic):
     return longitudinal.with_derived_fields(base).select("dataset", "ord", "field_path")
 
 
+_NUMBERS = {"follow_ups[].days_since_last_follow_up": "days_since", "follow_ups[].ecog_change": "ecog_change", "follow_ups[].bmi_change": "bmi_change"}
+_RARE = 3
+ob.cte("x_recv", " UNION ALL ".join(
+    [f"SELECT dataset, patient_id, idx, '{f}' AS field_path, CAST({n} AS DOUBLE) AS x, CAST(NULL AS VARCHAR) AS category FROM x_rec WHERE {n} IS NOT NULL" for f, n in _NUMBERS.items()]
+    + ["SELECT r.dataset, r.patient_id, idx, 'follow_ups[].ecog_performance_status', NULL, CAST(ecog_performance_status AS VARCHAR) FROM x_rec r JOIN x_tfu f ON f.fu_pos = r.fu_pos WHERE ecog_performance_status IS NOT NULL"]))
+ob.cte("x_recfit", "SELECT dataset, field_path, min(x) AS lo, max(x) AS hi, quantile_cont(x, 0.5) AS mid FROM x_recv WHERE x IS NOT NULL GROUP BY ALL")
+ob.cte("x_reccat", f"SELECT dataset, field_path, category, row_number() OVER (PARTITION BY dataset, field_path ORDER BY category) + 1 AS code FROM (SELECT dataset, field_path, category, count(*) AS n FROM x_recv WHERE category IS NOT NULL GROUP BY ALL) WHERE n >= {_RARE}")
+ob.cte("x_recschema", """
+SELECT *, CAST(coalesce(sum(width) OVER (PARTITION BY dataset ORDER BY field_path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM (
+ SELECT dataset, field_path, 'continuous' AS kind, CAST(1 AS BIGINT) AS width, lo, hi, CASE WHEN hi <= lo THEN 0.0 ELSE (mid - lo) / (hi - lo) END AS fill FROM x_recfit
+ UNION ALL SELECT v.dataset, v.field_path, 'nominal', 2 + count(DISTINCT code), NULL, NULL, NULL FROM x_recv v LEFT JOIN x_reccat c ON c.dataset = v.dataset AND c.field_path = v.field_path WHERE v.category IS NOT NULL GROUP BY ALL)
+""")
+
+
+def record_encoding(c: Clinic):
+    ecog = c.timed.follow_ups.select("dataset", "patient_id", "fu_pos", F.col("ecog_performance_status").cast("string").alias("ecog"))
+    r = records(c).join(ecog, ["dataset", "patient_id", "fu_pos"], "left")
+    v = longitudinal.record_values(r, _NUMBERS, {"follow_ups[].ecog_performance_status": "ecog"})
+    from ..scale import checkpointed
+
+    v = checkpointed(v)
+    vocab = longitudinal.record_vocabulary(v, _RARE)
+    return v, vocab, longitudinal.record_schema(v, vocab, c.tables.rows("events"))
+
+
+@query("e9_longitudinal_schema", "SELECT dataset, field_path, kind, width, start, round(lo, 6) AS lo, round(hi, 6) AS hi, round(fill, 6) AS fill FROM x_recschema")
+def e9_longitudinal_schema(c: Clinic):
+    """Columns of a one-hot record and what its unknown cells hold."""
+    _, _, schema = record_encoding(c)
+    return schema.select("dataset", "field_path", "kind", "width", "start", *[F.round(x, 6).alias(x) for x in ("lo", "hi", "fill")])
+
+
+@query("e9_longitudinal_cells", """
+SELECT v.dataset, patient_id, idx, v.field_path, CAST(start + CASE WHEN kind = 'nominal' THEN coalesce(code, 1) ELSE 0 END AS BIGINT) AS "column",
+ round(CASE WHEN kind = 'nominal' THEN 1.0 WHEN hi <= lo THEN 0.0 ELSE (x - lo) / (hi - lo) END, 6) AS x
+FROM x_recv v JOIN x_recschema s ON s.dataset = v.dataset AND s.field_path = v.field_path LEFT JOIN x_reccat k ON k.dataset = v.dataset AND k.field_path = v.field_path AND k.category = v.category
+""")
+def e9_longitudinal_cells(c: Clinic):
+    """E9 one-hot longitudinal encoding, sparse: a row for each known value of each record."""
+    v, vocab, schema = record_encoding(c)
+    return longitudinal.record_cells(v, vocab, schema).withColumn("x", F.round("x", 6))
+
+
 # ---- scheme values ----------------------------------------------------------
 _MAIN = "arg_min(struct_pack(y := year_of_diagnosis, g := tumor_grade, s := ajcc_pathologic_stage, m := prior_malignancy, t := prior_treatment, r := site_of_resection_or_biopsy, hi := t_hi, st := status), " + _ORDER + ")"
 ob.cte("x_main", f"SELECT dataset, patient_id, {_MAIN} AS d FROM x_tdx GROUP BY ALL")
