@@ -14,6 +14,7 @@ SAMPLE = [
     "p18_scheme_values", "a22_leak_audit", "e4_encoded_cells", "e14_neighbour_pairs", "m1_concordance", "m9_fold_metrics",
     "j15_pair_overlap", "a44_decision", "s1_load_cases", "a1_key_scan", "s14_merged_rows", "s6_flatten_dictionary",
     "a16_wide_slots", "a51_delta_matrix", "w12_stop_replay", "m12_bootstrap_interval", "m11_paired_interval",
+    "a22_bank_audit", "i12_untraced_values", "i12_bank_mismatches", "e9_longitudinal_cells", "e9_longitudinal_schema",
 ]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="driver tables absent")
