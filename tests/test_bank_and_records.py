@@ -30,8 +30,9 @@ def sizes(t):
 
 def test_bank_sources_carry_the_place_of_their_object(timed):
     got = sorted((r["patient_id"], r["field_path"], r["family"], r["t_hi"], r["value"]) for r in leak.bank_sources(timed, FIELDS).collect() if r["field_path"] != KIND)
-    # K reads its primary diagnosis only; L's lacks the leaf, so all of its diagnoses are read; M's value says nothing
-    assert got == [("K", "demographic.race", None, None, "white"), ("K", GRADE, "diagnoses", 0.0, "G2"), ("L", GRADE, "diagnoses", 70.0, "G4")]
+    # K reads its primary diagnosis only; L's lacks the leaf, so all of its diagnoses are read (the last one with no
+    # upper bound, as nothing is known of L after day 70); M's value says nothing
+    assert got == [("K", "demographic.race", None, None, "white"), ("K", GRADE, "diagnoses", 0.0, "G2"), ("L", GRADE, "diagnoses", None, "G4")]
     drugs = [(r["patient_id"], r["t_hi"]) for r in leak.bank_sources(timed, FIELDS).where(F.col("field_path") == KIND).collect()]
     assert sorted(d for d in drugs if d[0] == "K") == [("K", 60.0), ("K", 60.0)]
 
@@ -40,7 +41,8 @@ def test_bank_audit(timed):
     rows = {r["field_path"]: r for r in leak.bank_audit(timed, FIELDS, sizes(timed)).collect()}
     race, grade, kind = rows["demographic.race"], rows[GRADE], rows[KIND]
     assert (race["n_patients"], race["n_valid"], race["n_leak"], race["n_untimed_source"], race["family"]) == (3, 1, 0, 1, None)
-    assert (grade["n_valid"], grade["n_leak"], grade["leak_rate"], grade["max_source_t_hi"], grade["family"]) == (2, 1, 0.5, 70.0, "diagnoses")
+    assert (grade["n_valid"], grade["n_leak"], grade["leak_rate"], grade["n_lo_only_source"], grade["family"]) == (2, 1, 0.5, 1, "diagnoses")
+    assert (grade["max_source_t_hi"], kind["max_source_t_hi"]) == (None, 60.0)
     assert (kind["n_valid"], kind["n_leak"], kind["n_future_sources"], kind["source_families"]) == (2, 1, 2, "diagnoses_treatments")
     assert {(r["audited_path"], r["audit_mode"], r["placeholder"]) for r in rows.values()} == {(p, "field_bank", "not reported") for p in rows}
 
