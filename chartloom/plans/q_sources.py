@@ -53,6 +53,27 @@ def s1_load_cases(c: Clinic):
     return loaded.select("dataset", "submitter_id", "file_ord", "pos", F.try_variant_get("doc", F.lit("$.diagnoses[0].tumor_grade"), "string").alias("grade"))
 
 
+@query("s1_array_files", """
+SELECT dataset, row_number() OVER (PARTITION BY dataset ORDER BY pos) - 1 AS pos, CASE WHEN id = '' THEN ' ' ELSE id END AS submitter_id, grade, len(string_split(grade, 'G')) AS n FROM x_doc
+""")
+def s1_array_files(c: Clinic):
+    """S1, S3: the documents written as one JSON array a dataset, registered and read again in splits."""
+    from ..scale import new_folder, ordered_columns
+
+    d = documents(c).select("dataset", "pos", F.to_json("doc").alias("j"))
+    placed = ordered_columns(d, ["dataset"], ["pos"], {"r": ("row",)}, c.tables.rows("orders"))
+    line = F.concat(F.when(F.col("r") == 1, "[").otherwise(","), "j")
+    ends = d.select("dataset").distinct().select("dataset", F.lit(None).cast("long").alias("r"), F.lit("]").alias("line"))
+    folder = new_folder(c.spark)
+    placed.select("dataset", "r", line.alias("line")).unionByName(ends).repartition("dataset").sortWithinPartitions(
+        "dataset", F.asc_nulls_last("r")
+    ).select("dataset", "line").write.partitionBy("dataset").text(folder)
+    registry = case_source.Registry({f"DS{i}": {"clinic_files": [f"{folder}/dataset=DS{i}"]} for i in range(5)})
+    read = case_source.read_cases(c.spark, registry)
+    grade = F.try_variant_get("doc", F.lit("$.diagnoses[0].tumor_grade"), "string").alias("grade")
+    return read.select("dataset", "pos", F.try_variant_get("doc", F.lit("$.submitter_id"), "string").alias("submitter_id"), grade, F.size(F.split(grade, "G")).cast("long").alias("n"))
+
+
 @query("s1_load_report", f"""
 SELECT dataset, fate, count(*) AS n FROM (SELECT dataset, CASE WHEN id = '' THEN 'blank_id' WHEN {_OTHER} THEN 'other_project' WHEN row_number() OVER (PARTITION BY dataset, id, {_OTHER} ORDER BY file_ord, pos) = 1 THEN 'kept' ELSE 'duplicate' END AS fate FROM x_doc) GROUP BY ALL
 """)
@@ -203,6 +224,30 @@ def s7_flatten_mapping(c: Clinic):
     return tables.flatten_mapping(c.tables.read("part").select(F.parse_json(doc).alias("doc")), clinical_only=False)
 
 
+@query("s4_tab_rows", """
+SELECT CAST(p_partkey AS VARCHAR) AS part, p_type AS kind, CASE WHEN p_size % 2 = 0 THEN CAST(p_size AS VARCHAR) END AS size, CASE WHEN p_size % 2 = 1 THEN p_name END AS name FROM part
+UNION ALL SELECT DISTINCT 'part', 'kind', CASE WHEN p_size % 2 = 0 THEN 'size' END, CASE WHEN p_size % 2 = 1 THEN 'name' END FROM part
+""")
+def s4_tab_rows(c: Clinic):
+    """Parts written as two tab files, of one and of three header lines and with other columns; a data row equals the header."""
+    from ..scale import new_folder
+    from ..sources import files
+
+    p = c.tables.read("part").select((F.col("p_size") % 2).alias("f"), F.col("p_partkey").cast("string").alias("k"), "p_type", "p_name", F.col("p_size").cast("string").alias("size"))
+    odd = F.col("f") == 1
+    row = F.when(odd, F.concat_ws("\t", "p_type", "k", "p_name")).otherwise(F.concat_ws("\t", "k", "p_type", "size"))
+    kinds = p.select("f").distinct()
+    head = F.when(odd, "kind\tpart\tname").otherwise("part\tkind\tsize")
+    heads = [kinds.select("f", F.lit(0).alias("r"), head.alias("line")), kinds.select("f", F.lit(3).alias("r"), head.alias("line"))]
+    more = [kinds.where("f = 0").select("f", F.lit(i + 1).alias("r"), F.lit(t).alias("line")) for i, t in enumerate(["Part\tKind\tSize", "CDE_ID:1\tCDE_ID:2\tCDE_ID:3"])]
+    lines = p.select("f", F.lit(4).alias("r"), row.alias("line"))
+    for x in [*heads, *more]:
+        lines = lines.unionByName(x)
+    folder = new_folder(c.spark)
+    lines.repartition("f").sortWithinPartitions("f", "r").select("f", "line").write.partitionBy("f").text(folder)
+    return files.tab_rows(c.spark, [f"{folder}/f=0", f"{folder}/f=1"]).select("part", "kind", "size", "name")
+
+
 @query("s5_tab_inventory", r"""
 SELECT 'nationwidechildrens.org_' || source || '.txt' AS file, source AS "table", len(string_split(any_value(h), E'\t')) AS n_columns, count(*) - 1 AS n_rows, replace(any_value(h), E'\t', ';') AS columns
 FROM (SELECT source, doc_id, first_value(doc_id || E'\tb') OVER (PARTITION BY source ORDER BY doc_id) AS h FROM documents) GROUP BY source
@@ -275,6 +320,28 @@ def s18_stale_banks(c: Clinic):
     return sinks.stale_banks(planned.drop("p_size"), old, ["bank"])
 
 
+@query("s18_written_banks", """
+SELECT p_partkey AS bank, CASE WHEN p_partkey % 4 = 1 THEN 'moved' ELSE p_brand END AS dataset, left(sha256(CASE WHEN p_partkey % 3 = 0 THEN p_name || '!' ELSE p_name END), 16) AS template_fp, left(sha256(p_type || ',' || p_brand), 16) AS fields_fp,
+ CASE WHEN p_partkey % 3 = 0 OR p_partkey % 5 = 0 THEN 2 WHEN p_partkey % 4 = 1 THEN 3 ELSE 1 END AS written FROM part
+""")
+def s18_written_banks(c: Clinic):
+    """S12, S18: banks written, the stale and new ones built again, then some moved to another partition."""
+    from ..scale import new_folder
+
+    p = c.tables.read("part")
+    name = lambda last: F.concat("p_name", F.when(F.col("p_partkey") % 3 == 0, last).otherwise(""))
+    planned = lambda last: p.select(
+        F.col("p_partkey").alias("bank"), F.col("p_brand").alias("dataset"), sinks.fingerprint(name(last)).alias("template_fp"),
+        sinks.fields_fingerprint(F.array("p_type", "p_brand")).alias("fields_fp"))
+    path = new_folder(c.spark)
+    for turn, plan in ((1, planned("").where("bank % 5 <> 0")), (2, planned("!"))):
+        sinks.write_banks(c.spark, path, plan, lambda stale: stale.withColumn("written", F.lit(turn)), ["bank"], "dataset")
+    again = planned("!").where("bank % 4 = 1").withColumn("dataset", F.lit("moved"))
+    kept = sinks.read_keyed(c.spark, path).select("bank", F.greatest("written", F.when(F.col("written") == 1, 3)).alias("written"))
+    sinks.replace_keys(c.spark, path, again.join(kept, "bank"), ["bank"], "dataset")
+    return sinks.read_keyed(c.spark, path).select("bank", "dataset", "template_fp", "fields_fp", "written")
+
+
 @query("s19_pruned_outputs", "SELECT p_brand AS dataset, CASE WHEN p_size % 4 = 0 THEN 'G1_' || left(md5(p_name), 10) ELSE p_type END AS scheme, p_partkey FROM part WHERE p_size % 4 = 0 OR p_type <> 'PROMO'")
 def s19_pruned_outputs(c: Clinic):
     p = c.tables.read("part").select(

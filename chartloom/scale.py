@@ -40,10 +40,15 @@ def _tables(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/tables-{spark.sparkContext.applicationId}"
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A folder of this application's tables that nothing has used."""
+    return f"{_tables(spark)}/{uuid.uuid4().hex}"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """The rows written once to the shared folder and read back; lineage ends here."""
     spark = df.sparkSession
-    path = f"{_tables(spark)}/{uuid.uuid4().hex}"
+    path = new_folder(spark)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

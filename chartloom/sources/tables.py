@@ -9,16 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import entity, is_clinical_path
 from ..scale import checkpointed
-
-
-def read_tab_file(spark: SparkSession, path: str) -> DataFrame:
-    """A tab file with one header line, or three when the third starts with CDE_ID; all text."""
-    head = [r["value"] for r in spark.read.text(path).head(3)]
-    df = spark.read.csv(path, sep="\t", header=True)
-    if len(head) > 2 and head[2].upper().startswith("CDE_ID"):
-        line = F.concat_ws("\t", *[F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in df.columns])
-        df = df.where(~line.isin(head[1], head[2]))
-    return df
+from .files import numbered_lines
 
 
 def tab_inventory(lines: DataFrame) -> DataFrame:
@@ -39,10 +30,8 @@ def tab_inventory(lines: DataFrame) -> DataFrame:
 
 
 def file_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, line) of small text files."""
-    whole = spark.read.text(path, wholetext=True).select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file"), "value")
-    each = F.posexplode(F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n")).alias("line_no", "line")
-    return whole.select("file", each)
+    """(file, line_no, line) of text files by their names."""
+    return numbered_lines(spark, path).select(F.element_at(F.split("file", "/"), -1).alias("file"), "line_no", "line")
 
 
 # ---- dictionary and mapping -----------------------------------------------------
