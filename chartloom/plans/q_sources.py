@@ -58,17 +58,19 @@ SELECT dataset, row_number() OVER (PARTITION BY dataset ORDER BY pos) - 1 AS pos
 """)
 def s1_array_files(c: Clinic):
     """S1, S3: the documents written as one JSON array a dataset, registered and read again in splits."""
-    from ..scale import new_folder, ordered_columns
+    from ..scale import checkpointed, new_folder, ordered_columns
 
-    d = documents(c).select("dataset", "pos", F.to_json("doc").alias("j"))
+    # a number as folder: for a text the writer would sort again, by the folder alone
+    d = documents(c).select(F.substring("dataset", 3, 9).cast("int").alias("dataset"), "pos", F.to_json("doc").alias("j"))
     placed = ordered_columns(d, ["dataset"], ["pos"], {"r": ("row",)}, c.tables.rows("orders"))
     line = F.concat(F.when(F.col("r") == 1, "[").otherwise(","), "j")
     ends = d.select("dataset").distinct().select("dataset", F.lit(None).cast("long").alias("r"), F.lit("]").alias("line"))
     folder = new_folder(c.spark)
-    placed.select("dataset", "r", line.alias("line")).unionByName(ends).repartition("dataset").sortWithinPartitions(
+    # written first: a union of parts that are dealt by dataset may keep them apart
+    checkpointed(placed.select("dataset", "r", line.alias("line")).unionByName(ends)).repartition("dataset").sortWithinPartitions(
         "dataset", F.asc_nulls_last("r")
     ).select("dataset", "line").write.partitionBy("dataset").text(folder)
-    registry = case_source.Registry({f"DS{i}": {"clinic_files": [f"{folder}/dataset=DS{i}"]} for i in range(5)})
+    registry = case_source.Registry({f"DS{i}": {"clinic_files": [f"{folder}/dataset={i}"]} for i in range(5)})
     read = case_source.read_cases(c.spark, registry)
     grade = F.try_variant_get("doc", F.lit("$.diagnoses[0].tumor_grade"), "string").alias("grade")
     return read.select("dataset", "pos", F.try_variant_get("doc", F.lit("$.submitter_id"), "string").alias("submitter_id"), grade, F.size(F.split(grade, "G")).cast("long").alias("n"))
@@ -230,7 +232,7 @@ UNION ALL SELECT DISTINCT 'part', 'kind', CASE WHEN p_size % 2 = 0 THEN 'size' E
 """)
 def s4_tab_rows(c: Clinic):
     """Parts written as two tab files, of one and of three header lines and with other columns; a data row equals the header."""
-    from ..scale import new_folder
+    from ..scale import checkpointed, new_folder
     from ..sources import files
 
     p = c.tables.read("part").select((F.col("p_size") % 2).alias("f"), F.col("p_partkey").cast("string").alias("k"), "p_type", "p_name", F.col("p_size").cast("string").alias("size"))
@@ -244,7 +246,7 @@ def s4_tab_rows(c: Clinic):
     for x in [*heads, *more]:
         lines = lines.unionByName(x)
     folder = new_folder(c.spark)
-    lines.repartition("f").sortWithinPartitions("f", "r").select("f", "line").write.partitionBy("f").text(folder)
+    checkpointed(lines).repartition("f").sortWithinPartitions("f", "r").select("f", "line").write.partitionBy("f").text(folder)
     return files.tab_rows(c.spark, [f"{folder}/f=0", f"{folder}/f=1"]).select("part", "kind", "size", "name")
 
 
