@@ -7,13 +7,13 @@ projections of it and need no lookup by object identity.
 
 from __future__ import annotations
 
-from functools import cache
+from functools import cache, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.missing import has_text, stripped
-from ..scale import checkpointed, ordered_columns
+from ..scale import checkpointed, next_at_or_after, ordered_columns
 from .families import TIMED, Families
 
 POINT, BOUNDED, LO_ONLY = "point", "bounded", "lo_only"
@@ -56,16 +56,9 @@ def nowhere(status: str = UNLOCATED) -> Column:
     return F.struct(none.alias("t_lo"), none.alias("t_hi"), F.lit(status).alias("status"))
 
 
-def next_follow_up(t_lo: Column, days: Column) -> Column:
-    """Earliest follow-up day at or after ``t_lo``; none for an open lower bound."""
-    later = F.array_min(F.filter(days, lambda d: d >= t_lo))
-    return F.when(t_lo.isNotNull() & (t_lo != -INFINITY), later)
-
-
-def upper(t_lo: Column, th1: Column | None = None) -> Column:
-    """Upper bound chain: own evidence, next follow-up, last known contact."""
-    chain = [next_follow_up(t_lo, F.col("follow_days")), F.col("th2")]
-    return F.coalesce(*([th1] if th1 is not None else []), *chain)
+def upper(th1: Column | None = None) -> Column:
+    """Upper bound chain: own evidence, first follow-up at or after the asked day, last known contact."""
+    return F.coalesce(*([th1] if th1 is not None else []), "next_day", "th2")
 
 
 # ---- case context ---------------------------------------------------------
@@ -125,11 +118,7 @@ def diagnosis_facts(f: Families) -> DataFrame:
 
 
 def case_context(facts: DataFrame, follow_ups: DataFrame) -> DataFrame:
-    """One row per patient: last contact, adjuvant start, surgery day and follow-up days.
-
-    Follow-up days are kept as distinct values, so the list is bounded by the
-    days of a lifetime however many follow-ups a patient has.
-    """
+    """One row per patient: last contact, adjuvant start, surgery day and number of different follow-up days."""
     own, malignant = ~F.col("is_prior"), word(F.col("prior_malignancy")) == "yes"
     rank = F.when(F.col("path_class") == "P1", 0).when(F.col("path_class") == "P2", 1).otherwise(2)
     dx = facts.groupBy("dataset", "patient_id").agg(
@@ -148,7 +137,7 @@ def case_context(facts: DataFrame, follow_ups: DataFrame) -> DataFrame:
         F.min_by("path_class", F.struct(F.when(own, 0).otherwise(1), rank, F.col("dx_pos"))).alias("main_class"),
     )
     fu = follow_ups.where(~F.col("is_shell")).groupBy("dataset", "patient_id").agg(
-        F.collect_set("days_to_follow_up").alias("follow_days"), F.max("days_to_follow_up").alias("follow_last")
+        F.count_distinct("days_to_follow_up").alias("n_follow_days"), F.max("days_to_follow_up").alias("follow_last")
     )
     any_fu = follow_ups.groupBy("dataset", "patient_id").agg(F.max("days_to_follow_up").alias("fu_last"))
     joined = dx.join(fu.join(any_fu, ["dataset", "patient_id"], "full"), ["dataset", "patient_id"], "full")
@@ -164,7 +153,7 @@ def case_context(facts: DataFrame, follow_ups: DataFrame) -> DataFrame:
         F.coalesce("resection_evidence", F.lit(False)).alias("resection_evidence"),
         F.when(F.col("_own"), F.col("_own_yes")).otherwise(F.coalesce("_any_yes", F.lit(False))).alias("prior_malignancy_case"),
         "main_class",
-        F.coalesce("follow_days", F.array().cast("array<double>")).alias("follow_days"),
+        F.coalesce("n_follow_days", F.lit(0)).alias("n_follow_days"),
     )
 
 
@@ -175,18 +164,18 @@ def diagnosis_interval() -> Column:
         F.when(F.col("is_prior") & F.col("prior_malignancy_case"), located(_day(0), _day(0)))
         .when(day.isNull(), nowhere())
         .when(day == 0, located(_day(0), _day(0)))
-        .otherwise(located(day, upper(day)))
+        .otherwise(located(day, upper()))
     )
 
 
 def treatment_interval() -> Column:
     early = word(F.col("timepoint_category")) == "prior to diagnosis"
-    t_lo = F.coalesce("days_to_treatment_end", "days_to_treatment_start")
+    t_lo = treatment_day()
     return (
         F.when(F.col("is_prior") & F.col("prior_malignancy_case"), located(_day(0), _day(0)))
         .when(early & (word(F.col("prior_treatment")) == "yes"), located(_day(0), _day(0)))
         .when(early | t_lo.isNull(), nowhere())
-        .otherwise(located(t_lo, upper(t_lo)))
+        .otherwise(located(t_lo, upper()))
     )
 
 
@@ -197,7 +186,7 @@ def pathology_interval() -> Column:
         F.when(F.col("is_prior") & F.col("prior_malignancy_case"), located(_day(0), _day(0)))
         .when((F.col("path_class") == "P3") | day.isNull(), nowhere())
         .when(F.col("path_class") == "P1", located(day, F.least(day, th1)))
-        .otherwise(located(day, upper(day, th1)))
+        .otherwise(located(day, upper(th1)))
     )
 
 
@@ -210,29 +199,41 @@ def follow_up_interval() -> Column:
     )
 
 
+def treatment_day() -> Column:
+    return F.coalesce("days_to_treatment_end", "days_to_treatment_start")
+
+
+def after_surgery() -> Column:
+    """Lower bound of a postoperative test."""
+    return F.when(F.coalesce(F.col("main_class") == "P2", F.lit(False)), F.col("surgery_first")).otherwise(_day(0))
+
+
+def other_day() -> Column:
+    return F.coalesce("days_to_comorbidity", "days_to_risk_factor")
+
+
 def molecular_interval() -> Column:
     day, when_ = F.col("days_to_test"), word(F.col("timepoint_category"))
-    first_class, second_class = F.col("main_class") == "P1", F.col("main_class") == "P2"
+    first_class = F.col("main_class") == "P1"
     open_lo = _day(-INFINITY)
-    surgery, start = F.col("surgery_first"), F.col("tx_first")
-    after = F.when(F.coalesce(second_class, F.lit(False)), surgery).otherwise(_day(0))
+    surgery, start, after = F.col("surgery_first"), F.col("tx_first"), after_surgery()
     return (
-        F.when(day.isNotNull(), located(day, upper(day)))
+        F.when(day.isNotNull(), located(day, upper()))
         .when(when_ == "initial diagnosis", located(open_lo, _day(0)))
         .when(when_.isin("sample procurement", "preoperative") & first_class, located(open_lo, _day(0)))
         .when((when_ == "preoperative") & surgery.isNotNull(), located(open_lo, surgery))
         .when((when_ == "prior to treatment") & start.isNotNull(), located(open_lo, start))
-        .when((when_ == "postoperative") & after.isNotNull(), located(after, upper(after)))
+        .when((when_ == "postoperative") & after.isNotNull(), located(after, upper()))
         .otherwise(nowhere())
     )
 
 
 def other_interval() -> Column:
-    day = F.coalesce("days_to_comorbidity", "days_to_risk_factor")
+    day = other_day()
     early = word(F.col("timepoint_category")).isin("initial diagnosis", "prior to diagnosis")
     return (
         F.when(day < 0, located(_day(0), _day(0)))
-        .when(day.isNotNull(), located(day, upper(day)))
+        .when(day.isNotNull(), located(day, upper()))
         .when(early, located(_day(0), _day(0)))
         .otherwise(nowhere())
     )
@@ -244,7 +245,7 @@ def timed(f: Families, facts: DataFrame | None = None, context: DataFrame | None
     Six families read the same context, so it is written once: one row per
     diagnosis and one per patient.  Tables are placed when first used.
     """
-    who = ["dataset", "patient_id"]
+    who, child = ["dataset", "patient_id"], ["dataset", "patient_id", "dx_pos"]
 
     @cache
     def context_table() -> DataFrame:
@@ -254,17 +255,40 @@ def timed(f: Families, facts: DataFrame | None = None, context: DataFrame | None
     def facts_table() -> DataFrame:
         return facts if facts is not None else checkpointed(diagnosis_facts(f))
 
+    def days() -> DataFrame:
+        return f.follow_ups.where(~F.col("is_shell")).select(*who, "days_to_follow_up")
+
+    def told(rows: DataFrame, by: list[str], day: Column, context: DataFrame, ask: Column | None = None) -> DataFrame:
+        """The rows with the context of ``by`` and the first follow-up at or after ``ask``.
+
+        ``ask`` is the row's own ``day`` (as ``at``) unless the context decides
+        it.  Only different days of a key are merged with the follow-ups, so a
+        patient of many rows adds few, and the rows themselves move once.
+        """
+        asked = rows.select(*by, day.cast("double").alias("at")).distinct().join(context, by)
+        asked = asked.withColumn("ask", ask if ask is not None else F.col("at"))
+        known = next_at_or_after(asked, days(), who, "ask", "days_to_follow_up", "next_day").drop("ask")
+        known = known.withColumnsRenamed({c: f"_k_{c}" for c in [*by, "at"]})
+        match = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"_k_{c}") for c in by])
+        return rows.join(known, match & day.cast("double").eqNullSafe(F.col("_k_at")))
+
     def placed() -> DataFrame:
-        return facts_table().join(context_table().drop("tx_first", "surgery_first"), who)
+        context = context_table().select(*who, "prior_malignancy_case", "resection_evidence", "adjuvant_start", "th2")
+        return told(facts_table(), who, F.col("days_to_diagnosis"), context)
 
     def parent() -> DataFrame:
         return placed().select(
-            "dataset", "patient_id", "dx_pos", "is_prior", "path_class", "days_to_diagnosis", "prior_treatment",
-            "prior_malignancy_case", "resection_evidence", "adjuvant_start", "th2", "follow_days",
+            *child, "is_prior", "path_class", "days_to_diagnosis", "prior_malignancy_case", "resection_evidence",
+            "adjuvant_start", "th2", "next_day",
         )
 
+    def treated() -> DataFrame:
+        own = facts_table().join(context_table().select(*who, "prior_malignancy_case", "th2"), who)
+        own = own.select(*child, "is_prior", "prior_treatment", "prior_malignancy_case", "th2")
+        return told(f.treatments, child, treatment_day(), own)
+
     def own_context() -> DataFrame:
-        return context_table().select(*who, "th2", "follow_days", "main_class", "tx_first", "surgery_first")
+        return context_table().select(*who, "th2", "main_class", "tx_first", "surgery_first")
 
     def place(df: DataFrame, original: DataFrame, interval: Column, slotted: Column) -> DataFrame:
         return (
@@ -273,22 +297,23 @@ def timed(f: Families, facts: DataFrame | None = None, context: DataFrame | None
             .select(*original.columns, "_i.t_lo", "_i.t_hi", "_i.status", "slotted")
         )
 
-    yes, child = F.lit(True), ["dataset", "patient_id", "dx_pos"]
+    yes = F.lit(True)
     return f.with_tables({
         "diagnoses": lambda: place(placed(), f.diagnoses, diagnosis_interval(), yes),
         "diagnoses_treatments": lambda: place(
-            f.treatments.join(parent(), child), f.treatments, treatment_interval(),
-            ~is_negative(F.col("treatment_or_therapy")),
+            treated(), f.treatments, treatment_interval(), ~is_negative(F.col("treatment_or_therapy")),
         ),
         "diagnoses_pathology_details": lambda: place(
             f.pathology_details.join(parent(), child), f.pathology_details, pathology_interval(), yes
         ),
         "follow_ups": lambda: place(f.follow_ups, f.follow_ups, follow_up_interval(), ~F.col("is_shell")),
         "follow_ups_molecular_tests": lambda: place(
-            f.molecular_tests.join(own_context(), who), f.molecular_tests, molecular_interval(), yes
+            told(f.molecular_tests, who, F.col("days_to_test"), own_context(), F.coalesce("at", after_surgery())),
+            f.molecular_tests, molecular_interval(), yes,
         ),
         "follow_ups_other_clinical_attributes": lambda: place(
-            f.other_attributes.join(own_context(), who), f.other_attributes, other_interval(), yes
+            told(f.other_attributes, who, other_day(), context_table().select(*who, "th2")),
+            f.other_attributes, other_interval(), yes,
         ),
     })
 

@@ -83,7 +83,7 @@ def a11_case_context(c: Clinic):
     ctx = c.context
     return ctx.select(
         "dataset", "patient_id", "last_follow_up", "th2", "adjuvant_start", "tx_first", "surgery_first",
-        "resection_evidence", "prior_malignancy_case", "main_class", F.size("follow_days").cast("long").alias("n_follow_days"),
+        "resection_evidence", "prior_malignancy_case", "main_class", "n_follow_days",
     )
 
 

@@ -207,6 +207,26 @@ def _ranged_columns(cut: DataFrame, keys, order, columns) -> DataFrame:
     return joined.withColumns(out).drop(*drop)
 
 
+def next_at_or_after(
+    asks: DataFrame, events: DataFrame, keys: list[str], ask: str, at: str, name: str, rows: int | None = None, limit: int = HOT_ROWS,
+) -> DataFrame:
+    """The rows of ``asks`` with ``name``: the smallest ``at`` of the events of the same keys at or after ``ask``.
+
+    Asks and events are merged and walked from the latest down with a running
+    minimum, so no row holds the events of its group.  Null, NaN and minus
+    infinity ask for nothing; events that are null or NaN answer nothing.
+    """
+    value = F.col(at).cast("double")
+    known = events.where(value.isNotNull() & ~F.isnan(value)).select(*keys, value.alias("_event")).distinct()
+    day = F.col(ask).cast("double")
+    open_ = day.isNull() | F.isnan(day) | (day == float("-inf"))
+    merged = known.withColumns({"_down": -F.col("_event"), "_asks": F.lit(0)}).unionByName(
+        asks.withColumns({"_down": F.when(~open_, -day), "_asks": F.lit(1)}), allowMissingColumns=True
+    )
+    walked = ordered_columns(merged, keys, ["_down", "_asks"], {name: ("min", "_event")}, rows, limit)
+    return walked.where("_asks = 1").select(*asks.columns, name)
+
+
 def value_ranks(
     df: DataFrame, keys: list[str], value: str, rows: int | None = None, limit: int = HOT_ROWS
 ) -> DataFrame:
