@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +16,8 @@ from .survival import _match, _renamed
 
 #: groups up to these sizes get the exact distribution: without ties and zeros, and with them
 EXACT_PAIRS, EXACT_TIED = 50, 13
+#: rows of a group whose draws are summed in one place
+DRAWN_ROWS = 1_000
 
 
 @F.pandas_udf(T.DoubleType())
@@ -109,26 +113,65 @@ def paired_interval(df: DataFrame, keys: list[str], diff: str) -> DataFrame:
     return agg.select(*keys, "n", "delta", "sd", (F.col("delta") - half).alias("ci_lo"), (F.col("delta") + half).alias("ci_hi"))
 
 
+def draws_of_block(name: str, n: int, block: int, at: int, replicates: int, seed: int = 0) -> np.ndarray:
+    """How many of a replicate's ``n`` draws fall on rows of block number ``at`` of a group, for every replicate.
+
+    Rows are halved block-wise down to the block; each halving splits the draws
+    binomially by a generator named after it, so all blocks of a group agree
+    on every split and their draws add up to ``n``.
+    """
+    low, high = 0, -(-n // block)
+    counts = np.full(replicates, n, dtype=np.int64)
+    while high - low > 1:
+        middle = (low + high) // 2
+        before, rows = (middle - low) * block, min(high * block, n) - low * block
+        mark = hashlib.sha256(f"{seed}|{name}|{low}|{high}".encode()).digest()
+        left = np.random.default_rng(int.from_bytes(mark[:16], "little")).binomial(counts, before / rows)
+        counts, low, high = (left, low, middle) if at < middle else (counts - left, middle, high)
+    return counts
+
+
 def bootstrap_mean(
     df: DataFrame, keys: list[str], value: str, order: list[str], replicates: int = 10_000, seed: int = 0, rows: int | None = None,
+    block: int = DRAWN_ROWS,
 ) -> DataFrame:
     """95 % percentile interval of resampled means per group, repeatable for a seed.
 
-    A group of n rows, numbered by ``order``, has n draws a replicate; draw i of
-    replicate r picks the row that md5 of (seed, keys, r, i) names, so the result
-    depends on nothing but the data and the seed.
+    A group of n rows, numbered by ``order``, has n draws a replicate.  Rows go
+    once into blocks of ``block`` with their numbers; a block knows how many
+    draws of each replicate are its own and returns one sum a replicate, so
+    neither draws nor rows times replicates are shuffled.  Draw i of replicate r
+    picks the row of its block that md5 of (seed, keys, r, i, and the block
+    beyond the first) names: the result depends on nothing but the data and the
+    seed.  Null values leave, and so do groups without any other.
     """
     own = df.where(F.col(value).isNotNull()).select(*keys, *[c for c in order if c not in keys], F.col(value).cast("double").alias("_v"))
-    numbered = ordered_columns(own, keys, order, {"_r": ("row",)}, rows).select(*keys, "_r", "_v")
-    sizes = numbered.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    each = numbered.join(_renamed(sizes, keys, "_n_"), _match(keys, "_n_")).select(
-        *keys, "n", F.col("_r").alias("_i"), F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep")
+    numbered = ordered_columns(own, keys, order, {"_r": ("row",)}, rows).select(
+        *keys, "_r", "_v", F.floor((F.col("_r") - 1) / F.lit(block)).cast("long").alias("_at")
     )
-    name = F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys], F.col("rep").cast("string"), F.col("_i").cast("string"))
-    pick = F.conv(F.substring(F.md5(name), 1, 12), 16, 10).cast("long") % F.col("n") + 1
-    draws = each.select(*keys, "n", "rep", pick.alias("_r"))
-    drawn = draws.join(_renamed(numbered, [*keys, "_r"], "_d_"), _match([*keys, "_r"], "_d_"))
-    means = drawn.groupBy(*keys, "n", "rep").agg((F.sum("_v") / F.col("n")).alias("m"))
+    sizes = numbered.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    held = numbered.groupBy(*keys, "_at").agg(F.array_sort(F.collect_list(F.struct("_r", "_v")))["_v"].alias("_vs"))
+    own_name = F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
+    blocks = held.join(_renamed(sizes, keys, "_n_"), _match(keys, "_n_")).select(*keys, "n", "_at", "_vs", own_name.alias("_name"))
+
+    @F.pandas_udf("array<long>")
+    def own_draws(name: pd.Series, n: pd.Series, at: pd.Series) -> pd.Series:
+        return pd.Series([draws_of_block(k, int(m), block, int(i), replicates, seed) for k, m, i in zip(name, n, at)])
+
+    def pick(rep: Column, i: Column) -> Column:
+        name = F.concat_ws(
+            "|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys], rep.cast("string"), i.cast("string"),
+            F.when(F.col("_at") > 0, F.col("_at").cast("string")),
+        )
+        return (F.conv(F.substring(F.md5(name), 1, 12), 16, 10).cast("long") % F.size("_vs")).cast("int")
+
+    def total(draws: Column, rep: Column) -> Column:
+        drawn = F.sequence(F.lit(1).cast("long"), draws)
+        return F.when(draws > 0, F.aggregate(drawn, F.lit(0.0), lambda acc, i: acc + F.get("_vs", pick(rep, i)))).otherwise(0.0)
+
+    counted = blocks.withColumn("_draws", own_draws("_name", "n", "_at"))
+    summed = counted.select(*keys, "n", F.posexplode(F.transform("_draws", lambda d, i: total(d, i + 1))).alias("rep", "s"))
+    means = summed.groupBy(*keys, "n", "rep").agg((F.sum("s") / F.col("n")).alias("m"))
     # one value per replicate: at most ``replicates`` per group
     return means.groupBy(*keys, "n").agg(F.percentile("m", F.lit(0.025)).alias("ci_lo"), F.percentile("m", F.lit(0.975)).alias("ci_hi"))
 

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from chartloom.operators import encode, inference, survival
-from chartloom.scale import exact_quantiles, ordered_columns, value_ranks
+from chartloom.scale import exact_quantiles, next_at_or_after, ordered_columns, value_ranks
 
 
 def skewed(spark, n=400, seed=1):
@@ -114,3 +114,47 @@ def test_bootstrap_interval_and_repeatability(spark):
     assert whole["n"] == 300
     assert whole["ci_lo"] == pytest.approx(v.mean() - half, abs=0.06)
     assert whole["ci_hi"] == pytest.approx(v.mean() + half, abs=0.06)
+
+
+def test_bootstrap_over_blocks(spark):
+    rng = np.random.default_rng(8)
+    v = rng.normal(-2.0, 1.5, 330)
+    df = spark.createDataFrame([("a", i, float(x)) for i, x in enumerate(v)] + [("b", 0, 4.5), ("c", 0, None)], "g string, i int, v double")
+    got = {r["g"]: r for r in inference.bootstrap_mean(df, ["g"], "v", ["i"], 2000, block=64).collect()}
+    half = 1.96 * v.std(ddof=1) / np.sqrt(len(v))
+    assert got["a"]["ci_lo"] == pytest.approx(v.mean() - half, abs=0.04)
+    assert got["a"]["ci_hi"] == pytest.approx(v.mean() + half, abs=0.04)
+    assert (got["b"]["n"], got["b"]["ci_lo"], got["b"]["ci_hi"]) == (1, 4.5, 4.5) and "c" not in got
+
+
+def test_draws_of_blocks_are_multinomial():
+    n, block, replicates = 330, 64, 4000
+    counts = np.array([inference.draws_of_block("a", n, block, at, replicates) for at in range(6)])
+    assert (counts.sum(axis=0) == n).all() and (counts >= 0).all()
+    share = np.array([64] * 5 + [10]) / n
+    assert counts.mean(axis=1) == pytest.approx(n * share, rel=0.03)
+    assert counts.var(axis=1) == pytest.approx(n * share * (1 - share), rel=0.1)
+    # what one block gets the others lose
+    assert np.cov(counts[0], counts[4])[0, 1] == pytest.approx(-n * share[0] * share[4], rel=0.2)
+    assert (inference.draws_of_block("a", 64, 64, 0, 3) == 64).all()
+
+
+@pytest.mark.parametrize("limit", [4_000_000, 15])
+def test_next_event_at_or_after(spark, limit):
+    rng, inf, nan = random.Random(4), float("inf"), float("nan")
+    days = [None, nan, inf, -inf, -7.0, *[float(d) for d in range(0, 60, 7)]]
+    asks = [("hot" if i % 3 else rng.choice(["x", "y", None]), i, rng.choice([*days, 1.5, 13.0, 99.0])) for i in range(150)]
+    events = [(rng.choice(["hot", "x", None]), rng.choice(days)) for _ in range(60)]
+    got = next_at_or_after(
+        spark.createDataFrame(asks, "k string, i int, ask double"), spark.createDataFrame(events, "k string, day double"),
+        ["k"], "ask", "day", "next", limit=limit,
+    )
+    assert got.columns == ["k", "i", "ask", "next"]
+    expect = {}
+    for k, i, ask in asks:
+        later = [d for g, d in events if g == k and d is not None and d == d and ask is not None and d >= ask]
+        expect[i] = min(later) if later and ask != -inf else None
+    assert {r["i"]: r["next"] for r in got.collect()} == expect
+    none = spark.createDataFrame([], "k string, day double")
+    alone = next_at_or_after(spark.createDataFrame(asks, "k string, i int, ask double"), none, ["k"], "ask", "day", "next", limit=limit)
+    assert alone.count() == len(asks) and alone.where("next is not null").count() == 0
