@@ -53,6 +53,10 @@ def short_labels(fields: DataFrame) -> DataFrame:
 
 
 # ---- top-k and overlap ------------------------------------------------------
+#: datasets of one field that meet those of another block in a task
+MEETING = 2_000
+
+
 def top_k(scores: DataFrame, k: int, keys: list[str] = ("dataset",)) -> DataFrame:
     """Best ``k`` fields per group: score down, name up.  The rank filter drops all but k rows per task early."""
     w = Window.partitionBy(*keys).orderBy(F.desc("c"), "field")
@@ -64,16 +68,25 @@ def _sharing(scores: DataFrame, ks: list[int]) -> DataFrame:
     return top.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks]))).where("rank <= k")
 
 
-def pair_overlap(scores: DataFrame, ks: list[int]) -> DataFrame:
+def _meetings(members: DataFrame, block: int) -> DataFrame:
+    """(k, a, b) once for every field that the datasets a < b share; a field of many datasets is split into pairs of blocks."""
+    sizes = members.groupBy("k", "field").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"))
+    cut = members.join(sizes, ["k", "field"]).withColumn("at", F.pmod(F.xxhash64("dataset"), F.col("blocks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    a = cut.select("k", "field", F.col("dataset").alias("a"), F.col("at").alias("i"), every.alias("j"))
+    b = cut.select("k", "field", F.col("dataset").alias("b"), every.alias("i"), F.col("at").alias("j"))
+    return a.join(b, ["k", "field", "i", "j"]).where("a < b").select("k", "a", "b")
+
+
+def pair_overlap(scores: DataFrame, ks: list[int], block: int = MEETING) -> DataFrame:
     """Shared top-k fields of every pair of datasets that shares any (a < b).
 
     The join meets datasets on a common field, so at most k fields per dataset
-    take part; pairs that share nothing are counted, not listed.
+    take part, ``block`` by ``block`` datasets in a task; pairs that share
+    nothing are counted, not listed.
     """
     members = _sharing(scores, ks)
-    a = members.select("k", "field", F.col("dataset").alias("a"))
-    b = members.select("k", "field", F.col("dataset").alias("b"))
-    shared = a.join(b, ["k", "field"]).where("a < b").groupBy("k", "a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    shared = _meetings(members, block).groupBy("k", "a", "b").agg(F.count(F.lit(1)).alias("shared"))
     sizes = members.groupBy("k", "dataset").agg(F.count(F.lit(1)).alias("m"))
     sa = sizes.select("k", F.col("dataset").alias("a"), F.col("m").alias("ma"))
     sb = sizes.select("k", F.col("dataset").alias("b"), F.col("m").alias("mb"))
@@ -84,38 +97,42 @@ def pair_overlap(scores: DataFrame, ks: list[int]) -> DataFrame:
     )
 
 
-def _median_with_zeros(values: Column, zeros: Column, pairs: Column) -> Column:
-    """Median of sorted non-zero values behind ``zeros`` zeros."""
-
-    def at(position: Column) -> Column:
-        return F.when(position < zeros, 0.0).otherwise(F.try_element_at(values, (position - zeros + 1).cast("int")))
-
-    low, high = F.floor((pairs - 1) / 2), F.ceil((pairs - 1) / 2)
-    return (at(low) + at(high)) / 2.0
-
+def overlap_summary(scores: DataFrame, ks: list[int], block: int = MEETING) -> DataFrame:
+    """Per k: mean, median, least and greatest overlap over all dataset pairs, Jaccard, and how fields spread.
 
-def overlap_summary(scores: DataFrame, ks: list[int]) -> DataFrame:
-    """Per k: mean, median, least and greatest overlap over all dataset pairs, Jaccard, and how fields spread."""
+    Pairs are counted by the number of fields they share, at most k counts, and
+    everything about overlaps comes from these counts.
+    """
     members = _sharing(scores, ks)
     n = members.groupBy("k").agg(F.countDistinct("dataset").alias("n_datasets"))
-    pairs = pair_overlap(scores, ks)
-    per = pairs.groupBy("k").agg(
-        F.count(F.lit(1)).alias("meeting"), F.sum("overlap").alias("_o"), F.sum("jaccard").alias("_j"),
-        F.min("overlap").alias("_min"), F.max("overlap").alias("_max"), F.array_sort(F.collect_list("overlap")).alias("_all"),
+    total = (F.col("n_datasets") * (F.col("n_datasets") - 1) / 2).cast("long")
+    counts = pair_overlap(scores, ks, block).groupBy("k", "shared").agg(F.count(F.lit(1)).alias("c"), F.sum("jaccard").alias("jaccard"))
+    upward = Window.partitionBy("k").orderBy("shared")
+    run = counts.withColumn("upto", F.sum("c").over(upward)).withColumn("meeting", F.sum("c").over(Window.partitionBy("k")))
+    run = run.join(n, "k").withColumn("empty", total - F.col("meeting"))
+
+    def at(position: Column) -> Column:
+        """Shared fields of the pair at a place of the order; pairs without any stand first."""
+        return F.when(F.max(position - F.col("empty")) < 0, 0).otherwise(F.min(F.when(F.col("upto") > position - F.col("empty"), F.col("shared"))))
+
+    per = run.groupBy("k").agg(
+        F.max("meeting").alias("meeting"), F.sum(F.col("c") * F.col("shared")).alias("_s"), F.sum("jaccard").alias("_j"),
+        F.min("shared").alias("_min"), F.max("shared").alias("_max"),
+        ((at(F.floor((total - 1) / 2)) + at(F.ceil((total - 1) / 2))) / 2.0).alias("_median"),
     )
     hits = members.groupBy("k", "field").agg(F.count(F.lit(1)).alias("h")).join(n, "k").groupBy("k").agg(
         F.count(F.lit(1)).alias("n_union_fields"), F.count_if(F.col("h") == F.col("n_datasets")).alias("n_in_all"),
         F.count_if(F.col("h") >= F.col("n_datasets") / 2.0).alias("n_in_half"), F.count_if(F.col("h") == 1).alias("n_unique"),
     )
     j = n.join(per, "k", "left").join(hits, "k")
-    total = F.col("n_datasets") * (F.col("n_datasets") - 1) / 2
     empty = total - F.coalesce("meeting", F.lit(0))
+    share = lambda c: F.coalesce(F.col(c), F.lit(0)) / F.col("k")
     return j.select(
-        "k", total.cast("long").alias("n_pairs"), (F.coalesce("_o", F.lit(0.0)) / total).alias("mean_overlap"),
-        F.coalesce(_median_with_zeros(F.col("_all"), empty, total), F.lit(0.0)).alias("median_overlap"),
-        F.when(empty > 0, 0.0).otherwise(F.col("_min")).alias("min_overlap"), F.coalesce("_max", F.lit(0.0)).alias("max_overlap"),
-        (F.coalesce("_j", F.lit(0.0)) / total).alias("mean_jaccard"), empty.cast("long").alias("n_empty_pairs"),
-        (empty / total).alias("fraction_empty_pairs"), "n_union_fields", "n_in_all", "n_in_half", "n_unique",
+        "k", total.alias("n_pairs"), F.try_divide(share("_s"), total).alias("mean_overlap"),
+        share("_median").alias("median_overlap"), F.when(empty > 0, 0.0).otherwise(share("_min")).alias("min_overlap"),
+        share("_max").alias("max_overlap"), F.try_divide(F.coalesce("_j", F.lit(0.0)), total).alias("mean_jaccard"),
+        empty.alias("n_empty_pairs"), F.try_divide(empty, total).alias("fraction_empty_pairs"),
+        "n_union_fields", "n_in_all", "n_in_half", "n_unique",
     )
 
 
