@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.missing import cleaned
+from ..functions.missing import cleaned, stripped
 from ..functions.numbers import number_label
 from ..functions.text import first_filled
 from .families import Families, primary_order
@@ -201,7 +201,10 @@ def provenance_mismatches(values: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def aliased(values: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Replace values by their canonical spelling: (field_path, key, canonical) with keys in lower case, single spaces."""
+    """Replace values by their canonical spelling: (field_path, key, canonical) with keys in lower case, single spaces.
+
+    Values without a rule only lose the space around them.
+    """
     key = F.lower(F.trim(F.regexp_replace("value", r"\s+", " ")))
     joined = values.withColumn("key", key).join(aliases, ["field_path", "key"], "left")
-    return joined.withColumn("value", F.coalesce("canonical", "value")).drop("key", "canonical")
+    return joined.withColumn("value", F.coalesce(F.col("canonical"), stripped(F.col("value")))).drop("key", "canonical")

@@ -15,7 +15,7 @@ SAMPLE = [
     "j15_pair_overlap", "a44_decision", "s1_load_cases", "a1_key_scan", "s14_merged_rows", "s6_flatten_dictionary",
     "a16_wide_slots", "a51_delta_matrix", "w12_stop_replay", "m12_bootstrap_interval", "m11_paired_interval",
     "a22_bank_audit", "i12_untraced_values", "i12_bank_mismatches", "e9_longitudinal_cells", "e9_longitudinal_schema",
-    "s1_array_files", "s4_tab_rows", "s18_written_banks",
+    "s1_array_files", "s4_tab_rows", "s18_written_banks", "u3_scheme_datasets", "u3_scheme_fields", "u4_alias_rules", "u5_template_spec",
 ]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="driver tables absent")
