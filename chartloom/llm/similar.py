@@ -7,10 +7,8 @@ give groups, and each text of a group is checked against one of them.
 All other candidates are exact (prefix filter).  Shingles are put in one order;
 two sets of that likeness share a shingle among the first n - ceil(0.8 n) + 1 of
 each, whichever words were edited, added or cut.  The order is rarest first by
-counters over about ``SAMPLE`` texts, chosen by hash: any order finds the same
-pairs, this one keeps common shingles out of the prefixes, and the counters tell
-common from rare alike at every size.  Texts that share a prefix shingle
-form a bucket.  Two texts of sizes n and m that meet first at places p and q
+counters over all texts: any order finds the same pairs, this one keeps common
+shingles out of the prefixes.  Texts that share a prefix shingle form a bucket.  Two texts of sizes n and m that meet first at places p and q
 share at most min(n - p, m - q) shingles; they are a pair only if that reaches
 the ceil(0.8 / 1.8 (n + m)) that the likeness asks for.
 
@@ -42,8 +40,10 @@ from chartloom.llm.common import fresh, saved, whole
 from chartloom.llm.simhash import SEED, components, fingerprint_links
 
 WIDTH, SIMILARITY, SKETCH = 5, 0.8, 512
-#: counters of the shingle order, how many go in one row, and how many texts are counted
-COUNTERS, PART, SAMPLE = 1 << 22, 4096, 8192
+#: counters of the shingle order, and how many go in one row
+COUNTERS, PART = 1 << 22, 4096
+#: the most that one counter says
+MOST = (1 << 32) - 1
 #: bits at which prints are linked, rounds of hubs, and the pivots in a block of a bucket
 RADIUS, ROUNDS, BLOCK = 3, 2, 2000
 #: distance from the bound at which a sketch settles a pair: for whole sets (equal 32-bit hashes) and
@@ -105,26 +105,26 @@ def sketch_likeness(a: bytes, b: bytes) -> float:
 
 
 def shingle_counts(df: DataFrame, text: str) -> np.ndarray:
-    """How many of the texts have a shingle that falls on each counter (up to 65,535)."""
+    """How many of the rows' texts have a shingle that falls on each counter, copies included; no more than 32 bits hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        total = np.zeros(COUNTERS, "u4")
+        total = np.zeros(COUNTERS, "u8")
         for batch in batches:
             for x in batch.column(text):
                 np.add.at(total, shingle_set(x.as_py() or "", xxhash.xxh64_intdigest) & np.uint64(COUNTERS - 1), 1)
-        parts = np.minimum(total, 65_535).astype("<u2").reshape(-1, PART)
+        parts = np.minimum(total, MOST).astype("<u4").reshape(-1, PART)
         for i in np.flatnonzero(parts.any(axis=1)):
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([parts[i].tobytes()], pa.binary())], names=["i", "v"])
 
     def added(group: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(v.as_py(), "<u2").astype("u8") for v in group.column("v"))
-        return pa.table({"i": group.column("i")[:1], "v": pa.array([np.minimum(total, 65_535).astype("<u2").tobytes()], pa.binary())})
+        total = sum(np.frombuffer(v.as_py(), "<u4").astype("u8") for v in group.column("v"))
+        return pa.table({"i": group.column("i")[:1], "v": pa.array([np.minimum(total, MOST).astype("<u4").tobytes()], pa.binary())})
 
-    out = np.zeros((COUNTERS // PART, PART), "<u2")
+    out = np.zeros((COUNTERS // PART, PART), "<u4")
     for r in df.select(text).mapInArrow(run, "i int, v binary").groupBy("i").applyInArrow(added, "i int, v binary").collect():
-        out[r["i"]] = np.frombuffer(r["v"], "<u2")
+        out[r["i"]] = np.frombuffer(r["v"], "<u4")
     return out.ravel()
 
 
@@ -349,9 +349,7 @@ def similar_groups(df: DataFrame, text: str = "text", similarity: float = SIMILA
     """
     given = df.select(text_class(F.col(text)).alias("class"), F.col(text).alias("text"))
     short = F.xxhash64("class")
-    share = max(1, given.count() // SAMPLE)
-    counted = given.where(F.pmod(short, F.lit(share)) == 0).dropDuplicates(["class"])
-    counts = shingle_counts(counted, "text")
+    counts = shingle_counts(given, "text")
     classes = saved(signatures(given, "text", ["class"], counts, similarity).dropDuplicates(["class"]).withColumn("short", short))
     spread = classes.select("short", "n", F.posexplode("prefix").alias("p", "h")).withColumn("slack", F.col("n") - F.col("p"))
     # of two texts the one with fewer shingles meets the other in a shorter prefix

@@ -245,6 +245,17 @@ def test_appended_cut_and_replaced_blocks(spark):
     assert assert_groups_of_all_pairs(spark, texts) >= 80
 
 
+def test_shingles_are_counted_over_all_texts(spark, monkeypatch):
+    seen, count = [], similar.shingle_counts
+    monkeypatch.setattr(similar, "SAMPLE", 4, raising=False)
+    monkeypatch.setattr(similar, "shingle_counts", lambda df, text: seen.append(count(df, text)) or seen[-1])
+    shared = "five words that all share"
+    df = spark.createDataFrame([(f"{shared} {i} and own words {i * 7}",) for i in range(60)] + [(None,)], "text string")
+    assert similar.similar_groups(df).count() == 61
+    at = similar.shingle_set(shared, __import__("xxhash").xxh64_intdigest)[0] & np.uint64(similar.COUNTERS - 1)
+    assert seen[0][at] >= 60
+
+
 @pytest.mark.parametrize("rounds", [0, 3])
 def test_templates_of_one_word_set_with_copies_among_them(spark, monkeypatch, rounds):
     random.seed(34)
