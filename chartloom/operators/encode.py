@@ -13,7 +13,7 @@ from ..functions.text import (
     MISSING, ORDINAL_ENCODERS, OTHER, array_median, canonical_nominal, classified_type, entity, leaf, ordinal_code,
     token_numbers,
 )
-from ..scale import exact_quantiles, ordered_columns
+from ..scale import checkpointed, exact_quantiles, ordered_columns
 from .stats import inferred_type, stage_vocabulary, value_text
 
 CELL = ["dataset", "patient_id", "field_path"]
@@ -92,9 +92,10 @@ def vocabulary(categories: DataFrame, keys: list[str], threshold: int = 1) -> Da
     One row per distinct kept category; the numbering runs over categories,
     not patients.
     """
-    counts = categories.groupBy(*keys, "category").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= threshold)
-    kept = ordered_columns(counts, keys, ["category"], {"_r": ("row",)}).select(*keys, "category", (F.col("_r") + 1).alias("idx"))
-    fields = categories.select(*keys).distinct()
+    counts = checkpointed(categories.groupBy(*keys, "category").agg(F.count(F.lit(1)).alias("n")))
+    often = counts.where(F.col("n") >= threshold)
+    kept = ordered_columns(often, keys, ["category"], {"_r": ("row",)}).select(*keys, "category", (F.col("_r") + 1).alias("idx"))
+    fields = counts.select(*keys).distinct()
     fixed = F.explode(F.array(
         F.struct(F.lit(MISSING).alias("category"), F.lit(0).cast("long").alias("idx")),
         F.struct(F.lit(OTHER).alias("category"), F.lit(1).cast("long").alias("idx")),

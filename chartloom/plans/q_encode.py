@@ -76,7 +76,7 @@ def a26_continuous_fit(c: Clinic):
     t = checkpointed(tokens(c))
     number = types(c, t).where("final_type = 'continuous'").select("dataset", "field_path")
     t = t.join(number, ["dataset", "field_path"])
-    fit = encode.continuous_fit(encode.patient_numbers(t, c.bound), ["dataset", "field_path"], c.bound)
+    fit = encode.continuous_fit(checkpointed(encode.patient_numbers(t, c.bound)), ["dataset", "field_path"], c.bound)
     return fit.select("dataset", "field_path", *[F.round(x, 6).alias(x) for x in ("lo", "hi", "mid")])
 
 
@@ -99,10 +99,11 @@ def cells(c: Clinic):
     from ..scale import checkpointed
 
     t = checkpointed(tokens(c))
-    ty = types(c, t)
-    numbers = encode.patient_numbers(t, c.bound)
-    cats = encode.patient_categories(t)
-    vocab = encode.vocabulary(cats, ["field_path"], RARE)
+    # each is read by several steps
+    ty = checkpointed(types(c, t))
+    numbers = checkpointed(encode.patient_numbers(t, c.bound))
+    cats = checkpointed(encode.patient_categories(t))
+    vocab = checkpointed(encode.vocabulary(cats, ["field_path"], RARE))
     fit = encode.continuous_fit(numbers, ["dataset", "field_path"], c.bound)
     return encode.encoded_cells(c.patients, ty, numbers, cats, fit, vocab, ["field_path"]), ty, vocab
 

@@ -8,6 +8,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from chartloom import scale
 from chartloom.operators import encode, inference, survival
 from chartloom.scale import exact_quantiles, next_at_or_after, ordered_columns, value_ranks
 
@@ -158,3 +159,31 @@ def test_next_event_at_or_after(spark, limit):
     none = spark.createDataFrame([], "k string, day double")
     alone = next_at_or_after(spark.createDataFrame(asks, "k string, i int, ask double"), none, ["k"], "ask", "day", "next", limit=limit)
     assert alone.count() == len(asks) and alone.where("next is not null").count() == 0
+
+
+def test_asks_of_one_place_are_cut_and_sizes_come_from_measured(spark):
+    asks = spark.createDataFrame([("hot", i, None if i % 2 else 5.0) for i in range(400)], "k string, i int, ask double").repartition(4)
+    _, cut = scale._split(asks, ["k"], ["ask"], None, 50, measured=asks.select("k"), ties=True)
+    sizes = [r["count"] for r in cut.groupBy("_range").count().collect()]
+    assert sum(sizes) == 400 and max(sizes) < 150
+    events = spark.createDataFrame([("hot", 4.0), ("hot", 9.0), ("hot", 5.0)], "k string, day double")
+    got = next_at_or_after(asks, events, ["k"], "ask", "day", "next", limit=50, measured=asks.select("k"))
+    assert {(r["ask"], r["next"]) for r in got.collect()} == {(None, None), (5.0, 5.0)} and got.count() == 400
+    assert scale._split(asks, ["k"], ["ask"], None, 50, measured=asks.limit(10))[1] is None
+
+
+def test_quantiles_count_their_input_once(spark, monkeypatch):
+    written, write = [], scale.checkpointed
+    monkeypatch.setattr(scale, "checkpointed", lambda df: written.append(df) or write(df))
+    df = skewed(spark).select(F.when(F.col("g") != "k1", F.col("g")).alias("g"), "v")
+    cut = exact_quantiles(df, ["g"], "v", {"mid": 0.5}, None, 20)
+    assert {(r["g"], r["mid"]) for r in cut.collect()} == {(r["g"], r["mid"]) for r in exact_quantiles(df, ["g"], "v", {"mid": 0.5}, 400).collect()}
+    assert "n" in written[0].columns and "ExistingRDD" not in cut._jdf.queryExecution().toString()
+
+
+def test_vocabulary_reads_its_categories_once(spark):
+    rows = spark.createDataFrame([("f", c) for c in "aabbbc"] + [("g", "z")], "field_path string, category string")
+    out = encode.vocabulary(rows, ["field_path"], 2)
+    assert "ExistingRDD" not in out._jdf.queryExecution().toString()
+    assert {tuple(r) for r in out.collect()} == {
+        ("f", "__MISSING__", 0), ("f", "__OTHER__", 1), ("f", "a", 2), ("f", "b", 3), ("g", "__MISSING__", 0), ("g", "__OTHER__", 1)}
