@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..scale import HOT_ROWS, ordered_columns
+from ..scale import HOT_ROWS, checkpointed, ordered_columns
 
 TIE = 1e-8
 
@@ -157,19 +157,22 @@ def concordance(
                   w.cast("double").alias("weight"))
         .groupBy(*keys, "time", "event", "risk", "weight").agg(F.count(F.lit(1)).alias("n"))
     )
+    cutting = rows is None or rows > limit
+    if cutting:
+        # read by every step below
+        points = checkpointed(points)
     later = points.withColumn("late", ~F.col("event"))
     marks = later.groupBy(*keys, "time", "late").agg(
         F.sum("n").alias("n"), F.sum(F.when(~F.col("late"), F.col("n") * F.col("weight"))).alias("own")
     )
     marks = ordered_columns(marks, keys, ["time", "late"], {"upto": ("sum", "n")}, rows, limit)
+    if cutting:
+        marks = checkpointed(marks)
     # the last event mark of a time also stands before that time's censored rows
     sizes = marks.groupBy(*keys).agg(F.sum("n").alias("size"), F.count_if(~F.col("late")).alias("_e"))
     sized = marks.where(~F.col("late")).join(_renamed(sizes.select(*keys, "size"), keys, "_z_"), _match(keys, "_z_"))
     comparable = sized.groupBy(*keys).agg(F.sum(F.col("own") * (F.col("size") - F.col("upto"))).alias("comparable"))
-    if rows is not None and rows <= limit:
-        counted = _sum_pairs(points, keys, keys)
-    else:
-        counted = _cut_pairs(points, marks, keys, limit)
+    counted = _cut_pairs(points, marks, keys, limit) if cutting else _sum_pairs(points, keys, keys)
     out = sizes.select(*keys).join(_renamed(comparable, keys, "_p_"), _match(keys, "_p_"), "left").join(
         _renamed(counted, keys, "_q_"), _match(keys, "_q_"), "left"
     )
@@ -191,6 +194,7 @@ def _cut_pairs(points: DataFrame, marks: DataFrame, keys: list[str], limit: int)
     placed = points.withColumn("late", ~F.col("event")).join(
         _renamed(cut, [*keys, "time", "late"], "_m_"), _match([*keys, "time", "late"], "_m_")
     ).select(*keys, "time", "event", "risk", "weight", "n", "piece", "big")
+    placed = checkpointed(placed)
     inside = _sum_pairs(placed.where(~F.col("big")), keys, [*keys, "piece"])
     last = cut.agg(F.max("piece")).first()[0] or 0
     levels = F.sequence(F.lit(0), F.lit(max(0, int(last).bit_length() - 1)))

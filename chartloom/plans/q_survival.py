@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import inference, survival
+from ..scale import checkpointed
 from . import oracle_base as ob
 from .clinical import Clinic
 from .q_timing import labels
@@ -176,7 +177,8 @@ SELECT run_id, fold, n, n_events, round(c_index, 6) AS c_index, round(c_ipcw, 6)
 FROM (SELECT run_id, fold, count(*) AS n, count_if(event) AS n_events FROM x_use GROUP BY ALL) JOIN x_c USING (run_id, fold) JOIN ({_IBS}) USING (run_id, fold) JOIN (SELECT run_id, fold, avg(auc) AS mean_auc FROM ({_AUC}) GROUP BY ALL) USING (run_id, fold)
 """)
 def m9_fold_metrics(c: Clinic):
-    u = usable(c)
+    # the labels are joined once, every metric reads them
+    u = checkpointed(usable(c))
     # the recorded value of the mapping is the same statistic from the cut path
     recorded = survival.concordance(u, KEYS, rows=None, limit=100).select(*KEYS, F.col("c_index").alias("recorded"))
     m = survival.fold_metrics(u, u, KEYS, GRID, LANDMARKS, recorded, bound(c))

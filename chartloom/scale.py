@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 HOT_ROWS = 4_000_000
+# ranges that a limit below HOT_ROWS may cut a table into, and the limit from which oversized keys are few enough to broadcast
+FINE_RANGES, FEW_KEYS = 64, 10_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -97,6 +99,16 @@ def hot_keys(df: DataFrame, keys: list[str], limit: int) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
 
 
+def _ranges(total: int, limit: int) -> int:
+    """How many ranges oversized groups of ``total`` rows are cut into: none is oversized, and a small limit makes no swarm of them."""
+    return max(2, min(math.ceil(4 * total / limit), max(FINE_RANGES, math.ceil(4 * total / HOT_ROWS))))
+
+
+def _few(df: DataFrame, limit: int) -> DataFrame:
+    """One row for each oversized key: at most rows/limit, which is small unless the limit is."""
+    return F.broadcast(df) if limit >= FEW_KEYS else df
+
+
 def _split(
     df: DataFrame, keys: list[str], order: list[str], rows: int | None, limit: int, measured: DataFrame | None = None, ties: bool = False,
 ):
@@ -112,17 +124,16 @@ def _split(
         total = df.count()
         if total <= limit:
             return df, None
-        parts = max(2, math.ceil(4 * total / limit))
-        cut = df.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id())
+        cut = df.repartitionByRange(_ranges(total, limit), *order).withColumn("_range", F.spark_partition_id())
         return None, checkpointed(cut)
     hot = checkpointed(hot_keys(df if measured is None else measured, keys, limit))
     total = hot.agg(F.sum("_n")).first()[0]
     if not total:
         return df, None
-    small = F.broadcast(hot.select(*[F.col(k).alias(f"_hot_{k}") for k in keys]))
+    small = _few(hot.select(*[F.col(k).alias(f"_hot_{k}") for k in keys]), limit)
     match = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys])
     ordinary = df.join(small, match, "left_anti")
-    parts = max(2, math.ceil(4 * total / limit))
+    parts = _ranges(total, limit)
     cut = df.join(small, match, "left_semi")
     if ties:
         cut = cut.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(parts, *keys, *order, "_tie").drop("_tie")
@@ -166,11 +177,11 @@ def ordered_columns(
                 out[name] = _FOLD[spec[0]](spec[1]).over(run)
         parts.append(ordinary.withColumns(out))
     if cut is not None:
-        parts.append(_ranged_columns(cut, keys, order, columns))
+        parts.append(_ranged_columns(cut, keys, order, columns, limit))
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
-def _ranged_columns(cut: DataFrame, keys, order, columns) -> DataFrame:
+def _ranged_columns(cut: DataFrame, keys, order, columns, limit: int) -> DataFrame:
     span = keys + ["_range"]
     totals = {}
     for name, spec in columns.items():
@@ -197,7 +208,7 @@ def _ranged_columns(cut: DataFrame, keys, order, columns) -> DataFrame:
         *[F.col(k).alias(f"_s_{k}") for k in span], *carried
     )
     match = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_s_{k}")) for k in span])
-    joined = cut.join(F.broadcast(summary), match, "left")
+    joined = cut.join(_few(summary, limit), match, "left")
     w = Window.partitionBy(*span).orderBy(*order)
     run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = {}
@@ -274,11 +285,11 @@ def exact_quantiles(
         run = whole.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         parts.append(ordinary.withColumns({"upto": F.sum("n").over(run), "_size": F.sum("n").over(whole)}))
     if cut is not None:
-        ranks = _ranged_columns(cut, keys, [value], {"upto": ("sum", "n")})
+        ranks = _ranged_columns(cut, keys, [value], {"upto": ("sum", "n")}, limit)
         # one row per oversized group
         sizes = cut.groupBy(*[F.col(k).alias(f"_q_{k}") for k in keys]).agg(F.sum("n").alias("_size"))
         match = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_q_{k}")) for k in keys], F.lit(True))
-        parts.append(ranks.join(F.broadcast(sizes), match).drop(*[f"_q_{k}" for k in keys]))
+        parts.append(ranks.join(_few(sizes, limit), match).drop(*[f"_q_{k}" for k in keys]))
     aggs = []
     for name, p in probs.items():
         h = (F.col("_size") - 1) * F.lit(float(p))
