@@ -7,6 +7,7 @@ projections of it and need no lookup by object identity.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import cache, reduce
 
 from pyspark.sql import Column, DataFrame
@@ -315,10 +316,13 @@ def timed(f: Families, facts: DataFrame | None = None, context: DataFrame | None
 
 
 # ---- slots ----------------------------------------------------------------
-def slots(t: Families, rows: int | None = None) -> DataFrame:
-    """Numbered slots of all timed objects, in document order per patient and family."""
+def slots(t: Families, rows: int | None = None, families: Iterable[str] = TIMED) -> DataFrame:
+    """Numbered slots of all timed objects, in document order per patient and family.
+
+    Families are numbered apart: of ``families`` alone the slots are the same.
+    """
     parts = None
-    for family in TIMED:
+    for family in families:
         df = t.table(family).where("slotted")
         if "updated_at" not in df.columns:
             df = df.withColumn("updated_at", F.lit(None).cast("timestamp"))

@@ -71,7 +71,7 @@ def a15_slot_coverage(c: Clinic):
 SELECT dataset, patient_id, 'diagnoses_record' || slot AS "column", record_days AS value FROM x_slots WHERE family = 'diagnoses'
 """)
 def a16_wide_slots(c: Clinic):
-    return timing.slot_cells(timing.slots(c.timed, c.bound), "diagnoses")
+    return timing.slot_cells(timing.slots(c.timed, c.bound, ["diagnoses"]), "diagnoses")
 
 
 @query("a11_case_context", """

@@ -12,6 +12,20 @@ from chartloom.plans.clinical import Clinic
 from chartloom.scale import HOT_ROWS, _ranges, _split, ordered_columns
 
 
+def test_slots_of_one_family_build_no_other(spark):
+    dx = spark.createDataFrame(
+        [("DS0", 1, [2], 0.0, 0.0, "point", True), ("DS0", 1, [1], None, None, "unlocated", True), ("DS0", 1, [3], None, None, "unlocated", False)],
+        "dataset string, patient_id long, pos array<long>, t_lo double, t_hi double, status string, slotted boolean",
+    )
+
+    def build():
+        raise AssertionError("a family nobody asked for was built")
+
+    t = Families(diagnoses=dx, **{n: build for n in ("patients", "treatments", "pathology_details", "follow_ups", "molecular_tests", "other_attributes")})
+    cells = timing.slot_cells(timing.slots(t, families=["diagnoses"]), "diagnoses").collect()
+    assert sorted((r["column"], r["value"]) for r in cells) == [("diagnoses_record1", None), ("diagnoses_record2", 0.0)]
+
+
 def test_small_limits_make_no_swarm_of_ranges(spark):
     df = spark.range(3000).select((F.col("id") % 2).alias("g"), F.col("id").alias("x"), F.lit(1).alias("n"))
     ordinary, cut = _split(df, ["g"], ["x"], None, 10)
