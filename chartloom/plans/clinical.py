@@ -261,6 +261,17 @@ class Clinic:
 
         return self.families.with_tables({f: (lambda f=f: located(f)) for f in TIMED})
 
+    @cached_property
+    def unplaced(self) -> Families:
+        """Families for work that reads no time: the rows that can be placed in time, before they are.
+
+        Rows without a dataset, patient or (children of diagnoses) diagnosis meet
+        no context and have no place.  A child of a repeated diagnosis is one row
+        here and one for each copy in ``timed``: read it where copies don't count.
+        """
+        family_keys = {f: ("dataset", "patient_id", "dx_pos") if f.startswith("diagnoses") else ("dataset", "patient_id") for f in TIMED if f != "follow_ups"}
+        return self.families.mapped(family_keys, lambda family, table: table.dropna(subset=list(family_keys[family])))
+
     @cached_property
     def values(self) -> DataFrame:
         return long_values(self.families, VALUE_FIELDS)

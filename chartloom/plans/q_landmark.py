@@ -330,7 +330,8 @@ FROM x_pat p CROSS JOIN (SELECT unnest([{', '.join(f"'{f}'" for f in extract.SCH
 @query("p18_scheme_values", "SELECT dataset, patient_id, field_path, value, valid FROM x_scheme")
 def p18_scheme_values(c: Clinic):
     """P9 joins, P14 primary diagnosis, P15 first value, P16 therapy, P17 years smoked, P18 the whole scheme."""
-    return extract.scheme_values(c.timed)
+    # values at any time: nothing is masked, so no object has to be placed in time
+    return extract.scheme_values(c.unplaced)
 
 
 @query("p17_years_smoked", "SELECT patient_id, CAST(years AS VARCHAR) AS value FROM x_smoked WHERE years IS NOT NULL")

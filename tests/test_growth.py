@@ -12,6 +12,51 @@ from chartloom.plans.clinical import Clinic
 from chartloom.scale import HOT_ROWS, _ranges, _split, ordered_columns
 
 
+class _Untouched:
+    """Time locations nobody may ask for."""
+
+    def __getattr__(self, name):
+        raise AssertionError(f"{name} was placed in time")
+
+
+@pytest.fixture
+def clinic(spark):
+    who, pos = "dataset string, patient_id long, ", ", pos array<long>"
+    people = [(None if i == 3 else "DS0", i) for i in range(4)]
+    tables = {
+        "patients": ([(*p, "Dead", 3.0, 40 + p[1], "WHITE") for p in people], who + "vital_status string, days_to_death double, age_at_index int, race string"),
+        "diagnoses": (
+            [(*p, 10 + p[1], [10 + p[1]], 0.0, "true", "G1", "Stage I", "Biopsy", "Lung", "no", "no", 2000, "primary") for p in people],
+            who + "dx_pos long" + pos + ", days_to_diagnosis double, diagnosis_is_primary_disease string, tumor_grade string, ajcc_pathologic_stage string, "
+            "method_of_diagnosis string, site_of_resection_or_biopsy string, prior_malignancy string, prior_treatment string, year_of_diagnosis int, classification_of_tumor string",
+        ),
+        "treatments": (
+            [(*p, 10 + p[1], [10 + p[1], k], t, "yes", 5.0) for p in people for k, t in enumerate(("Radiation  Therapy", "radiation therapy", "Not \t Reported", "un known"))],
+            who + "dx_pos long" + pos + ", treatment_type string, treatment_or_therapy string, days_to_treatment_start double",
+        ),
+        "pathology_details": ([(*p, 10 + p[1], [10 + p[1]], 5, 1) for p in people], who + "dx_pos long" + pos + ", lymph_nodes_tested long, lymph_nodes_positive long"),
+        "follow_ups": ([(*p, 20, [20], 1) for p in people], who + "fu_pos long" + pos + ", ecog_performance_status int"),
+        "other_attributes": ([(*p, 20, [20], 22.5) for p in people], who + "fu_pos long" + pos + ", bmi double"),
+    }
+    c = Clinic(spark, "")
+    c.__dict__["families"] = Families(**{n: spark.createDataFrame(rows, schema) for n, (rows, schema) in tables.items()}, exposures=None, molecular_tests=None)
+    c.__dict__["timed"] = _Untouched()
+    return c
+
+
+def test_values_at_any_time_need_no_time_location(clinic):
+    t = q_encode.tokens(clinic)
+    got = {(r["dataset"], r["patient_id"], r["field_path"]): r["category"] for r in encode.patient_categories(t).collect()}
+    path = "diagnoses[].treatments[].treatment_type"
+    assert got["DS0", 0, path] == "radiation therapy | un known"
+    # nobody's objects have no place in time, so their values never counted
+    assert (None, 3, path) not in got and (None, 3, "follow_ups[].ecog_performance_status") in got
+    vocabulary = q_encode.a27_dataset_vocabulary(clinic)
+    assert vocabulary.where(F.col("field_path") == path).count() == 2
+    scheme = q_landmark.p18_scheme_values(clinic).where("field_path = 'diagnoses[].tumor_grade'").collect()
+    assert sorted((r["patient_id"], r["value"], r["valid"]) for r in scheme) == [(0, "G1", True), (1, "G1", True), (2, "G1", True), (3, "not reported", False)]
+
+
 def test_slots_of_one_family_build_no_other(spark):
     dx = spark.createDataFrame(
         [("DS0", 1, [2], 0.0, 0.0, "point", True), ("DS0", 1, [1], None, None, "unlocated", True), ("DS0", 1, [3], None, None, "unlocated", False)],
