@@ -52,8 +52,11 @@ def cleaned(text: Column, fallback: str | None = "not reported") -> Column:
 
 
 def is_missing_token(text: Column, extra: tuple[str, ...] = ()) -> Column:
+    words = ("", *SENTINELS, *extra)
+    # the pattern runs only where the letters are those of a missing word
+    letters = F.lower(F.translate(text, _SPACE, ""))
     collapsed = F.lower(stripped(F.regexp_replace(text, f"[{_SPACE}]+", " ")))
-    return collapsed.isin("", *SENTINELS, *extra)
+    return letters.isin(*sorted({"".join(w.split()) for w in words})) & collapsed.isin(*words)
 
 
 def has_text(text: Column) -> Column:

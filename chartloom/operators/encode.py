@@ -50,9 +50,11 @@ def patient_numbers(t: DataFrame, rows: int | None = None) -> DataFrame:
 
 def patient_categories(t: DataFrame) -> DataFrame:
     """Sorted distinct lower-case tokens of every patient's field, joined."""
-    word = F.lower(stripped(F.regexp_replace("token", r"\s+", " ")))
-    distinct = t.select(*CELL, word.alias("w")).where(~is_missing_token(F.col("w"))).distinct()
-    return distinct.groupBy(*CELL).agg(F.array_join(F.array_sort(F.collect_list("w")), " | ").alias("category"))
+    # a patient's repeats leave as they are; only different tokens are spelled out
+    listed = t.select(*CELL, "token").distinct().groupBy(*CELL).agg(F.collect_list("token").alias("_l"))
+    words = F.transform("_l", lambda x: F.lower(stripped(F.regexp_replace(x, r"\s+", " "))))
+    known = F.array_sort(F.array_distinct(F.filter(words, lambda w: ~is_missing_token(w))))
+    return listed.select(*CELL, known.alias("_w")).where(F.size("_w") > 0).select(*CELL, F.array_join("_w", " | ").alias("category"))
 
 
 # ---- typing -----------------------------------------------------------------

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import encode, extract, landmark
+from ..operators.families import Families
 from . import oracle_base as ob
 from .clinical import VALUE_FIELDS, Clinic
 from .registry import query
@@ -43,9 +44,10 @@ LEFT JOIN x_vocab v ON v.field_path = t.field_path AND v.category = c.category L
 """)
 
 
-def tokens(c: Clinic):
+def tokens(c: Clinic, t: Families | None = None):
+    """Tokens of the encoded fields at any time, copies as in ``t``; types, medians and categories read families without times."""
     converts = c.spark.createDataFrame([("demographic.age_at_index", "int")], "field_path string, convert string")
-    return encode.tokens(landmark.used_values(c.timed, ENCODED, None), converts)
+    return encode.tokens(landmark.used_values(c.unplaced if t is None else t, ENCODED, None), converts)
 
 
 def fields(c: Clinic):
@@ -58,7 +60,7 @@ def types(c: Clinic, t):
 
 @query("e2_converted_tokens", "SELECT dataset, field_path, token, count(*) AS n FROM x_tok GROUP BY ALL")
 def e2_converted_tokens(c: Clinic):
-    t = tokens(c)
+    t = tokens(c, c.timed)
     return t.groupBy("dataset", "field_path", "token").agg(F.count(F.lit(1)).alias("n"))
 
 
