@@ -540,5 +540,5 @@ def test_registered():
     import __spark_entry__ as entry
 
     names = entry.queries()
-    assert {f"op{n}_" for n in range(1, 11)} == {re.match(r"op\d+_", q)[0] for q in names if q.startswith("op")}
+    assert {f"op{n}_" for n in range(1, 14)} == {re.match(r"op\d+_", q)[0] for q in names if q.startswith("op")}
     assert "pipeline" in names and {"op1_quality_rules", "op10_url_filter"} <= set(entry.oracle_sql())
