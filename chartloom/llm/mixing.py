@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chartloom.llm.common import fresh, saved, table, whole
+from chartloom.llm.common import fresh, lean, saved, table, whole
 from chartloom.llm.text_features import STRUCTURE, split_words, structure
 
 DOMAINS = ("clean", "low", "toxic")
@@ -177,7 +177,7 @@ def posteriors(df: DataFrame, model: DomainModel, text: str = "text", keep: list
                     names=[*kept, "n_tokens", "posterior"],
                 )
 
-    return given.mapInArrow(run, schema)
+    return given.mapInArrow(lean(run), schema)
 
 
 def rates(posterior: np.ndarray, errors: list[list[float]], anchor: str, max_rate: float) -> np.ndarray:

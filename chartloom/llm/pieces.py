@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chartloom.llm.common import fresh, table
+from chartloom.llm.common import fresh, lean, table
 
 MARK = "▁"
 #: segments and token pairs that a task remembers; forgetting costs time only
@@ -225,6 +225,11 @@ def _model(path: str) -> PieceModel:
     return _MODELS[path]
 
 
+def _forget(path: str) -> None:
+    """Drop the model; functions sent to workers call this, as naming ``_MODELS`` would send a copy of it along."""
+    _MODELS.pop(path, None)
+
+
 def _column(batch: pa.RecordBatch, ids: list[bytes], decoded: list[str] | None) -> pa.RecordBatch:
     sizes = np.fromiter((len(x) // 4 for x in ids), "int64", len(ids))
     offsets = np.zeros(len(ids) + 1, "int32")
@@ -246,8 +251,8 @@ def piece_encode(df: DataFrame, model: str, text: str = "text", decode: bool = F
     no ids and decode to the empty text.  Texts of any length are encoded whole;
     repeated rows are encoded alike; an empty table stays empty.  Input columns
     called ``ids`` or ``decoded`` are replaced.  With ``forget`` a task drops its
-    table of known segments at its end, so workers that go on to other work
-    don't hold it.
+    model and table of known segments at its end and hands the memory back, so
+    workers that go on to other work don't hold them.
     """
     kept = [c for c in (df.columns if keep is None else keep) if c not in {"ids", "decoded"}]
     (source,) = [text] if text in kept else fresh(df, "piece_text")
@@ -274,9 +279,9 @@ def piece_encode(df: DataFrame, model: str, text: str = "text", decode: bool = F
             if ids:
                 yield _column(rest.slice(start), ids, back if decode else None)
         if forget:
-            _MODELS.pop(model, None)
+            _forget(model)
 
-    return given.mapInArrow(run, T.StructType(fields))
+    return given.mapInArrow(lean(run) if forget else run, T.StructType(fields))
 
 
 def piece_decode(df: DataFrame, model: str, ids: str = "ids") -> DataFrame:

@@ -67,6 +67,40 @@ def test_pieces_clash_empty_and_decode(spark, clashing, library):
     assert pieces.piece_encode(clashing.limit(0), pieces.default_model()).count() == 0
 
 
+def test_forgetting_reaches_the_worker(docs):
+    """The function goes through the pickler, as on its way to a worker; there it has to drop the worker's model."""
+    import pyarrow as pa
+    from pyspark import cloudpickle
+
+    class Taken:
+        columns, schema = ["doc_id", "text"], docs.schema
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, schema):  # noqa: N802
+            return run
+
+    path = pieces.default_model()
+    batch = pa.record_batch({"doc_id": [1, 2], "text": ["one two", None]})
+    for forget in (False, True):
+        pieces._MODELS.clear()
+        run = cloudpickle.loads(cloudpickle.dumps(pieces.piece_encode(Taken(), path, forget=forget)))
+        (out,) = run(iter([batch]))
+        assert out.column("ids").to_pylist()[1] == [] and len(out.column("ids")[0]) > 0
+        assert list(pieces._MODELS) == ([] if forget else [path])
+
+
+def test_lean_gives_the_same_batches():
+    import pyarrow as pa
+
+    from chartloom.llm.common import lean
+
+    given = [pa.record_batch({"x": [i]}) for i in range(3)]
+    assert list(lean(lambda batches: (b.slice(0) for b in batches))(iter(given))) == given
+    assert list(lean(lambda batches: batches)(iter([]))) == []
+
+
 def test_blocks_round_trip():
     rng = np.random.default_rng(1)
     for _ in range(200):
