@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding of merge-type (BPE) models by backtracking.
 
-The vocabulary's longest matches at every position come from one Aho-Corasick
-pass.  The encoder takes the longest match, accepts it if it is compatible with
+The pieces that match at a position come from a trie, walked only from positions
+that the encoder reaches.  It takes the longest match, accepts it if it is compatible with
 the token before it (merging the two tokens' characters anew gives the same two
 tokens), tries shorter prefixes otherwise, and steps back over a token when none
 is left, marking the position in a bitfield so that it is not tried again.  The
@@ -9,9 +9,11 @@ encoding of a prefix is unique, so a failed position fails for good and the
 work stays linear in the text.
 
 A text is cut where no piece can reach across: before a word mark that follows
-another character (if the vocabulary has no piece with such an inside) and
-around characters without a piece.  Segments repeat, so each task keeps a
-bounded table of segments it has encoded.
+another character (if the vocabulary has no piece with such an inside), between
+letters and other characters (if no piece has both) and around characters
+without a piece.  Segments repeat, so each task keeps a bounded table of
+segments it has encoded: a young and an old half.  A full young half becomes the
+old one; segments that are met again move to the young half, so frequent ones stay.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +42,6 @@ class PieceModel:
     """The pieces of a sentencepiece BPE model and its encoder."""
 
     def __init__(self, path: str):
-        import ahocorasick
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2 as proto
 
@@ -61,25 +63,40 @@ class PieceModel:
         self.chars = {text for text in self.ids if len(text) == 1}
         # only pieces that their own merges rebuild can appear in an encoding
         self.reached = {text for text in self.ids if len(text) == 1 or self.merge(text) == [text]}
-        self.finder = ahocorasick.Automaton()
+        # a node of the trie: what follows by character, and the piece that ends here
+        self.trie: list = [{}, None]
         for text in self.reached:
-            self.finder.add_word(text, len(text))
-        if self.reached:
-            self.finder.make_automaton()
-        inside = any(MARK in text.lstrip(MARK) for text in self.ids)
-        self.cut = None if inside else re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-        self.pairs: dict[tuple[str, str], bool] = {}
+            node = self.trie
+            for c in text:
+                node = node[0].setdefault(c, [{}, None])
+            node[1] = text
+        self.longest = max(map(len, self.reached), default=0)
+        self.cut = self._cut()
+        self.pairs: dict[str, dict[str, bool]] = {}
+        self.n_pairs = 0
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         # decoding: what each id stands for
-        self.out = [b""] * lib.get_piece_size()
+        out = [b""] * lib.get_piece_size()
         self.marked = [self.prefix != "" and p.type == p.NORMAL and p.piece.startswith(MARK) for p in spec.pieces]
         for i, p in enumerate(spec.pieces):
             if p.type == p.NORMAL:
-                self.out[i] = p.piece.replace(MARK, " ").encode()
+                out[i] = p.piece.replace(MARK, " ").encode()
             elif p.type == p.BYTE:
-                self.out[i] = bytes([int(p.piece[3:5], 16)])
+                out[i] = bytes([int(p.piece[3:5], 16)])
             elif p.type == p.UNKNOWN:
-                self.out[i] = train.unk_surface.encode()
+                out[i] = train.unk_surface.encode()
+        self.surface = pa.array(out, pa.large_binary())
+
+    def _cut(self) -> re.Pattern | None:
+        """What finds the segments of a text; None if pieces can reach across word marks."""
+        if any(MARK in text.lstrip(MARK) for text in self.ids):
+            return None
+        letters = {c for c in self.chars if c.isalpha()}
+        if not letters or any((a in letters) != (b in letters) for text in self.ids for a, b in pairwise(text.lstrip(MARK))):
+            return re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+        each = "".join(map(re.escape, sorted(letters)))
+        return re.compile(f"{MARK}*(?:[{each}]+|[^{each}{MARK}]+)|{MARK}+")
 
     def merge(self, text: str) -> list[str]:
         """Merge the characters of a short text: best score first, leftmost among equals."""
@@ -97,42 +114,49 @@ class PieceModel:
         return parts
 
     def compatible(self, left: str, right: str) -> bool:
-        key = (left, right)
-        found = self.pairs.get(key)
+        if self.n_pairs >= KNOWN_PAIRS:
+            self.pairs.clear()
+            self.n_pairs = 0
+        row = self.pairs.setdefault(left, {})
+        found = row.get(right)
         if found is None:
             # merging the pair's characters anew must give the pair
-            if len(self.pairs) >= KNOWN_PAIRS:
-                self.pairs.clear()
-            found = self.pairs[key] = self.merge(left + right) == [left, right]
+            found = row[right] = self.merge(left + right) == [left, right]
+            self.n_pairs += 1
         return found
 
+    def matches(self, text: str, at: int) -> list[str]:
+        """The pieces that the text has from a position on, shortest first."""
+        follow, out = self.trie[0], []
+        for c in text[at:at + self.longest]:
+            node = follow.get(c)
+            if node is None:
+                break
+            follow, piece = node
+            if piece is not None:
+                out.append(piece)
+        return out
+
     def segment(self, text: str) -> list[str]:
         """Pieces of a text whose characters all have a piece."""
         if text in self.reached:
             return [text]
         n = len(text)
-        fits: list[list[int] | None] = [None] * n
-        for end, size in self.finder.iter(text):
-            end += 1
-            # the automaton gives a start's matches shortest first
-            if (found := fits[end - size]) is None:
-                fits[end - size] = [end]
-            else:
-                found.append(end)
         failed = bytearray(n // 8 + 1)
         pairs, tokens = self.pairs, []
-        tried: list[int] = []  # matches left to try at each token's start, longest last
-        at, ends, last = 0, fits[0], None
-        left = len(ends)
+        tried: list[tuple[list[str], int]] = []  # matches at each token's start, and how many are left to try, longest last
+        at, last, after = 0, None, None
+        fits = self.matches(text, 0)
+        left = len(fits)
         while True:
             while left:
                 left -= 1
-                end = ends[left]
+                token = fits[left]
+                end = at + len(token)
                 if failed[end >> 3] >> (end & 7) & 1:
                     continue
-                token = text[at:end]
-                if last is not None:
-                    fine = pairs.get((last, token))
+                if after is not None:
+                    fine = after.get(token)
                     if fine is None:
                         fine = self.compatible(last, token)
                     if not fine:
@@ -140,14 +164,19 @@ class PieceModel:
                 tokens.append(token)
                 if end == n:
                     return tokens
-                tried.append(left)
-                at, ends, last = end, fits[end], token
-                left = len(ends)
+                tried.append((fits, left))
+                at, last = end, token
+                if (after := pairs.get(token)) is None:
+                    after = pairs[token] = {}
+                fits = self.matches(text, at)
+                left = len(fits)
                 break
             else:
                 failed[at >> 3] |= 1 << (at & 7)
                 at -= len(tokens.pop())
-                left, ends, last = tried.pop(), fits[at], tokens[-1] if tokens else None
+                fits, left = tried.pop()
+                last = tokens[-1] if tokens else None
+                after = None if last is None else pairs.setdefault(last, {})
 
     def _pieces(self, segment: str) -> list[int]:
         ids = self.ids
@@ -174,18 +203,25 @@ class PieceModel:
         text = self.prefix + text.replace(" ", MARK)
         if self.cut is None:
             return array("i", self._pieces(text)).tobytes()
-        known, segments = self.known, self.cut.findall(text)
-        new = set(segments).difference(known)
-        if len(known) + len(new) > KNOWN_SEGMENTS:
-            known.clear()
-            new = set(segments)
-        for segment in new:
-            known[segment] = array("i", self._pieces(segment)).tobytes()
-        out = [known[segment] for segment in segments]
+        segments = self.cut.findall(text)
+        out = list(map(self.known.get, segments))
+        if None in out:
+            self._learn({segment for segment, found in zip(segments, out) if found is None})
+            known = self.known
+            out = [known[segment] if found is None else found for segment, found in zip(segments, out)]
         if self.bytes is None:
             return self._one_unknown(b"".join(out))
         return b"".join(out)
 
+    def _learn(self, new: set[str]) -> None:
+        """Put segments into the young half of the table, encoded anew if the old half lacks them."""
+        if self.known and len(self.known) + len(new) > KNOWN_SEGMENTS // 2:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        for segment in new:
+            found = older.get(segment)
+            known[segment] = array("i", self._pieces(segment)).tobytes() if found is None else found
+
     def _one_unknown(self, ids: bytes) -> bytes:
         """Neighbouring unknown characters are one unknown id."""
         a = np.frombuffer(ids, "<i4")
@@ -195,13 +231,26 @@ class PieceModel:
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; each byte that is not part of valid UTF-8 becomes U+FFFD."""
-        raw = b"".join(map(self.out.__getitem__, ids))
-        try:
-            text = raw.decode()
-        except UnicodeDecodeError:
-            text = _lenient(raw)
-        first = next((i for i in ids if self.out[i]), None)
-        return text[1:] if first is not None and self.marked[first] else text
+        return self.decode_all([array("i", ids).tobytes()])[0]
+
+    def decode_all(self, ids: list[bytes]) -> list[str]:
+        """The texts of several encodings, looked up at once."""
+        flat = np.frombuffer(b"".join(ids), "<i4")
+        raw = self.surface.take(pa.array(flat))
+        ends = np.frombuffer(raw.buffers()[1], "<i8", len(flat) + 1)
+        data = memoryview(raw.buffers()[2] or b"")
+        texts, at = [], 0
+        for one in ids:
+            stop = at + len(one) // 4
+            part = bytes(data[ends[at]:ends[stop]])
+            try:
+                text = part.decode()
+            except UnicodeDecodeError:
+                text = _lenient(part)
+            first = next((i for i in range(at, stop) if ends[i + 1] > ends[i]), None)
+            texts.append(text[1:] if first is not None and self.marked[flat[first]] else text)
+            at = stop
+        return texts
 
 
 def _lenient(raw: bytes) -> str:
@@ -266,18 +315,16 @@ def piece_encode(df: DataFrame, model: str, text: str = "text", decode: bool = F
         m = _model(model)
         for batch in batches:
             rest = batch.select(kept)
-            ids, back, start, held = [], [], 0, 0
+            ids, start, held = [], 0, 0
             for i, value in enumerate(batch.column(source)):
                 found = m.encode(value.as_py() or "")
                 ids.append(found)
-                if decode:
-                    back.append(m.decode(np.frombuffer(found, "<i4").tolist()))
                 held += len(found)
                 if held >= CHUNK:
-                    yield _column(rest.slice(start, i + 1 - start), ids, back if decode else None)
-                    ids, back, start, held = [], [], i + 1, 0
+                    yield _column(rest.slice(start, i + 1 - start), ids, m.decode_all(ids) if decode else None)
+                    ids, start, held = [], i + 1, 0
             if ids:
-                yield _column(rest.slice(start), ids, back if decode else None)
+                yield _column(rest.slice(start), ids, m.decode_all(ids) if decode else None)
         if forget:
             _forget(model)
 
@@ -292,7 +339,7 @@ def piece_decode(df: DataFrame, model: str, ids: str = "ids") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _model(model)
         for batch in batches:
-            back = [m.decode(x.as_py() or []) for x in batch.column(ids)]
+            back = m.decode_all([array("i", x.as_py() or []).tobytes() for x in batch.column(ids)])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(back, pa.string())], names=[*batch.schema.names, "decoded"])
 
     return given.mapInArrow(run, schema)

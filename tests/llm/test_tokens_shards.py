@@ -48,6 +48,30 @@ def test_long_texts(model, library, text):
     assert ids(model, text) == library.encode(text)
 
 
+def test_segments_are_encoded_once(model, library, monkeypatch):
+    """Marks after a word make no new segment, and a full table keeps the segments that are met again."""
+    encoded, pieces_of = [], model._pieces
+    monkeypatch.setattr(model, "_pieces", lambda segment: encoded.append(segment) or pieces_of(segment))
+    monkeypatch.setattr(model, "known", {})
+    monkeypatch.setattr(model, "older", {}, raising=False)
+    text = "the word, the word. the word; (the word)\nthe word"
+    assert ids(model, text) == library.encode(text)
+    assert sum("word" in segment for segment in encoded) == 1
+    encoded.clear()
+    monkeypatch.setattr(pieces, "KNOWN_SEGMENTS", 60)
+    for i in range(200):
+        text = "frequent " + " ".join(f"rare{chr(97 + i % 26)}{chr(97 + k)}{chr(97 + i // 26)}" for k in range(8))
+        assert ids(model, text) == library.encode(text)
+    assert encoded.count("▁frequent") == 1 and len(model.known) + len(model.older) <= 60
+
+
+def test_decoding_at_once_is_decoding_each(model, library):
+    random.seed(13)
+    found = [[random.randint(0, 260 if k % 2 else 31_999) for _ in range(random.randint(0, 9))] for k in range(300)]
+    assert model.decode_all([np.array(x, "<i4").tobytes() for x in found]) == [library.decode(x) for x in found]
+    assert model.decode_all([]) == []
+
+
 def test_pieces_query(spark, odd, as_folder, library):
     where = as_folder(documents=odd)
     got = sorted(str(tuple(r)) for r in pieces.op2_pieces(spark, where).collect())
