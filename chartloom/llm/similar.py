@@ -17,7 +17,10 @@ alike to the hub of its bucket gets the hub as pivot and keeps its distance to
 it (one minus likeness, a metric).  After ``ROUNDS`` rounds only pivots are
 paired.  Texts of two pivots can be alike only if the pivots' distance is at
 most 0.2 plus both texts' own distances; where it is, and the pivots are not
-alike themselves or joined by others, just those texts are paired and checked.
+alike themselves or joined by others, they are open.  Open pivots are joined
+in turns by a few of their texts (one stands for all at a like distance from their
+pivot), as one link settles all texts of both sides.  Only for pivots that are still
+apart after that all texts near enough are paired and checked.
 
 Pairs are checked on sketches of the ``SKETCH`` smallest shingle hashes.  A
 sketch only settles a pair whose likeness is far from the bound; all others are
@@ -46,6 +49,9 @@ COUNTERS, PART = 1 << 22, 4096
 MOST = (1 << 32) - 1
 #: bits at which prints are linked, rounds of hubs, and the pivots in a block of a bucket
 RADIUS, ROUNDS, BLOCK = 3, 2, 2000
+#: turns in which open pivots are joined by a few texts, the most pairs of texts for two pivots in a turn, and
+#: the distances from a pivot for which one text stands; they decide the cost, not the results
+TURNS, TRIES, BAND = 2, 3, 0.04
 #: distance from the bound at which a sketch settles a pair: for whole sets (equal 32-bit hashes) and
 #: for estimates (more than four standard errors at the bound)
 NEAR, FAR = 0.02, 0.08
@@ -330,6 +336,11 @@ def pivot_pairs(members: DataFrame, similarity: float) -> DataFrame:
     return met.groupBy(F.col("pivot_a").alias("ia"), F.col("pivot_b").alias("ib")).agg(F.max(F.col("away_a") + F.col("away_b")).alias("reach"))
 
 
+def _near(similarity: float):
+    """Whether two texts are far enough from their pivots, whose least distance is ``apart``, to be alike."""
+    return F.col("wa") + F.col("wb") >= F.col("apart") - (1 - similarity) - 1e-6
+
+
 def member_pairs(members: DataFrame, open_: DataFrame, similarity: float) -> DataFrame:
     """Pairs (ia, ib) of texts under the pivots (pa, pb) of ``open_`` that are near enough to them to be alike.
 
@@ -337,9 +348,33 @@ def member_pairs(members: DataFrame, open_: DataFrame, similarity: float) -> Dat
     """
     one = members.select("h", F.col("pivot").alias("pa"), F.col("short").alias("ia"), F.col("n").alias("na"), F.col("slack").alias("sa"), F.col("away").alias("wa"))
     two = members.select("h", F.col("pivot").alias("pb"), F.col("short").alias("ib"), F.col("n").alias("nb"), F.col("slack").alias("sb"), F.col("away").alias("wb"))
-    met = one.join(open_, "pa").join(two, ["h", "pb"]).where("ia <> pa or ib <> pb")
-    near = F.col("wa") + F.col("wb") >= F.col("apart") - (1 - similarity) - 1e-6
-    return met.where(near & _sized(similarity) & _reach(similarity)).select(F.least("ia", "ib").alias("ia"), F.greatest("ia", "ib").alias("ib")).distinct()
+    met = one.join(open_.select("pa", "pb", "apart"), "pa").join(two, ["h", "pb"]).where("ia <> pa or ib <> pb")
+    return met.where(_near(similarity) & _sized(similarity) & _reach(similarity)).select(F.least("ia", "ib").alias("ia"), F.greatest("ia", "ib").alias("ib")).distinct()
+
+
+def tried_pairs(members: DataFrame, open_: DataFrame, turn: int, similarity: float) -> DataFrame:
+    """At most ``TRIES`` pairs (ia, ib) of texts for each two pivots of ``open_``, with the pivots' ``root_a`` and ``root_b``.
+
+    Of a pivot's texts in each band of distances one stands for the others, another one in each turn.
+    """
+    asked = open_.select(F.col("pa").alias("pivot")).union(open_.select("pb")).distinct()
+    place = F.struct(F.xxhash64("short", F.lit(turn)), "short", "n", "away")
+    band = F.floor(F.col("away") / BAND).alias("band")
+    stand = saved(
+        members.join(asked, "pivot", "left_semi").groupBy("pivot", band).agg(F.min(place).alias("p")).select("pivot", "p.short", "p.n", "p.away")
+    )
+    one, two = (
+        stand.select(F.col("pivot").alias(f"p{x}"), F.col("short").alias(f"i{x}"), F.col("n").alias(f"n{x}"), F.col("away").alias(f"w{x}")) for x in "ab"
+    )
+    met = open_.join(one, "pa").join(two, "pb").where("ia <> pa or ib <> pb").where(_near(similarity) & _sized(similarity)).withColumns(
+        {"ia": F.least("ia", "ib"), "ib": F.greatest("ia", "ib")}
+    )
+    # texts nearest to their pivots are likeliest to be alike; the others are drawn
+    first = [F.col("wa") + F.col("wb"), *[F.xxhash64("ia", "ib", F.lit(turn * TRIES + i)) for i in range(1, TRIES)]]
+    few = F.array(*[F.min_by(F.struct("ia", "ib"), F.struct(x, "ia", "ib")) for x in first])
+    return met.groupBy("pa", "pb", "root_a", "root_b").agg(few.alias("few")).select(
+        F.explode("few").alias("p"), "root_a", "root_b"
+    ).select("p.ia", "p.ib", "root_a", "root_b").distinct()
 
 
 def similar_groups(df: DataFrame, text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -375,10 +410,25 @@ def similar_groups(df: DataFrame, text: str = "text", similarity: float = SIMILA
     apart = said.where("not alike").join(pairs, ["ia", "ib"]).where(F.col("reach") > 0).select(
         "a", "b", F.col("ia").alias("pa"), F.col("ib").alias("pb"), (1 - F.col("high")).alias("apart"), "reach"
     ).where(F.col("apart") <= (1 - similarity) + F.col("reach") + 1e-6)
-    open_ = apart.join(one, "a", "left").join(two, "b", "left").where(
-        F.coalesce("root_a", "a") != F.coalesce("root_b", "b")
-    ).select("pa", "pb", "apart")
-    pairs = saved(member_pairs(members, saved(open_), similarity))
+    open_ = saved(
+        apart.join(one, "a", "left").join(two, "b", "left")
+        .select("pa", "pb", "apart", F.coalesce("root_a", "a").alias("root_a"), F.coalesce("root_b", "b").alias("root_b"))
+        .where("root_a <> root_b")
+    )
+    for turn in range(TURNS):
+        pairs = saved(tried_pairs(members, open_, turn, similarity))
+        if not pairs.limit(1).count():
+            break
+        said = saved(verdicts(pairs.select("ia", "ib").distinct(), known, given, similarity).where("alike").select("ia", "ib", "a", "b"))
+        found.append(said.select("a", "b"))
+        tree = saved(components(pairs.join(said, ["ia", "ib"]).select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct()))
+        one, two = (tree.select(F.col("node").alias(f"root_{x}"), F.col("root").alias(f"to_{x}")) for x in "ab")
+        open_ = saved(
+            open_.join(one, "root_a", "left").join(two, "root_b", "left")
+            .select("pa", "pb", "apart", F.coalesce("to_a", "root_a").alias("root_a"), F.coalesce("to_b", "root_b").alias("root_b"))
+            .where("root_a <> root_b")
+        )
+    pairs = saved(member_pairs(members, open_, similarity))
     found.append(verdicts(pairs, known, given, similarity).where("alike").select("a", "b"))
     tree = components(reduce(DataFrame.unionByName, found))
     return classes.select("class").join(tree.select(F.col("node").alias("class"), "root"), "class", "left").select(
