@@ -289,6 +289,21 @@ def test_a_crowd_has_the_groups_of_few(spark, monkeypatch):
     assert assert_groups_of_all_pairs(spark, texts) == 60
 
 
+def test_few_links_join_a_family_whose_pivots_are_apart(spark, monkeypatch):
+    """Texts of pivots that a link has joined are not listed pair by pair."""
+    random.seed(37)
+    listed, pairs_of = [], similar.member_pairs
+    monkeypatch.setattr(similar, "member_pairs", lambda *a: listed.append(pairs_of(*a)) or listed[-1])
+    base, texts = [f"w{random.randrange(20_000)}" for _ in range(300)], []
+    for i in range(160):
+        copy = list(base)
+        for _ in range(i % 13):
+            copy[random.randrange(300)] = f"x{random.randrange(20_000)}"
+        texts.append(" ".join(copy))
+    assert assert_groups_of_all_pairs(spark, texts) > 50
+    assert sum(x.count() for x in listed) < 600
+
+
 def test_long_texts_near_the_bound_are_decided_on_the_whole(spark):
     random.seed(35)
     texts = []
