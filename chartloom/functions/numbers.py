@@ -11,7 +11,9 @@ DAYS_PER_YEAR = 365.25
 DAYS_PER_MONTH = 365.25 / 12.0
 
 _FLOAT = r"^[+-]?(\d+(_\d+)*(\.(\d+(_\d+)*)?)?|\.\d+(_\d+)*)([eE][+-]?\d+(_\d+)*)?$"
-_SPECIAL = r"^[+-]?(inf|infinity|nan)$"
+# how a number can begin; texts that don't are not matched against it
+_STARTS = tuple("+-.0123456789")
+_SPECIAL = tuple(sign + word for sign in ("", "+", "-") for word in ("inf", "infinity", "nan"))
 _FIRST_NUMBER = r"[-+]?\d+(?:\.\d+)?"
 
 
@@ -24,9 +26,8 @@ def to_number(text: Column) -> Column:
         .when(low.startswith("-"), F.lit(float("-inf")))
         .otherwise(F.lit(float("inf")))
     )
-    return F.when(plain.rlike(_FLOAT), F.regexp_replace(plain, "_", "").try_cast("double")).when(
-        low.rlike(_SPECIAL), special
-    )
+    number = F.substring(plain, 1, 1).isin(*_STARTS) & plain.rlike(_FLOAT)
+    return F.when(number, F.regexp_replace(plain, "_", "").try_cast("double")).when(low.isin(*_SPECIAL), special)
 
 
 def first_number(text: Column) -> Column:

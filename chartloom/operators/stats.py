@@ -9,6 +9,7 @@ from ..functions.missing import stripped, value_state
 from ..functions.numbers import double_text, number_label, to_number
 from ..functions.text import stage_token
 from ..scale import checkpointed
+from .families import PREFIXES, Families
 
 FIELD = ["dataset", "field_path"]
 
@@ -47,7 +48,7 @@ def patient_values(values: DataFrame) -> DataFrame:
     seen = x.isNotNull() | F.col("_t").isNotNull()
     scaled = F.round(x * _FIXED)
     fits = (F.abs(x) < 1e9) & (F.abs(x * _FIXED - scaled) < 1e-4)
-    per = distinct.groupBy(*FIELD, "patient_id").agg(
+    per = distinct.groupBy("patient_id", "field_path", "dataset").agg(
         F.sum(n).alias("n_raw"),
         F.sum(F.when(seen, n).otherwise(0)).alias("n_valid"),
         F.sum("_s").alias("n_sentinel"),
@@ -183,23 +184,56 @@ def first_examples(per_patient: DataFrame, order: str = "patient_id", k: int = 5
     return top.groupBy(*FIELD).agg(F.array_join(F.transform(rows, lambda r: r["v"]), " | ").alias("example_values"))
 
 
+def valid_patients(f: Families, fields: dict[str, dict[str, str]]) -> DataFrame:
+    """(patient_id, dataset, field_path), one row for everyone with a valid raw value.
+
+    An object adds a flag a field to its patient, in parts; its values never
+    become rows.
+    """
+    out = None
+    for family, names in fields.items():
+        flags = {
+            name: F.col(name).cast("double").isNotNull() if kind == "number" else value_state(F.col(name).cast("string"), F.lit(kind)) == "valid"
+            for name, kind in names.items()
+        }
+        per = f.table(family).groupBy("patient_id", "dataset").agg(*[F.max(flag).alias(name) for name, flag in flags.items()])
+        paths = F.array_compact(F.array(*[F.when(F.col(name), F.lit(PREFIXES[family] + name)) for name in names]))
+        part = per.select("patient_id", "dataset", F.explode(paths).alias("field_path"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def masked_counts(had: DataFrame, per_patient: DataFrame) -> DataFrame:
+    """Patients per (dataset, field) who had a valid raw value and have none in ``per_patient``."""
+    keys = ["patient_id", "field_path", "dataset"]
+    raw = had.select(*keys, F.lit(False).alias("_passed"), F.lit(True).alias("_had"))
+    passed = per_patient.where(F.col("n_valid") > 0).select(*keys, F.lit(True).alias("_passed"), F.lit(False).alias("_had"))
+    each = raw.unionByName(passed).groupBy(*keys).agg(F.max("_passed").alias("_passed"), F.max("_had").alias("_had"))
+    # a patient without a name is not known to be the same on both sides
+    unknown = F.col("patient_id").isNull() | F.col("field_path").isNull() | F.col("dataset").isNull()
+    return each.where(F.col("_had") & (~F.col("_passed") | unknown)).groupBy(*FIELD).agg(F.count(F.lit(1)).alias("masked_count"))
+
+
 def field_stats(
     values: DataFrame,
     dictionary: DataFrame,
     sizes: DataFrame,
     *,
-    raw: DataFrame | None = None,
+    had: DataFrame | None = None,
     order: str = "patient_id",
     examples: bool = False,
 ) -> DataFrame:
     """Full statistics table; every dictionary field appears, also with no value at all.
 
-    With ``raw`` given, ``values`` hold only what a landmark lets through:
-    everything else is missing and ``masked_count`` tells how many patients had
-    a valid raw value.
+    With ``had`` given (``valid_patients`` of the raw values), ``values`` hold
+    only what a landmark lets through: everything else is missing and
+    ``masked_count`` tells how many patients had a valid raw value.
     """
-    landmark = raw is not None
+    landmark = had is not None
     per = patient_values(values)
+    if landmark:
+        # counted by value and asked who has one
+        per = checkpointed(per)
     # one pass over the values; everything below reads this much smaller table
     counts = checkpointed(category_counts(per, order))
     info = information(counts)
@@ -213,12 +247,7 @@ def field_stats(
     for part in parts:
         out = out.join(part, FIELD, "left")
     if landmark:
-        had = patient_values(raw).where(F.col("n_valid") > 0).select(*FIELD, "patient_id")
-        passed = per.where(F.col("n_valid") > 0).select(*FIELD, "patient_id")
-        masked = had.join(passed, [*FIELD, "patient_id"], "left_anti").groupBy(*FIELD).agg(
-            F.count(F.lit(1)).alias("masked_count")
-        )
-        out = out.join(masked, FIELD, "left")
+        out = out.join(masked_counts(had, per), FIELD, "left")
     total = F.col("n_patients")
     valid = F.coalesce("valid", F.lit(0))
     sentinel = F.lit(0).cast("long") if landmark else F.coalesce("sentinel_count", F.lit(0))

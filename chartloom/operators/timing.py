@@ -13,7 +13,7 @@ from functools import cache, reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.missing import has_text, stripped
+from ..functions.missing import has_text, stripped, trimmed
 from ..scale import checkpointed, next_at_or_after, ordered_columns
 from .families import TIMED, Families
 
@@ -33,7 +33,7 @@ INFINITY = float("inf")
 
 
 def word(c: Column) -> Column:
-    return F.lower(stripped(F.coalesce(c.cast("string"), F.lit(""))))
+    return F.coalesce(F.lower(trimmed(c.cast("string"))), F.lit(""))
 
 
 def _day(x: float) -> Column:
@@ -94,7 +94,7 @@ def treatment_facts(treatments: DataFrame) -> DataFrame:
     start, end = F.col("days_to_treatment_start"), F.col("days_to_treatment_end")
     labelled = (word(F.col("treatment_intent_type")) == "adjuvant") | (word(F.col("timepoint_category")) == "postoperative")
     surgery = is_surgery(F.col("treatment_type")) & ~is_negative(F.col("treatment_or_therapy"))
-    return treatments.groupBy("dataset", "patient_id", "dx_pos").agg(
+    return treatments.groupBy("dx_pos", "patient_id", "dataset").agg(
         F.max(surgery).alias("resected"),
         F.max(F.greatest(start, end)).alias("tx_last"),
         F.min(start).alias("tx_first"),
@@ -106,7 +106,7 @@ def treatment_facts(treatments: DataFrame) -> DataFrame:
 
 def diagnosis_facts(f: Families) -> DataFrame:
     """Diagnoses with prior flag and pathology class P1 / P2 / P3."""
-    facts = f.diagnoses.join(treatment_facts(f.treatments), ["dataset", "patient_id", "dx_pos"], "left")
+    facts = f.diagnoses.join(treatment_facts(f.treatments), ["dx_pos", "patient_id", "dataset"], "left")
     anchored = _anchored(f.diagnoses)
     biopsy = word(F.col("method_of_diagnosis")) == "biopsy"
     organ = ~word(F.col("site_of_resection_or_biopsy")).isin(*EMPTY_SITES)
@@ -122,7 +122,7 @@ def case_context(facts: DataFrame, follow_ups: DataFrame) -> DataFrame:
     """One row per patient: last contact, adjuvant start, surgery day and number of different follow-up days."""
     own, malignant = ~F.col("is_prior"), word(F.col("prior_malignancy")) == "yes"
     rank = F.when(F.col("path_class") == "P1", 0).when(F.col("path_class") == "P2", 1).otherwise(2)
-    dx = facts.groupBy("dataset", "patient_id").agg(
+    dx = facts.groupBy("patient_id", "dataset").agg(
         F.max("days_to_last_follow_up").alias("dx_last"),
         F.max("days_to_last_known_disease_status").alias("status_last"),
         F.max("days_to_recurrence").alias("recurrence_last"),
@@ -135,13 +135,14 @@ def case_context(facts: DataFrame, follow_ups: DataFrame) -> DataFrame:
         F.max(own).alias("_own"),
         F.max(own & malignant).alias("_own_yes"),
         F.max(malignant).alias("_any_yes"),
-        F.min_by("path_class", F.struct(F.when(own, 0).otherwise(1), rank, F.col("dx_pos"))).alias("main_class"),
+        # own before prior ones, then by class: a number, so that patients are counted by hash
+        F.min(F.when(own, 0).otherwise(3) + rank).alias("_class"),
     )
-    fu = follow_ups.where(~F.col("is_shell")).groupBy("dataset", "patient_id").agg(
+    fu = follow_ups.where(~F.col("is_shell")).groupBy("patient_id", "dataset").agg(
         F.count_distinct("days_to_follow_up").alias("n_follow_days"), F.max("days_to_follow_up").alias("follow_last")
     )
-    any_fu = follow_ups.groupBy("dataset", "patient_id").agg(F.max("days_to_follow_up").alias("fu_last"))
-    joined = dx.join(fu.join(any_fu, ["dataset", "patient_id"], "full"), ["dataset", "patient_id"], "full")
+    any_fu = follow_ups.groupBy("patient_id", "dataset").agg(F.max("days_to_follow_up").alias("fu_last"))
+    joined = dx.join(fu.join(any_fu, ["patient_id", "dataset"], "full"), ["patient_id", "dataset"], "full")
     last = F.coalesce("dx_last", "fu_last")
     return joined.select(
         "dataset", "patient_id",
@@ -153,7 +154,7 @@ def case_context(facts: DataFrame, follow_ups: DataFrame) -> DataFrame:
         "tx_first", "surgery_first",
         F.coalesce("resection_evidence", F.lit(False)).alias("resection_evidence"),
         F.when(F.col("_own"), F.col("_own_yes")).otherwise(F.coalesce("_any_yes", F.lit(False))).alias("prior_malignancy_case"),
-        "main_class",
+        F.when(F.col("_class") % 3 == 0, "P1").when(F.col("_class") % 3 == 1, "P2").when(F.col("_class") % 3 == 2, "P3").alias("main_class"),
         F.coalesce("n_follow_days", F.lit(0)).alias("n_follow_days"),
     )
 
@@ -246,7 +247,8 @@ def timed(f: Families, facts: DataFrame | None = None, context: DataFrame | None
     Six families read the same context, so it is written once: one row per
     diagnosis and one per patient.  Tables are placed when first used.
     """
-    who, child = ["dataset", "patient_id"], ["dataset", "patient_id", "dx_pos"]
+    # joins and windows sort by their keys in this order: those that tell rows apart come first
+    who, child = ["patient_id", "dataset"], ["dx_pos", "patient_id", "dataset"]
 
     @cache
     def context_table() -> DataFrame:

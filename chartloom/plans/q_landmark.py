@@ -152,7 +152,7 @@ FROM x_dictionary d JOIN x_sizes USING (dataset) LEFT JOIN p USING (dataset, fie
 """)
 def a4_landmark_stats(c: Clinic):
     used = landmark.used_values(c.timed, VALUE_FIELDS, T)
-    s = stats.field_stats(used, c.dictionary, c.sizes, raw=c.values)
+    s = stats.field_stats(used, c.dictionary, c.sizes, had=stats.valid_patients(c.families, VALUE_FIELDS))
     return s.select("dataset", "field_path", "total", "valid", "null_count", "masked_count", "coverage", "multi_record_rate")
 
 

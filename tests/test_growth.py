@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from chartloom.operators import encode, landmark, survival, timing
+from chartloom.operators import encode, landmark, stats, survival, timing
 from chartloom.operators.families import Families
 from chartloom.plans import q_encode, q_landmark
 from chartloom.plans.clinical import VALUE_FIELDS, Clinic
@@ -113,3 +113,44 @@ def test_bank_and_its_sources_come_together_once(spark, clinic, tmp_path):
     assert named == {w for w in want if w[0] is not None} and len(named) == len([r for r in rows if r["dataset"] is not None]) > 0
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "ReusedExchange" in plan
+
+
+def test_landmark_stats_read_their_values_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def told(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    schema = "dataset string, patient_id long, field_path string, value string, number double, kind string"
+    path = "demographic.race"
+    values = spark.createDataFrame([("D", 1, path, "white", None, "string"), ("D", 1, path, "white", None, "string"), ("D", None, path, "x", None, "string")], schema)
+    people = spark.createDataFrame(
+        [("D", 1, "white"), ("D", 2, " asian "), ("D", 3, " Unknown"), ("D", 4, None), ("D", None, "x"), (None, 5, "x")], "dataset string, patient_id long, race string"
+    )
+    had = stats.valid_patients(Families(patients=people), {"patients": {"race": "string"}})
+    assert sorted((r["dataset"] or "", r["patient_id"] or 0) for r in had.collect()) == [("", 5), ("D", 0), ("D", 1), ("D", 2)]
+    dictionary = spark.createDataFrame([("D", path), ("D", "demographic.gender")], "dataset string, field_path string")
+    sizes = spark.createDataFrame([("D", 5)], "dataset string, n_patients long")
+    out = stats.field_stats(values.mapInPandas(told, values.schema), dictionary, sizes, had=had)
+    got = {r["field_path"]: (r["valid"], r["null_count"], r["masked_count"], r["multi_record_rate"]) for r in out.collect()}
+    # 2 is masked, and so is the patient without a name, who is not known to be the same
+    assert got == {path: (2, 3, 2, 0.2), "demographic.gender": (0, 5, 0, 0.0)}
+    assert read.value == 3
+
+
+def test_case_context_needs_no_sort(spark):
+    who = "dataset string, patient_id long, "
+    facts = spark.createDataFrame(
+        [("D", 1, 5, True, "P1"), ("D", 1, 6, False, "P3"), ("D", 1, 7, False, "P2"), ("D", 2, 8, True, "P3"), ("D", 3, 9, True, "P1"), ("D", 3, 4, True, "P2")],
+        who + "dx_pos long, is_prior boolean, path_class string",
+    ).selectExpr(
+        "*", "'no' AS prior_malignancy", "true AS evidence", *[f"CAST(NULL AS DOUBLE) AS {n}" for n in (
+            "days_to_last_follow_up", "days_to_last_known_disease_status", "days_to_recurrence", "tx_last", "tx_first", "adjuvant_first", "surgery_first")],
+        "CAST(NULL AS BOOLEAN) AS adjuvant_seen",
+    )
+    visits = spark.createDataFrame([("D", 4, 3.0, False)], who + "days_to_follow_up double, is_shell boolean")
+    context = timing.case_context(facts, visits)
+    assert {r["patient_id"]: r["main_class"] for r in context.collect()} == {1: "P2", 2: "P3", 3: "P1", 4: None}
+    assert "SortAggregate" not in context._jdf.queryExecution().executedPlan().toString()

@@ -127,3 +127,12 @@ def test_rule_order_and_exemption(spark):
 def test_names(spark):
     assert column(spark, ["diagnoses[].treatments[].x", "demographic.race", "follow_ups[]"], timed_family) == ["diagnoses_treatments", None, "follow_ups"]
     assert column(spark, ["a {} b {}", "none"], lambda t: text.filled_template(t, F.lit("v"))) == ["a v b {}", "none"]
+
+
+def test_quick_ways_around_trimming_and_patterns(spark):
+    texts = ["", " ", "a", "~", "\x7f", "a ", "\ta", "\u2003a\u3000", "é", "a é ", "\x1cNone", "N/A\x85", "x\u200b", None]
+    assert column(spark, texts, missing.trimmed) == [t.strip() if t is not None else None for t in texts]
+    assert column(spark, ["--", " -- ", "ok ", "\u00a0unknown", "", None], lambda t: missing.cleaned(t, None)) == [None, None, "ok", None, None, None]
+    words = ["1_0", " -2.5e3 ", ".5", "5.", "5d", "e5", "_1", "+", ".", "Inf", "-infinity", "+NaN", "nano", "in", "", "x1", None]
+    got = column(spark, words, numbers.to_number)
+    assert str(got) == str([10.0, -2500.0, 0.5, 5.0, None, None, None, None, None, float("inf"), float("-inf"), float("nan"), None, None, None, None, None])
